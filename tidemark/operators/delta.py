@@ -28,10 +28,15 @@ def key_identity(message) -> Column:
 
 
 def _key_of(events: DataFrame) -> Column:
+    """The stored key path, else the one inside the message.
+
+    For events that come straight from the registry builder the path is never null, so the
+    optimizer drops the message branch.
+    """
     from_message = key_identity("message")
     if "extra" not in events.columns:
         return from_message
-    return F.coalesce(F.try_element_at(F.col("extra"), F.lit("full_path")), from_message)
+    return F.coalesce(F.col("extra")["full_path"], from_message)
 
 
 def current_keys(events: DataFrame) -> DataFrame:

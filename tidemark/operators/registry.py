@@ -99,10 +99,11 @@ def registry_events(keys: DataFrame, paths: DataFrame | None = None) -> DataFram
     """One event per key with a write time; ``paths`` as given by ``registry_paths``."""
     if "full_path" not in keys.columns:
         paths = registry_paths(keys) if paths is None else paths
-        keys = keys.join(paths.select("hive_id", "rel_off", "full_path"), ["hive_id", "rel_off"], "left")
+        keys = keys.join(paths.select("hive_id", "rel_off", "full_path"), ["hive_id", "rel_off"])
     ns = filetime_to_ns("last_write")
-    rows = (keys.filter(ns > 0).withColumn("_pairs", value_pairs(F.col("values")))
-            .withColumn("_rule", registry_plugins(F.col("full_path"), F.col("name"), F.col("_pairs"))))
+    rows = keys.filter(ns > 0).withColumns({
+        "full_path": F.coalesce("full_path", F.lit("")), "_pairs": value_pairs(F.col("values"))})
+    rows = rows.withColumn("_rule", registry_plugins(F.col("full_path"), F.col("name"), F.col("_pairs")))
     return to_events(
         rows, artifact_type="REGISTRY", source="REGISTRY", ts=ns,
         artifact=F.coalesce(F.col("_rule")["artifact"], F.lit("Registry Key")),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SCRATCH: list[str] = []
@@ -20,9 +21,17 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    _ship_helpers()
     return spark
 
 
+def _ship_helpers() -> None:
+    """Send the few Python helpers with their tasks, so executors need no copy of this package."""
+    from .sources import binaryfiles, textfiles
+    for module in (binaryfiles, textfiles):
+        cloudpickle.register_pickle_by_value(module)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Shared scratch folder: ``spark.checkpoint.dir``; a temporary one only in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

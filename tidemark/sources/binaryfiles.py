@@ -139,38 +139,43 @@ def _usn_offsets(data: np.ndarray, own: int, carve: bool) -> tuple[np.ndarray, n
         pos = int(offs[i] + length[i])
 
 
-def _usn_batch(image: str, content: bytes, head: bytes, carve: bool) -> pa.RecordBatch | None:
-    if not content.strip(b"\0"):
-        return None
-    data = np.frombuffer(content + head, dtype=np.uint8)
-    offs, length = _usn_offsets(data, len(content), carve)
+def _usn_batch(pages: list[tuple[str, bytes, bytes]], carve: bool) -> pa.RecordBatch:
+    """Decode the journal records of a batch of pages (image, content, next head)."""
+    images, blobs, offs, lengths, base = [], [], [], [], 0
+    for image, content, head in pages:
+        if not content.strip(b"\0"):
+            continue
+        blob = content + head
+        at, length = _usn_offsets(np.frombuffer(blob, dtype=np.uint8), len(content), carve)
+        images += [image] * len(at)
+        blobs.append(blob)
+        offs.append(at + base)
+        lengths.append(length)
+        base += len(blob)
+    blob = b"".join(blobs)
+    data = np.frombuffer(blob, dtype=np.uint8)
+    offs = np.concatenate([*offs, np.empty(0, np.int64)])
+    lengths = np.concatenate([*lengths, np.empty(0, np.int64)])
     name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
-    inside = name_off + name_len <= length
-    if carve:
-        good = inside & (name_len > 0)
-        offs, name_len, name_off, inside = offs[good], name_len[good], name_off[good], inside[good]
-    blob = data.tobytes()
+    inside = name_off + name_len <= lengths
     names = [_text(blob[o + p:o + p + n // 2 * 2]) if ok else None
              for o, p, n, ok in zip(offs.tolist(), name_off.tolist(), name_len.tolist(), inside.tolist())]
-    count = len(offs)
-    return pa.RecordBatch.from_pydict({
-        "image_id": pa.array([image] * count, pa.string()),
+    out = pa.RecordBatch.from_pydict({
+        "image_id": pa.array(images, pa.string()),
         "parent_entry": pa.array((_gather(data, offs + 16, 8) & np.uint64(ENTRY_MASK)).astype(np.int64)),
         "filetime": pa.array(_gather(data, offs + 32, 8).view(np.int64)),
         "reason": pa.array(_gather(data, offs + 40, 4)),
         "file_attrs": pa.array(_gather(data, offs + 52, 4)),
         "file_name": pa.array(names, pa.string()),
-        "recovered": pa.array([carve] * count, pa.bool_())})
+        "recovered": pa.array(np.full(len(offs), carve))})
+    return out.filter(pa.array(inside & (name_len > 0))) if carve else out
 
 
 def _usn_records(chunks: DataFrame, carve: bool) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("image_id", "content", "next_head")))
-            for image, content, head in rows:
-                out = _usn_batch(image, content or b"", head or b"", carve)
-                if out is not None and out.num_rows:
-                    yield out
+            columns = [batch.column(c).to_pylist() for c in ("image_id", "content", "next_head")]
+            yield _usn_batch([(i, c or b"", h or b"") for i, c, h in zip(*columns)], carve)
 
     if "next_head" not in chunks.columns:
         chunks = with_next_head(chunks)
@@ -251,12 +256,15 @@ def _four_times(entries: np.ndarray, base: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(times, pa.int64()), mask=pa.array(~have))
 
 
-def _mft_batch(image: str, first: int, content: bytes) -> pa.RecordBatch:
-    whole = len(content) // ENTRY_BYTES * ENTRY_BYTES
-    entries = np.frombuffer(content[:whole], dtype=np.uint8).reshape(-1, ENTRY_BYTES)
+def _mft_batch(images: list[str], offsets: list[int], contents: list[bytes]) -> pa.RecordBatch:
+    """Decode the file-table entries of a batch of pages."""
+    counts = [len(c) // ENTRY_BYTES for c in contents]
+    blob = b"".join(c[:n * ENTRY_BYTES] for c, n in zip(contents, counts))
+    entries = np.frombuffer(blob, dtype=np.uint8).reshape(-1, ENTRY_BYTES)
+    numbers = np.concatenate([np.arange(n) + off // ENTRY_BYTES for off, n in zip(offsets, counts)])
+    owner = np.repeat(np.arange(len(images)), counts)
     used = (entries[:, :4] == np.frombuffer(b"FILE", np.uint8)).all(axis=1) & ((entries[:, 22] & 1) == 1)
-    numbers = first + np.flatnonzero(used)
-    entries = entries[used].copy()
+    entries, numbers, owner = entries[used].copy(), numbers[used], owner[used]
     _fix_sectors(entries)
     si, fn = _attribute_offsets(entries)
     rows = np.flatnonzero(fn >= 0)
@@ -268,11 +276,11 @@ def _mft_batch(image: str, first: int, content: bytes) -> pa.RecordBatch:
         base = i * ENTRY_BYTES + at
         name = _text(blob[base + 66:base + 66 + blob[base + 64] * 2]) if at >= 0 else ""
         names.append(name or f"entry#{number}")
-    times_at = np.where(fn >= 0, fn + 8, -1)
     return pa.RecordBatch.from_pydict({
-        "image_id": pa.array([image] * len(entries), pa.string()),
+        "image_id": pa.array([images[i] for i in owner.tolist()], pa.string()),
         "entry": pa.array(numbers.astype(np.int64)), "name": pa.array(names, pa.string()),
-        "parent": pa.array(parents), "si": _four_times(entries, si), "fn": _four_times(entries, times_at)})
+        "parent": pa.array(parents), "si": _four_times(entries, si),
+        "fn": _four_times(entries, np.where(fn >= 0, fn + 8, -1))})
 
 
 def decode_mft(pages: DataFrame) -> DataFrame:
@@ -283,8 +291,7 @@ def decode_mft(pages: DataFrame) -> DataFrame:
     """
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for image, off, content in zip(*(batch.column(c).to_pylist() for c in ("image_id", "chunk_off", "content"))):
-                yield _mft_batch(image, off // ENTRY_BYTES, content)
+            yield _mft_batch(*(batch.column(c).to_pylist() for c in ("image_id", "chunk_off", "content")))
 
     return pages.select("image_id", "chunk_off", "content").mapInArrow(decode, _MFT_SCHEMA).withColumn(
         "host_id", F.col("image_id"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from xml.parsers import expat
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.bytescols import text_by_bom
 from ..functions.textcols import cp1252_text, strip
@@ -144,12 +144,18 @@ def _task_values(xml: str) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf("date STRING, author STRING, command STRING, arguments STRING, trigger_start STRING, trigger_type STRING")
-def _task_fields(xml: pd.Series) -> pd.DataFrame:
+_TASK_COLUMNS = ["date", "author", "command", "arguments", "trigger_start", "trigger_type"]
+_TASK_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in _TASK_COLUMNS])
+
+
+def _task_fields(xml: Column) -> Column:
     """The built-in XPath functions fail the job on one malformed document, hence this helper."""
-    columns = ["date", "author", "command", "arguments", "trigger_start", "trigger_type"]
-    rows = [_task_values(x or "") for x in xml]
-    return pd.DataFrame([[row.get(c, "") for c in columns] for row in rows], columns=columns, dtype=object)
+    def read(batch: pd.Series) -> pd.DataFrame:
+        rows = [_task_values(x or "") for x in batch]
+        return pd.DataFrame([[row.get(c, "") for c in _TASK_COLUMNS] for row in rows], columns=_TASK_COLUMNS, dtype=object)
+
+    read.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(read, _TASK_TYPE)(xml)
 
 
 def parse_tasks(files: DataFrame, root: str = "") -> DataFrame:

@@ -36,9 +36,19 @@ def prefixed(prefix: str, c) -> Column:
     return F.concat(F.lit(prefix), blank_to_null(c))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Unicode white space.
+WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(c) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(as_col(c), F.lit(WHITE_SPACE))
 
 
 def any_of(tests) -> Column:
@@ -51,8 +61,10 @@ def usn_reasons(c, ascending: bool = False) -> Column:
     """Names of the set reason bits joined by ``|``; hexadecimal when none is known."""
     c = as_col(c).cast("bigint")
     bits = sorted(L.USN_REASONS) if ascending else L.USN_REASONS
-    names = F.concat_ws("|", *[F.when(c.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in bits])
-    return F.when(names != "", names).otherwise(F.format_string("0x%08X", c))
+    known = sum(bit for bit, _ in bits)
+    return F.concat_ws(
+        "|", *[F.when(c.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for bit, name in bits],
+        F.when(c.bitwiseAND(F.lit(known)) == 0, F.format_string("0x%08X", c)))
 
 
 # ---- lengths and numbers ----------------------------------------------------------------

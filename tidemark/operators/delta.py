@@ -27,21 +27,20 @@ def key_identity(message) -> Column:
     return F.coalesce(F.try_element_at(keys, F.lit(-1)), message)
 
 
-def _key_of(events: DataFrame) -> Column:
-    """The stored key path, else the one inside the message.
+def _key_of(events: DataFrame, from_message: bool) -> Column:
+    if from_message or "extra" not in events.columns:
+        return key_identity("message")
+    return F.col("extra")["full_path"]
 
-    For events that come straight from the registry builder the path is never null, so the
-    optimizer drops the message branch.
-    """
-    from_message = key_identity("message")
-    if "extra" not in events.columns:
-        return from_message
-    return F.coalesce(F.col("extra")["full_path"], from_message)
 
+def current_keys(events: DataFrame, from_message: bool = False) -> DataFrame:
+    """Distinct (host, key) of live registry events.
 
-def current_keys(events: DataFrame) -> DataFrame:
-    """Distinct (host, key) of live registry events."""
-    keys = events.filter(F.col("source") == "REGISTRY").select("host_id", _key_of(events).alias("key_id"))
+    The key is the stored ``full_path``; ``from_message`` takes it out of the message instead,
+    for timelines whose events carry no extras.
+    """
+    keys = events.filter(F.col("source") == "REGISTRY").select(
+        "host_id", _key_of(events, from_message).alias("key_id"))
     return keys.filter("key_id <> ''").distinct()
 
 
@@ -67,9 +66,9 @@ def snapshot_file_delta(snapshot: DataFrame, current: DataFrame) -> DataFrame:
     return _tagged(gone, "Deleted File (VSS)", "Deleted", F.col("file_path"), base_name("file_path"))
 
 
-def snapshot_key_delta(snapshot: DataFrame, current: DataFrame) -> DataFrame:
+def snapshot_key_delta(snapshot: DataFrame, current: DataFrame, from_message: bool = False) -> DataFrame:
     """Snapshot registry events whose key is gone; ``current`` as given by ``current_keys``."""
-    keyed = snapshot.withColumn("key_id", _key_of(snapshot)).filter("key_id <> ''")
+    keyed = snapshot.withColumn("key_id", _key_of(snapshot, from_message)).filter("key_id <> ''")
     gone = keyed.join(current, ["host_id", "key_id"], "left_anti").select(*snapshot.columns, "key_id")
     return _tagged(gone, "Deleted Registry Key (VSS)", "Deleted key", F.col("message"),
                    base_name("key_id")).drop("key_id")

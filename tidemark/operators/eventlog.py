@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import lookups as L
-from ..functions.textcols import (any_of, blank_to_null, is_evtx_noise, is_template_noise, level_tag,
+from ..functions.textcols import (any_of, blank_to_null, is_evtx_noise, is_template_noise, let, level_tag,
                                   logon_type_name, strip, trunc)
 from ..functions.timecols import filetime_to_ns
 from .timeline import to_events
@@ -29,8 +29,8 @@ def evtx_names(rec: DataFrame, by_provider: DataFrame | None = None) -> DataFram
 
 def evtx_generic_snippet(strings) -> Column:
     """First three telling strings, each cut at 80; null when none is left."""
-    clean = F.filter(strings, lambda s: (s != "") & ~is_evtx_noise(s))
-    return blank_to_null(F.array_join(F.transform(F.slice(clean, 1, 3), lambda s: trunc(s, 80)), " | "))
+    clean = F.slice(F.filter(strings, lambda s: (s != "") & ~is_evtx_noise(s)), 1, 3)
+    return let(clean, lambda c: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda s: trunc(s, 80)), " | ")))
 
 
 _NOT_ACCOUNTS = sorted({w.lower() for w in L.NOT_ACCOUNTS})
@@ -38,63 +38,64 @@ _NOT_ACCOUNTS = sorted({w.lower() for w in L.NOT_ACCOUNTS})
 
 def _not_account(s: Column) -> Column:
     return any_of([
-        s == "", F.lower(s).isin(_NOT_ACCOUNTS),
-        s.startswith("S-1-"), s.startswith("%%"), s.startswith("Microsoft"),
-        s.contains("Auditing"), s.contains("://"), s.contains("\\"),
-        strip(s) != s, s.rlike("^[0-9]+$"),
-        s.rlike("^[0-9]") & s.rlike(r"\..*\."),
+        s == "", s.startswith("S-1-"), s.startswith("%%"), s.startswith("Microsoft"),
+        s.contains("\\"), s.contains("Auditing"), s.contains("://"),
+        F.lower(s).isin(_NOT_ACCOUNTS), strip(s) != s, s.rlike("^[0-9]+$|^[0-9].*\\..*\\."),
     ])
 
 
 def evtx_logon_snippet(strings, u32s, with_type: Column) -> Column:
     """``Type n (name) | Account: a | Target: t``, each part when present."""
-    code = F.try_element_at(F.filter(u32s, lambda v: (v >= 2) & (v <= 11)), F.lit(1))
-    kind = F.when(with_type & code.isNotNull(), F.concat(
-        F.lit("Type "), code.cast("string"), F.lit(" ("), logon_type_name(code), F.lit(")")))
-    names = F.filter(strings, lambda s: ~_not_account(s))
-    account, target = F.try_element_at(names, F.lit(1)), F.try_element_at(names, F.lit(2))
-    return blank_to_null(F.concat_ws(
-        " | ", kind, F.concat(F.lit("Account: "), account),
-        F.when(target != account, F.concat(F.lit("Target: "), target))))
+    codes = F.filter(F.when(with_type, u32s), lambda v: (v >= 2) & (v <= 11))
+    kinds = F.transform(F.slice(codes, 1, 1), lambda v: F.concat(
+        F.lit("Type "), v.cast("string"), F.lit(" ("), logon_type_name(v), F.lit(")")))
+    names = F.slice(F.filter(strings, lambda s: ~_not_account(s)), 1, 2)
+
+    def text(n: Column) -> Column:
+        account, target = F.get(n, F.lit(0)), F.get(n, F.lit(1))
+        return F.concat_ws(" | ", kinds, F.concat(F.lit("Account: "), account),
+                           F.when(target != account, F.concat(F.lit("Target: "), target)))
+
+    return let(let(names, text), blank_to_null)
 
 
 def evtx_script_snippet(strings) -> Column:
     """Path of the first script file, else the longest telling string of 20 characters or more."""
     def is_script(s):
-        return F.lower(s).rlike(r'\.ps1"?$')
+        return F.lower(F.right(s, F.lit(5))).rlike('\\.ps1"?$')
 
-    runs = F.filter(strings, lambda s: F.length(s) >= 10)
-    script = F.try_element_at(F.filter(runs, is_script), F.lit(1))
-    prose = F.filter(runs, lambda s: ~is_script(s) & (F.length(s) >= 20) & ~is_template_noise(s))
+    scripts = F.filter(strings, lambda s: (F.length(s) >= 10) & is_script(s))
+    prose = F.filter(strings, lambda s: (F.length(s) >= 20) & ~is_script(s) & ~is_template_noise(s))
     longest = F.array_max(F.transform(prose, lambda s, i: F.struct(
         F.length(s).alias("n"), (-i).alias("i"), s.alias("s"))))["s"]
-    return F.coalesce(F.concat(F.lit("Script: "), trunc(script, 200)), trunc(longest, 160))
+    return F.coalesce(
+        let(F.get(scripts, F.lit(0)), lambda s: F.concat(F.lit("Script: "), trunc(s, 200))),
+        let(longest, lambda s: trunc(s, 160)))
 
 
 _NOT_COMPUTERS = sorted({w.lower() for w in L.NOT_COMPUTERS})
 
 
 def evtx_hostname(strings) -> Column:
-    """Computer name guessed from the strings of a record; empty when none is convincing."""
+    """Computer name guessed from the strings of a record; empty when none is convincing.
+
+    A name is upper case, five characters or more, without dots, with a letter beyond A..F
+    (so no hexadecimal fragment).  Hyphenated names win over plain ones, which need a digit.
+    """
     def candidate(s):
         return (
-            s.rlike(r"^[A-Za-z][A-Za-z0-9.-]{3,63}$") & ~s.rlike(r"[.-]$") & ~s.rlike("[a-z][A-Z]")
-            & ~is_evtx_noise(s) & ~F.lower(s).isin(_NOT_COMPUTERS)
+            s.rlike("^(?=.*[G-Z])[A-Z][A-Z0-9-]{3,62}[A-Z0-9]$") & (F.length(s) >= 5)
+            & ~F.lower(s).isin(_NOT_COMPUTERS) & ~is_evtx_noise(s)
         )
 
-    def upper_name(s):
-        """Upper case, no dot, five characters or more, with a letter beyond A..F."""
-        return s.rlike("^[A-Z0-9-]{5,}$") & s.rlike("[G-Z]")
-
     def hyphenated(s):
-        return upper_name(s) & s.contains("-") & ~s.rlike("(-.*){4}")
+        return s.contains("-") & ~s.rlike("(-.*){4}")
 
     def numbered(s):
-        return upper_name(s) & ~s.contains("-") & s.rlike("[0-9]") & ~s.startswith("KB")
+        return ~s.contains("-") & s.rlike("[0-9]") & ~s.startswith("KB")
 
-    likely = F.filter(strings, candidate)
-    first = [F.try_element_at(F.filter(likely, rule), F.lit(1)) for rule in (hyphenated, numbered)]
-    return F.coalesce(*first, F.lit(""))
+    return let(F.filter(strings, candidate), lambda likely: F.coalesce(
+        *[F.get(F.filter(likely, rule), F.lit(0)) for rule in (hyphenated, numbered)], F.lit("")))
 
 
 SCRIPT_IDS = [4103, 4104]

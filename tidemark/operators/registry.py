@@ -29,9 +29,12 @@ def _names_or(items: Column, prefix: str, fallback: Column) -> Column:
     return F.when(F.size(items) > 0, F.concat(F.lit(prefix), F.array_join(F.slice(items, 1, 5), "; "))).otherwise(fallback)
 
 
-def registry_plugins(path: Column, key_name: Column, values: Column) -> Column:
-    """``struct(artifact, message)`` for keys of known meaning, else null; first rule wins."""
-    upper = F.upper(path)
+def registry_plugins(path: Column, key_name: Column, values: Column, upper: Column | None = None) -> Column:
+    """``struct(artifact, message)`` for keys of known meaning, else null; first rule wins.
+
+    ``upper``: the upper-case path, when it is already a column.
+    """
+    upper = F.upper(path) if upper is None else upper
 
     def first(n):
         return F.slice(values, 1, n)
@@ -102,8 +105,10 @@ def registry_events(keys: DataFrame, paths: DataFrame | None = None) -> DataFram
         keys = keys.join(paths.select("hive_id", "rel_off", "full_path"), ["hive_id", "rel_off"])
     ns = filetime_to_ns("last_write")
     rows = keys.filter(ns > 0).withColumns({
-        "full_path": F.coalesce("full_path", F.lit("")), "_pairs": value_pairs(F.col("values"))})
-    rows = rows.withColumn("_rule", registry_plugins(F.col("full_path"), F.col("name"), F.col("_pairs")))
+        "full_path": F.coalesce("full_path", F.lit("")), "_upper": F.upper("full_path"),
+        "_pairs": value_pairs(F.col("values"))})
+    rows = rows.withColumn("_rule", registry_plugins(
+        F.col("full_path"), F.col("name"), F.col("_pairs"), F.col("_upper")))
     return to_events(
         rows, artifact_type="REGISTRY", source="REGISTRY", ts=ns,
         artifact=F.coalesce(F.col("_rule")["artifact"], F.lit("Registry Key")),

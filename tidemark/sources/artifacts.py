@@ -55,25 +55,35 @@ def list_files(spark: SparkSession, root: str, image_id: str, host_id: str | Non
 
 
 def _pattern_regex(pattern: str, is_dir: bool) -> str:
-    body = "[^/]*".join(re.escape(part) for part in pattern.rstrip("/").split("*"))
-    return f"(?i)^({body})/." if is_dir else f"(?i)^({body})$"
+    body = "[^/]*".join(re.escape(part) for part in pattern.lower().rstrip("/").split("*"))
+    return f"^{body}/." if is_dir else f"^{body}$"
+
+
+def _matches(low: Column, pattern: str, is_dir: bool) -> Column:
+    """Cheap fixed-text tests first; the regular expression runs only where they hold."""
+    pattern = pattern.lower()
+    head, *more = pattern.split("*")
+    if not more:
+        return low.startswith(pattern) & (F.length(low) > len(pattern)) if is_dir else low == pattern
+    fits = low.startswith(head) if is_dir else low.startswith(head) & low.endswith(more[-1])
+    return fits & low.rlike(_pattern_regex(pattern, is_dir))
 
 
 def classify_artifacts(files: DataFrame, patterns=PATTERNS) -> DataFrame:
     """Match every path against the rules; a file may serve several artifact types.
 
-    Each rule is one literal regular expression evaluated in the row: no join with the rule
-    table.  Directory rules add up the size of everything below the directory.
+    The rules are literal tests evaluated in the row: no join with the rule table.  Directory
+    rules add up the size of everything below the directory.
     """
-    path = F.translate("path", "\\", "/")
+    listed = files.select(*_KEYS, "length", F.translate("path", "\\", "/").alias("path"))
+    listed = listed.withColumn("_low", F.lower("path"))
     hits = []
     for kind, pattern, is_dir in patterns:
-        regex = _pattern_regex(pattern, is_dir)
-        hits.append(F.when(path.rlike(regex), F.struct(
-            F.lit(kind).alias("artifact_type"), F.regexp_extract(path, regex, 1).alias("path"),
-            F.lit(is_dir).alias("is_directory"))))
-    matched = files.select(*_KEYS, "length", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(
-        *_KEYS, "hit.*", "length")
+        levels = pattern.rstrip("/").count("/") + 1
+        found = F.substring_index("path", "/", levels) if is_dir else F.col("path")
+        hits.append(F.when(_matches(F.col("_low"), pattern, is_dir), F.struct(
+            F.lit(kind).alias("artifact_type"), found.alias("path"), F.lit(is_dir).alias("is_directory"))))
+    matched = listed.select(*_KEYS, "length", F.inline(F.array(*hits))).filter("artifact_type IS NOT NULL")
     return matched.groupBy(*_KEYS, "artifact_type", "path", "is_directory").agg(F.sum("length").alias("size_bytes"))
 
 

@@ -110,52 +110,68 @@ MIN_USN, MAX_NAME = 60, 1 << 16
 _USN_SCHEMA = RECORD_SCHEMAS["usn"].replace("host_id STRING, ", "")
 
 
-def _usn_candidates(data: np.ndarray, own: int, shift: int, carve: bool) -> tuple[np.ndarray, ...]:
-    """Start, length and major version of possible records at offsets ``shift`` modulo 8."""
-    offs = np.arange(shift, max(min(own, len(data) - MIN_USN + 1), 0), 8, dtype=np.int64)
-    words = data[shift:shift + (len(data) - shift) // 8 * 8].view("<u4")
-    length, version = words[: 2 * len(offs) : 2].astype(np.int64), words[1 : 2 * len(offs) : 2]
-    fits = (length >= MIN_USN) & (offs + length <= len(data))
+def _page_offsets(page: np.ndarray, own: int, carve: bool) -> list[tuple[int, int]]:
+    """Start and length of the version-2 records of one page, at any alignment."""
+    found, pos, limit = [], 0, len(page)
+    while pos < own and pos + MIN_USN <= limit:
+        length, version = (int(x) for x in page[pos:pos + 8].view("<u4"))
+        fits = MIN_USN <= length <= limit - pos
+        if carve:
+            fits = fits and length <= RECORD_MAX and length % 8 == 0 and version == 2
+        if fits and version & 0xFFFF == 2:
+            found.append((pos, length))
+        pos += length if fits else 8
+    return found
+
+
+def _batch_offsets(data: np.ndarray, base: np.ndarray, own_end: np.ndarray, end: np.ndarray,
+                   carve: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and page number of the version-2 records of 8-aligned pages in one buffer.
+
+    Possible records are found by whole-array tests; the walk then visits only those.  A page
+    whose walk leaves the 8-byte grid is read again byte-exactly.
+    """
+    words = data.view("<u4")
+    spots = np.flatnonzero(words[::2] >= MIN_USN)
+    offs, length, version = spots * 8, words[spots * 2].astype(np.int64), words[spots * 2 + 1]
+    page = np.searchsorted(base, offs, side="right") - 1
+    fits = (offs < own_end[page]) & (offs + length <= end[page])
     if carve:
         fits &= (length <= RECORD_MAX) & (length % 8 == 0) & (version == 2)
-    return offs[fits], length[fits], version[fits] & 0xFFFF
-
-
-def _usn_offsets(data: np.ndarray, own: int, carve: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of the version-2 records met when reading on from each accepted record."""
-    by_shift: dict[int, tuple[np.ndarray, ...]] = {}
-    starts, lengths, pos = [], [], 0
-    while True:
-        shift = pos % 8
-        if shift not in by_shift:
-            by_shift[shift] = _usn_candidates(data, own, shift, carve)
-        offs, length, major = by_shift[shift]
-        i = int(np.searchsorted(offs, pos))
-        if i == len(offs):
-            return np.array(starts, np.int64), np.array(lengths, np.int64)
-        if major[i] == 2:
-            starts.append(int(offs[i]))
-            lengths.append(int(length[i]))
-        pos = int(offs[i] + length[i])
+    columns = [x[fits] for x in (offs, length, version & 0xFFFF, page)]
+    starts, lengths, pages, ragged, free, current = [], [], [], set(), 0, -1
+    for start, size, major, owner in zip(*(c.tolist() for c in columns)):
+        if owner != current:
+            current, free = owner, 0
+        if start < free:
+            continue
+        free = start + size
+        if size % 8:
+            ragged.add(owner)
+        if major == 2:
+            starts.append(start)
+            lengths.append(size)
+            pages.append(owner)
+    if ragged:
+        kept = [row for row in zip(starts, lengths, pages) if row[2] not in ragged]
+        for owner in ragged:
+            lo, hi = int(base[owner]), int(end[owner])
+            exact = _page_offsets(data[lo:hi], int(own_end[owner]) - lo, carve)
+            kept += [(lo + at, size, owner) for at, size in exact]
+        starts, lengths, pages = (list(c) for c in zip(*kept)) if kept else ([], [], [])
+    return tuple(np.array(c, dtype=np.int64) for c in (starts, lengths, pages))
 
 
 def _usn_batch(pages: list[tuple[str, bytes, bytes]], carve: bool) -> pa.RecordBatch:
     """Decode the journal records of a batch of pages (image, content, next head)."""
-    images, blobs, offs, lengths, base = [], [], [], [], 0
-    for image, content, head in pages:
-        if not content.strip(b"\0"):
-            continue
-        blob = content + head
-        at, length = _usn_offsets(np.frombuffer(blob, dtype=np.uint8), len(content), carve)
-        images += [image] * len(at)
-        blobs.append(blob)
-        offs.append(at + base)
-        lengths.append(length)
-        base += len(blob)
-    blob = b"".join(blobs)
+    pages = [p for p in pages if p[1].strip(b"\0")]
+    sizes = np.array([(len(c), len(c) + len(h)) for _, c, h in pages], dtype=np.int64).reshape(-1, 2)
+    padded = (sizes[:, 1] + 7) // 8 * 8
+    base = np.concatenate([[0], np.cumsum(padded)]).astype(np.int64)[:-1]
+    blob = b"".join((c + h).ljust(n, b"\0") for (_, c, h), n in zip(pages, padded.tolist()))
     data = np.frombuffer(blob, dtype=np.uint8)
-    offs = np.concatenate([*offs, np.empty(0, np.int64)])
-    lengths = np.concatenate([*lengths, np.empty(0, np.int64)])
+    offs, lengths, owner = _batch_offsets(data, base, base + sizes[:, 0], base + sizes[:, 1], carve)
+    images = [pages[i][0] for i in owner.tolist()]
     name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
     inside = name_off + name_len <= lengths
     names = [_text(blob[o + p:o + p + n // 2 * 2]) if ok else None

@@ -113,7 +113,7 @@ def usn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         pack_le(F.length(name), 2), pack_le(60, 2), name)
     page = F.concat(pack_le(0, 8), pad_to(body, size), pack_le(13, 8))
     return rows.select(F.lit("img0").alias("image_id"), F.lit(0).cast("bigint").alias("chunk_off"),
-                       page.alias("content"), F.lit(b"").alias("next_head"))
+                       page.alias("content"), F.lit(b"").alias("prev_tail"), F.lit(b"").alias("next_head"))
 
 
 def mft_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ RECORD_SCHEMAS: dict[str, str] = {
     "mft": _KEYS + "entry BIGINT, name STRING, parent BIGINT, si ARRAY<BIGINT>, fn ARRAY<BIGINT>",
     "usn": _KEYS + "parent_entry BIGINT, filetime BIGINT, reason BIGINT, file_attrs BIGINT, "
                    "file_name STRING, recovered BOOLEAN",
-    "binary_chunks": _KEYS + "chunk_off BIGINT, content BINARY, next_head BINARY",
+    "binary_chunks": _KEYS + "chunk_off BIGINT, content BINARY, prev_tail BINARY, next_head BINARY",
     "evtx": _KEYS + "record_number BIGINT, filetime BIGINT, event_id INT, level INT, "
                     "channel STRING, computer STRING, strings ARRAY<STRING>, "
                     "u32s ARRAY<BIGINT>, file_name STRING",

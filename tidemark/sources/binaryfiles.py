@@ -44,14 +44,14 @@ def read_recycle_i(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- pages ------------------------------------------------------------------------------
 
-_CHUNK_SCHEMA = "image_id STRING, chunk_off BIGINT, content BINARY, next_head BINARY"
+_CHUNK_SCHEMA = "image_id STRING, chunk_off BIGINT, content BINARY, prev_tail BINARY, next_head BINARY"
 
 
 def chunk_files(files: DataFrame, chunk_bytes: int = MIB) -> DataFrame:
-    """Cut whole-file rows (``image_id``, ``content``) into pages with a look-ahead.
+    """Cut whole-file rows (``image_id``, ``content``) into pages with both neighbours' edges.
 
-    ``next_head`` holds the first 64 KiB after the page, so that a record crossing the edge
-    is read by the page it starts in, without a shuffle.
+    ``prev_tail`` and ``next_head`` hold up to 64 KiB before and after the page, so a record
+    crossing an edge is read once, by the page it starts in, without a shuffle.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,23 +63,28 @@ def chunk_files(files: DataFrame, chunk_bytes: int = MIB) -> DataFrame:
                         "image_id": pa.array([image], pa.string()),
                         "chunk_off": pa.array([off], pa.int64()),
                         "content": pa.array([bytes(view[off:end])], pa.binary()),
+                        "prev_tail": pa.array([bytes(view[max(off - RECORD_MAX, 0):off])], pa.binary()),
                         "next_head": pa.array([bytes(view[end:end + RECORD_MAX])], pa.binary())})
 
     return files.select("image_id", "content").mapInArrow(cut, _CHUNK_SCHEMA)
 
 
-def with_next_head(chunks: DataFrame) -> DataFrame:
-    """Add ``next_head`` to stored equal-size pages: each page sends its head to the page before.
+def with_neighbours(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:
+    """Add ``prev_tail`` and ``next_head`` to stored pages of equal size (64 KiB or more).
 
-    An equi-join on the page number, so a very large image is spread over all tasks (a window
-    per image would pull it into one).
+    Every page sends its edges to the pages beside it and one equi-join on (image, page number)
+    brings them home.  The pages of a very large image are spread over all tasks; a window per
+    image would pull them into one.
     """
-    size = F.length("content")
-    heads = chunks.select("image_id", F.col("chunk_off").alias("_end"),
-                          F.substring("content", 1, RECORD_MAX).alias("next_head"))
-    return (chunks.withColumn("_end", F.col("chunk_off") + size)
-            .join(heads, ["image_id", "_end"], "left").drop("_end")
-            .withColumn("next_head", F.coalesce("next_head", F.lit(b""))))
+    page = F.call_function("div", F.col("chunk_off"), F.lit(page_bytes))
+    heads = chunks.select("image_id", (page - 1).alias("_page"), F.substring("content", 1, RECORD_MAX).alias("next_head"),
+                          F.lit(None).cast("binary").alias("prev_tail"))
+    tail = F.substring("content", F.greatest(F.length("content") - RECORD_MAX, F.lit(0)) + 1, F.lit(RECORD_MAX))
+    tails = chunks.select("image_id", (page + 1).alias("_page"), F.lit(None).cast("binary").alias("next_head"),
+                          tail.alias("prev_tail"))
+    edges = heads.unionByName(tails).groupBy("image_id", "_page").agg(
+        F.max("next_head").alias("next_head"), F.max("prev_tail").alias("prev_tail"))
+    return chunks.withColumn("_page", page).join(edges, ["image_id", "_page"], "left").drop("_page")
 
 
 def read_pages(spark: SparkSession, path: str, image_id: str, page_bytes: int = MIB) -> DataFrame:
@@ -110,9 +115,9 @@ MIN_USN, MAX_NAME = 60, 1 << 16
 _USN_SCHEMA = RECORD_SCHEMAS["usn"].replace("host_id STRING, ", "")
 
 
-def _page_offsets(page: np.ndarray, own: int, carve: bool) -> list[tuple[int, int]]:
+def _page_offsets(page: np.ndarray, start: int, own: int, carve: bool) -> list[tuple[int, int]]:
     """Start and length of the version-2 records of one page, at any alignment."""
-    found, pos, limit = [], 0, len(page)
+    found, pos, limit = [], start, len(page)
     while pos < own and pos + MIN_USN <= limit:
         length, version = (int(x) for x in page[pos:pos + 8].view("<u4"))
         fits = MIN_USN <= length <= limit - pos
@@ -124,21 +129,38 @@ def _page_offsets(page: np.ndarray, own: int, carve: bool) -> list[tuple[int, in
     return found
 
 
-def _batch_offsets(data: np.ndarray, base: np.ndarray, own_end: np.ndarray, end: np.ndarray,
+def _crossing_ends(data: np.ndarray, offs: np.ndarray, length: np.ndarray, version: np.ndarray,
+                   page: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where each page's own records begin: past a well-formed record that enters from before."""
+    begin = own.copy()
+    enters = (offs < own[page]) & (offs + length > own[page]) & (version == 2) & (length % 8 == 0) & (length <= RECORD_MAX)
+    offs, length, page = offs[enters], length[enters], page[enters]
+    name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
+    exact = (name_off == MIN_USN) & (length - name_off - name_len >= 0) & (length - name_off - name_len < 8)
+    for i in np.flatnonzero(exact)[::-1].tolist():   # the earliest start decides
+        begin[page[i]] = offs[i] + length[i]
+    return begin
+
+
+def _batch_offsets(data: np.ndarray, base: np.ndarray, own: np.ndarray, own_end: np.ndarray, end: np.ndarray,
                    carve: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and page number of the version-2 records of 8-aligned pages in one buffer.
 
-    Possible records are found by whole-array tests; the walk then visits only those.  A page
-    whose walk leaves the 8-byte grid is read again byte-exactly.
+    Page ``i`` owns ``own[i]:own_end[i]`` of its stretch ``base[i]:end[i]``.  Possible records are
+    found by whole-array tests; the walk then visits only those.  A page whose walk leaves the
+    8-byte grid is read again byte-exactly.
     """
     words = data.view("<u4")
     spots = np.flatnonzero(words[::2] >= MIN_USN)
     offs, length, version = spots * 8, words[spots * 2].astype(np.int64), words[spots * 2 + 1]
     page = np.searchsorted(base, offs, side="right") - 1
     fits = (offs < own_end[page]) & (offs + length <= end[page])
+    offs, length, version, page = (x[fits] for x in (offs, length, version, page))
+    begin = _crossing_ends(data, offs, length, version, page, own)
+    mine = offs >= begin[page]
     if carve:
-        fits &= (length <= RECORD_MAX) & (length % 8 == 0) & (version == 2)
-    columns = [x[fits] for x in (offs, length, version & 0xFFFF, page)]
+        mine &= (length <= RECORD_MAX) & (length % 8 == 0) & (version == 2)
+    columns = [x[mine] for x in (offs, length, version & 0xFFFF, page)]
     starts, lengths, pages, ragged, free, current = [], [], [], set(), 0, -1
     for start, size, major, owner in zip(*(c.tolist() for c in columns)):
         if owner != current:
@@ -156,26 +178,28 @@ def _batch_offsets(data: np.ndarray, base: np.ndarray, own_end: np.ndarray, end:
         kept = [row for row in zip(starts, lengths, pages) if row[2] not in ragged]
         for owner in ragged:
             lo, hi = int(base[owner]), int(end[owner])
-            exact = _page_offsets(data[lo:hi], int(own_end[owner]) - lo, carve)
+            exact = _page_offsets(data[lo:hi], int(begin[owner]) - lo, int(own_end[owner]) - lo, carve)
             kept += [(lo + at, size, owner) for at, size in exact]
         starts, lengths, pages = (list(c) for c in zip(*kept)) if kept else ([], [], [])
     return tuple(np.array(c, dtype=np.int64) for c in (starts, lengths, pages))
 
 
-def _usn_batch(pages: list[tuple[str, bytes, bytes]], carve: bool) -> pa.RecordBatch:
-    """Decode the journal records of a batch of pages (image, content, next head)."""
-    pages = [p for p in pages if p[1].strip(b"\0")]
-    sizes = np.array([(len(c), len(c) + len(h)) for _, c, h in pages], dtype=np.int64).reshape(-1, 2)
-    padded = (sizes[:, 1] + 7) // 8 * 8
+def _usn_batch(pages: list[tuple[str, bytes, bytes, bytes]], carve: bool) -> pa.RecordBatch:
+    """Decode the journal records of a batch of pages (image, previous tail, content, next head)."""
+    pages = [p for p in pages if p[2].strip(b"\0")]
+    sizes = np.array([[len(part) for part in p[1:]] for p in pages], dtype=np.int64).reshape(-1, 3)
+    ends = np.cumsum(sizes, axis=1)
+    padded = (ends[:, 2] + 7) // 8 * 8
     base = np.concatenate([[0], np.cumsum(padded)]).astype(np.int64)[:-1]
-    blob = b"".join((c + h).ljust(n, b"\0") for (_, c, h), n in zip(pages, padded.tolist()))
+    blob = b"".join(b"".join(p[1:]).ljust(n, b"\0") for p, n in zip(pages, padded.tolist()))
     data = np.frombuffer(blob, dtype=np.uint8)
-    offs, lengths, owner = _batch_offsets(data, base, base + sizes[:, 0], base + sizes[:, 1], carve)
+    offs, lengths, owner = _batch_offsets(data, base, *(base + ends[:, i] for i in range(3)), carve)
     images = [pages[i][0] for i in owner.tolist()]
     name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
     inside = name_off + name_len <= lengths
-    names = [_text(blob[o + p:o + p + n // 2 * 2]) if ok else None
-             for o, p, n, ok in zip(offs.tolist(), name_off.tolist(), name_len.tolist(), inside.tolist())]
+    kept_len = name_len if carve else name_len // 2 * 2   # a live journal drops half a character
+    names = [_text(blob[o + p:o + p + n]) if ok else None
+             for o, p, n, ok in zip(offs.tolist(), name_off.tolist(), kept_len.tolist(), inside.tolist())]
     out = pa.RecordBatch.from_pydict({
         "image_id": pa.array(images, pa.string()),
         "parent_entry": pa.array((_gather(data, offs + 16, 8) & np.uint64(ENTRY_MASK)).astype(np.int64)),
@@ -187,26 +211,27 @@ def _usn_batch(pages: list[tuple[str, bytes, bytes]], carve: bool) -> pa.RecordB
     return out.filter(pa.array(inside & (name_len > 0))) if carve else out
 
 
-def _usn_records(chunks: DataFrame, carve: bool) -> DataFrame:
+def _usn_records(chunks: DataFrame, carve: bool, page_bytes: int) -> DataFrame:
+    columns = ["image_id", "prev_tail", "content", "next_head"]
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("image_id", "content", "next_head")]
-            yield _usn_batch([(i, c or b"", h or b"") for i, c, h in zip(*columns)], carve)
+            image, *parts = (batch.column(c).to_pylist() for c in columns)
+            yield _usn_batch([(i, *(p or b"" for p in row)) for i, *row in zip(image, *parts)], carve)
 
-    if "next_head" not in chunks.columns:
-        chunks = with_next_head(chunks)
-    return chunks.select("image_id", "content", "next_head").mapInArrow(decode, _USN_SCHEMA).withColumn(
-        "host_id", F.col("image_id"))
+    if not set(columns) <= set(chunks.columns):
+        chunks = with_neighbours(chunks, page_bytes)
+    return chunks.select(*columns).mapInArrow(decode, _USN_SCHEMA).withColumn("host_id", F.col("image_id"))
 
 
-def scan_usn(chunks: DataFrame) -> DataFrame:
+def scan_usn(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:
     """Journal records of ``$J`` pages; each page reads the records that start in it."""
-    return _usn_records(chunks, carve=False)
+    return _usn_records(chunks, False, page_bytes)
 
 
-def carve_usn(chunks: DataFrame) -> DataFrame:
+def carve_usn(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:
     """Journal records anywhere in raw pages, under stricter checks; marked as recovered."""
-    return _usn_records(chunks, carve=True)
+    return _usn_records(chunks, True, page_bytes)
 
 
 # ---- file table -------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.textcols import macb_desc
 from ..operators.timeline import SORT_TIES, filter_time, filter_type, sort_timeline
 from ..schema import TIMELINE_FIELDS
+from ..session import materialize
 from .records import read_timeline
 
 
@@ -14,7 +15,10 @@ def _by_type_and_time(df: DataFrame) -> DataFrame:
     """Range-partition by type and time, so each file covers one narrow time range of one type.
 
     The input partition ends the range key: copies that share every other key still split.
+    Range partitioning reads its input twice (once to sample), so the events are computed
+    into a scratch table first.
     """
+    df = materialize(df, "unsorted")
     keys = ["artifact_type", "timestamp_ns", *SORT_TIES]
     spread = df.withColumn("_part", F.spark_partition_id()).repartitionByRange(*keys, "_part")
     return spread.sortWithinPartitions(*keys).drop("_part")
@@ -26,7 +30,7 @@ def write_parquet(df: DataFrame, path: str, by_type: bool = True, sort: bool = T
         out = _by_type_and_time(df) if sort else df
         out.write.mode(mode).partitionBy("artifact_type").parquet(path)
     else:
-        (sort_timeline(df) if sort else df).write.mode(mode).parquet(path)
+        (sort_timeline(materialize(df, "unsorted")) if sort else df).write.mode(mode).parquet(path)
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -401,33 +401,29 @@ def distinct_events(spark, sf):
 
 # ---- snapshots --------------------------------------------------------------------------
 
-def _snapshots(spark, sf):
-    """Two snapshots of the order tree: all orders, and the finished ones."""
+def _snapshot_events(spark, sf, tree):
+    """Two snapshots of the order tree in one plan: all orders, and the finished ones."""
     rows = R.mft(spark, sf).join(R.table(spark, sf, "orders").selectExpr("o_orderkey AS entry", "o_orderstatus"), "entry")
-    tree = _tree(spark, sf)
-    first = rows.withColumn("snapshot_id", F.lit(1))
-    second = rows.filter("o_orderstatus = 'F'").withColumn("snapshot_id", F.lit(2))
-    marked = first.unionByName(second).join(tree, ["image_id", "entry"])
+    ids = F.when(F.col("o_orderstatus") == "F", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     area = F.when(F.col("entry") % 50 == 49, F.concat(F.lit("\\$Extend"), "file_path")).otherwise(F.col("file_path"))
-    return marked.withColumn("file_path", area)
-
-
-def _snapshot_events(spark, sf):
-    marked = _snapshots(spark, sf)
-    parts = [filesystem.mft_events(marked.filter(F.col("snapshot_id") == i)).withColumn("snapshot_id", F.lit(i)) for i in (1, 2)]
-    return parts[0].unionByName(parts[1])
+    marked = rows.join(tree, ["image_id", "entry"]).withColumn("file_path", area).withColumn("_id", F.explode(ids))
+    events = filesystem.mft_events(marked.withColumn("image_id", F.concat_ws("#", "image_id", F.col("_id").cast("string"))))
+    return events.withColumns({"snapshot_id": F.substring_index("image_id", "#", -1).cast("int"),
+                               "image_id": F.substring_index("image_id", "#", 1)})
 
 
-def _current_events(spark, sf):
+def _current_events(spark, sf, tree):
     """The live volume holds the entries that line items still point to with an open status."""
     alive = R.table(spark, sf, "lineitem").filter("l_linestatus = 'O'").selectExpr("l_orderkey AS entry").distinct()
-    rows = R.mft(spark, sf).join(alive, "entry", "left_semi").join(_tree(spark, sf), ["image_id", "entry"])
+    rows = R.mft(spark, sf).join(alive, "entry", "left_semi").join(tree, ["image_id", "entry"])
     return filesystem.mft_events(rows)
 
 
 @query
 def snapshot_file_delta(spark, sf):
-    gone = delta.snapshot_file_delta(_snapshot_events(spark, sf), delta.current_paths(_current_events(spark, sf)))
+    tree = _tree(spark, sf)
+    gone = delta.snapshot_file_delta(
+        _snapshot_events(spark, sf, tree), delta.current_paths(_current_events(spark, sf, tree)))
     return gone.select(*EVENT_COLUMNS, "snapshot_id")
 
 
@@ -455,8 +451,10 @@ def snapshot_key_delta(spark, sf):
 
 @query
 def vss_counts(spark, sf):
-    current = timeline.union_timelines(_current_events(spark, sf), _current_key_events(spark, sf))
-    return aggregates.delta_counts(delta.multi_snapshot_delta(_snapshot_events(spark, sf), _key_snapshot(spark, sf), current))
+    tree = _tree(spark, sf)
+    current = timeline.union_timelines(_current_events(spark, sf, tree), _current_key_events(spark, sf))
+    return aggregates.delta_counts(delta.multi_snapshot_delta(
+        _snapshot_events(spark, sf, tree), _key_snapshot(spark, sf), current))
 
 
 @query

@@ -3,8 +3,6 @@ import random
 import struct
 import tempfile
 
-from pyspark.sql import functions as F
-
 from tidemark.operators import filesystem, paths
 from tidemark.sources import binaryfiles as B
 

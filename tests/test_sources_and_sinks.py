@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, execution, filesystem, textual, timeline
 from tidemark.plans import timeline_run
-from tidemark.schema import RECORD_SCHEMAS, TIMELINE_FIELDS
+from tidemark.schema import TIMELINE_FIELDS
 from tidemark.sources import artifacts, records, sinks, textfiles
 from test_builders import FT, brief, rows
 

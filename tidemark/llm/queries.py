@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, html_text, near_duplicates, quality, repeated_passages, token_counts, url_filter, wavelet_output
+from . import byte_bpe, decontamination, html_text, near_duplicates, quality, repeated_passages, token_counts, url_filter, vector_search, wavelet_output
 from .common import table
 
 
+def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -47,6 +51,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_html_text, op4_byte_bpe, op5_token_counts, op6_minhash, op7_token_files,
+QUERIES = {f.__name__: f for f in (op1_vector_search, op2_url_filter, op3_html_text, op4_byte_bpe, op5_token_counts, op6_minhash, op7_token_files,
                                    op8_quality, op9_repeated_passages, op10_decontamination)}
 ORACLE: dict[str, str] = {}

@@ -51,6 +51,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this subpackage
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {f.__name__: f for f in (op1_vector_search, op2_url_filter, op3_html_text, op4_byte_bpe, op5_token_counts, op6_minhash, op7_token_files,
-                                   op8_quality, op9_repeated_passages, op10_decontamination)}
+                                   op8_quality, op9_repeated_passages, op10_decontamination, pipeline)}
 ORACLE: dict[str, str] = {}

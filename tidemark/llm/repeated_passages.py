@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialize
 from .common import id_and_text, map_arrow, map_batches, mix, row_bytes, signed
@@ -443,7 +444,7 @@ def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _tagged(docs: DataFrame, text: str) -> DataFrame:
-    schema = docs.schema.add("__tag", "long")
+    schema = StructType([*docs.schema.fields, StructField("__tag", LongType())])
 
     def run(batches):
         for batch in batches:

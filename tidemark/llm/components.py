@@ -14,8 +14,7 @@ def components(edges: DataFrame) -> DataFrame:
     label by its own label, and ends in a written table; the number of rounds grows with the
     logarithm of the longest path for the most part.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
-    both = materialize(both, "edges")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "id"), "labels")
     while True:
         near = (both.join(labels.select(F.col("id").alias("b"), "component"), "b")

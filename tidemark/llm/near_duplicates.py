@@ -8,8 +8,8 @@ and sets are compared in full before two documents are linked.
 Equal sets form a class first, and only one document of each class is hashed on.  In a bucket no
 pairs are listed: each member is compared with the bucket's most popular member (the one with the
 most company in all its buckets).  Links make components; where a bucket then still holds several
-components, further centres are tried, and at last all remaining pairs of different components that
-a 128-bit sketch does not rule out are compared, so no link among candidates is lost.
+components, all pairs of different components that sketches do not rule out are compared
+(after further centres, if there are very many), so no link among candidates is lost.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .components import components
 WORDS = 5
 BANDS = 32
 PERMUTATIONS = 2 * BANDS
-SKETCH_AGREES = 90  # of 128 bits; a pair at a similarity of 0.75 has 112 +- 3.7
+SKETCH_AGREES = 95  # of 128 bits; a pair at a similarity of 0.75 has 112 +- 3.7
+COMPARED = 4096  # sketches a member of a bucket may be compared with, on average, before other centres are tried
 _rng = np.random.default_rng(20)
 FACTORS = _rng.integers(1, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -74,8 +75,23 @@ def sketch(low: np.ndarray, high: np.ndarray) -> tuple[int, int]:
     return tuple(signed(np.packbits((mix(v) & np.uint64(1)).astype(np.uint8)).view(np.uint64))[0].item() for v in (low, high))
 
 
+def parity(shingles: np.ndarray) -> tuple[int, np.ndarray]:
+    """An odd sketch: parities of how many shingles fall on each of 1,024 places, and the sampling level for large sets.
+
+    The exclusive or of two such sketches tells how many shingles two sets do not share.
+    """
+    level = max(0, (len(shingles) // 1000).bit_length())
+    some = shingles[shingles >> np.uint64(64 - level) == 0] if level else shingles
+    odd = np.bincount((mix(some) & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return level, signed(np.packbits(odd.astype(np.uint8)).view(np.uint64))
+
+
+PARITIES = [f"p{k}" for k in range(16)]
+
+
 def _signed_rows(columns: dict) -> dict:
-    out: dict[str, list] = {"doc_id": columns["doc_id"], "n": [], "d1": [], "d2": [], "keys": [], "s1": [], "s2": []}
+    out: dict[str, list] = {"doc_id": columns["doc_id"], "n": [], "d1": [], "d2": [], "keys": [], "s1": [], "s2": [], "level": [],
+                            "parity": []}
     for text in row_bytes(columns["text"]):
         shingles = shingle_set(text)
         out["n"].append(len(shingles))
@@ -83,15 +99,16 @@ def _signed_rows(columns: dict) -> dict:
             digest = xxhash.xxh3_128_intdigest(shingles.tobytes())
             low, high = signature(shingles)
             s1, s2 = sketch(low, high)
-            row = ((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), signed(band_keys(low, high)), s1, s2)
+            row = ((digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63), signed(band_keys(low, high)), s1, s2,
+                   *parity(shingles))
         else:
-            row = (None, None, None, None, None)
-        for name, value in zip(("d1", "d2", "keys", "s1", "s2"), row):
+            row = (None,) * 7
+        for name, value in zip(("d1", "d2", "keys", "s1", "s2", "level", "parity"), row):
             out[name].append(value)
     return out
 
 
-SIGNED = "doc_id long, n int, d1 long, d2 long, keys array<long>, s1 long, s2 long"
+SIGNED = "doc_id long, n int, d1 long, d2 long, keys array<long>, s1 long, s2 long, level int, parity array<long>"
 
 
 def _sets(columns: dict) -> dict:
@@ -125,10 +142,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(met, "a long, b long, linked boolean", _compared).filter("linked").select("a", "b")
 
 
-def plausible(n1, n2, s1, s2, t1, t2):
-    """Sizes within the bound (exact), and sketches that agree well enough."""
-    agree = F.lit(128) - F.bit_count(s1.bitwiseXOR(t1)) - F.bit_count(s2.bitwiseXOR(t2))
-    return (100 * F.least(n1, n2) >= 75 * F.greatest(n1, n2)) & (agree >= SKETCH_AGREES)
+def plausible(a: str, b: str):
+    """Sizes within the bound (exact); sketches and parities of two facts that agree well enough (five deviations)."""
+    def x(name):
+        return F.col(f"{a}.{name}")
+
+    def y(name):
+        return F.col(f"{b}.{name}")
+
+    agree = F.lit(128) - F.bit_count(x("s1").bitwiseXOR(y("s1"))) - F.bit_count(x("s2").bitwiseXOR(y("s2")))
+    differ = F.bit_count(x("p0").bitwiseXOR(y("p0")))
+    for p in PARITIES[1:]:
+        differ = differ + F.bit_count(x(p).bitwiseXOR(y(p)))
+    unshared = (x("n") + y("n")) / 7.0 / F.pow(F.lit(2.0), x("level"))  # at most, at a similarity of 0.75
+    places = 512 * (1 - F.pow(F.lit(1 - 2 / 1024), unshared))
+    spread = F.sqrt(F.when(x("level") > 0, 2 * places).otherwise(places))
+    return ((100 * F.least(x("n"), y("n")) >= 75 * F.greatest(x("n"), y("n"))) & (agree >= SKETCH_AGREES)
+            & ((x("level") != y("level")) | (differ <= places + 5 * spread)))
 
 
 def _centred(buckets: DataFrame, facts: DataFrame, order) -> DataFrame:
@@ -140,30 +170,28 @@ def _centred(buckets: DataFrame, facts: DataFrame, order) -> DataFrame:
 
 
 def _filtered(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    mine = facts.select("id", F.col("n").alias("n1"), F.col("s1").alias("p1"), F.col("s2").alias("p2"))
-    other = facts.select(F.col("id").alias("center"), F.col("n").alias("n2"), F.col("s1").alias("q1"), F.col("s2").alias("q2"))
-    met = pairs.join(mine, "id").join(other, "center")
-    return met.filter(plausible(*[F.col(c) for c in ("n1", "n2", "p1", "p2", "q1", "q2")])).select("center", "id")
+    mine, other = facts.alias("m"), facts.alias("o")
+    met = pairs.alias("x").join(mine, F.col("x.id") == F.col("m.id")).join(other, F.col("x.center") == F.col("o.id"))
+    return met.filter(plausible("m", "o")).select("x.center", "x.id")
 
 
-def _relabelled(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """Buckets with the components that the links make, without buckets of one component."""
-    new = components(links)
-    buckets = buckets.drop("component").join(new, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _relabelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets with their members' components, without buckets of one component."""
+    buckets = buckets.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (buckets.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .filter("low < high").select("key"))
     return buckets.join(mixed, "key", "left_semi")
 
 
-def links_between(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All rows with their class's smallest id, and links ``a, b`` that make the components of those."""
+def rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All rows with their class's smallest id, and the components of those ids that have links."""
     rows = materialize(map_batches(docs, SIGNED, _signed_rows), "signed")
     some = rows.filter("d1 is not null and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("s1").alias("s1"),
-        F.first("s2").alias("s2"))
+        F.first("s2").alias("s2"), F.first("level").alias("level"), F.first("parity").alias("parity"))
     classes = materialize(classes, "classes")
-    facts = classes.select("id", "n", "s1", "s2")
+    facts = classes.select("id", "n", "s1", "s2", "level", *[F.get("parity", F.lit(k)).alias(p) for k, p in enumerate(PARITIES)])
     found = classes.select("id", F.explode("keys").alias("key"))
     shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = found.join(shared, "key")
@@ -175,38 +203,48 @@ def links_between(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
              .join(some, "doc_id").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     pairs = materialize(_centred(buckets, facts, F.struct(*member)), "pairs")
     links = materialize(confirmed(pairs, docs).union(again), "links")
-    left = materialize(_relabelled(buckets, links), "buckets")
-    tried = 1
-    while not left.isEmpty():
-        sizes = left.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q"))
-        rest, members = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("q")) / 2), F.sum("n")).first()
-        if rest <= 8 * members or tried >= 4:  # few pairs are left, or centres no longer help: all of them
-            members = left.join(facts, "id")
-            a, b = members.alias("a"), members.alias("b")
-            fits = plausible(*[F.col(c) for c in ("a.n", "b.n", "a.s1", "a.s2", "b.s1", "b.s2")])
-            pairs = (a.join(b, F.col("a.key") == F.col("b.key")).filter((F.col("a.component") < F.col("b.component")) & fits)
-                     .select(F.col("a.id").alias("center"), F.col("b.id").alias("id")).distinct())
-            links = links.union(materialize(confirmed(materialize(pairs, "pairs"), docs), "links"))
-            break
-        order = F.struct(F.xxhash64("key", "id", F.lit(tried)), F.col("id"))
-        pairs = materialize(_centred(left, facts, order), "pairs")
-        links = links.union(materialize(confirmed(pairs, docs), "links"))
-        left = materialize(_relabelled(left, links), "buckets")
+    labels = components(links)
+    left = materialize(_relabelled(buckets, labels), "buckets")
+    members, rest = _pairs_left(left)
+    tried = 0
+    while members and rest > COMPARED * members and tried < 4:  # too many pairs to look at: other centres first
         tried += 1
-    return rows.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").select("doc_id", "n", "id"), links
+        order = F.struct(F.xxhash64("key", "id", F.lit(tried)), F.col("id"))
+        more = materialize(confirmed(materialize(_centred(left, facts, order), "pairs"), docs), "links")
+        links = links.union(more)
+        labels = components(links)
+        left = materialize(_relabelled(left, labels), "buckets")
+        members, rest = _pairs_left(left)
+    if members:  # all that is left
+        both = left.join(facts, "id")
+        a, b = both.alias("a"), both.alias("b")
+        fits = plausible("a", "b")
+        pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & fits)
+                 .select(F.col("a.id").alias("center"), F.col("b.id").alias("id")).distinct())
+        more = materialize(confirmed(materialize(pairs, "pairs"), docs), "links")
+        if not more.isEmpty():
+            labels = components(links.union(more))
+    return rows.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").select("doc_id", "n", "id"), labels
+
+
+def _pairs_left(buckets: DataFrame) -> tuple[int, float]:
+    """Members of buckets, and pairs of different components in them."""
+    sizes = (buckets.groupBy("key", "component").count()
+             .groupBy("key").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("q")))
+    members, rest = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
+    return members or 0, rest or 0
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
     ``component_id`` is the smallest id that links reach; a row without words, or with a null id, is
-    alone (component: its own id) and kept.  Rows that repeat an id are one document: their links
+    alone (component: its own id, or null) and kept.  Rows that repeat an id are one document: their links
     meet.  ``kept``: the row is its component's smallest id.  Other columns are not looked at.
     """
-    rows, links = links_between(id_and_text(docs, doc_id, text))
-    labels = components(links)
+    rows, labels = rows_and_components(id_and_text(docs, doc_id, text))
     met = rows.join(labels, "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "id", "doc_id"))
     return met.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
                       (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
 

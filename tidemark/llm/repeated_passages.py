@@ -436,30 +436,30 @@ def drop_repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str =
     changes keep all other columns as they are.
     """
     _, gone = removed_ranges(id_and_text(docs, doc_id, text), **options)
-    named = docs.withColumns({"__id": F.col(doc_id).cast("long")})
-    tagged = _tagged(named, text)
-    met = tagged.join(gone.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "parts").withColumnRenamed("parts", "__parts"),
-                      ["__id", "__tag"], "left")
-    return _cut_texts(met, docs, text)
+    taken = set(docs.columns)
+    own, tag, parts = (next(n for n in ("_" * k + name for k in range(1, len(taken) + 2)) if n not in taken) for name in ("id", "tag", "parts"))
+    tagged = _tagged(docs.withColumn(own, F.col(doc_id).cast("long")), text, tag)
+    gone = gone.select(F.col("doc_id").alias(own), F.col("tag").alias(tag), F.col("parts").alias(parts))
+    return _cut_texts(tagged.join(gone, [own, tag], "left"), docs, text, parts)
 
 
-def _tagged(docs: DataFrame, text: str) -> DataFrame:
-    schema = StructType([*docs.schema.fields, StructField("__tag", LongType())])
+def _tagged(docs: DataFrame, text: str, tag: str) -> DataFrame:
+    schema = StructType([*docs.schema.fields, StructField(tag, LongType())])
 
     def run(batches):
         for batch in batches:
             tags = [text_hash(t) for t in row_bytes(batch.column(batch.schema.get_field_index(text)).cast(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*batch.schema.names, "__tag"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tags, pa.int64())], names=[*batch.schema.names, tag])
 
     return map_arrow(docs, run, schema)
 
 
-def _cut_texts(met: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def _cut_texts(met: DataFrame, docs: DataFrame, text: str, parts_name: str) -> DataFrame:
     names = docs.columns
 
     def run(batches):
         for batch in batches:
-            parts = batch.column(batch.schema.get_field_index("__parts")).to_pylist()
+            parts = batch.column(batch.schema.get_field_index(parts_name)).to_pylist()
             columns = []
             for name in names:
                 c = batch.column(batch.schema.get_field_index(name))

@@ -26,7 +26,8 @@ crack-serial warez-down torrent-crack fake-watch replica-bags phish-login malwar
 ALLOWED_HOSTS = """news weather library museum history science nature garden kitchen recipes travel maps music cinema books
 reading school university health sports football chess community city council archive journal letters review gallery
 photography engineering software docs developer mathematics physics chemistry biology philosophy language dictionary
-encyclopedia parents thered thonon tionand erhein ouring bleand""".split()
+encyclopedia parents city-news open-library school-board world-atlas food-recipes local-weather health-guide art-museum book-review
+music-class thered thonon tionand erhein ouring bleand""".split()
 #: Both kinds of names stand in the same places, so that the places themselves say nothing.
 LABELLED = [(f"https://{before}{name}{behind}", label)
             for label, names in ((1, BLOCKED_HOSTS), (0, ALLOWED_HOSTS)) for name in names
@@ -85,7 +86,7 @@ def labelled_table(spark: SparkSession, rows: list[tuple[str, int]] | None = Non
     return spark.range(0, 1, 1, 1).select(one.alias("r")).select("r.*")
 
 
-def train(labelled: DataFrame, buckets: int = 1 << 15, rounds: int = 14, rate: float = 16.0, decay: float = 1e-4,
+def train(labelled: DataFrame, buckets: int = 1 << 15, rounds: int = 20, rate: float = 40.0, decay: float = 1e-4,
           most_rows: int = 10_000) -> tuple[dict[int, float], float]:
     """Weights by bucket and bias.
 

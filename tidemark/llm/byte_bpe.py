@@ -24,6 +24,8 @@ NONE = np.iinfo(np.int64).max
 LONG_WORD = 128  # bytes; longer words get a tree of their own
 CACHED_CHUNKS = 1_000_000
 #: A space that has white space on both sides (or before it and the end behind it) may lie inside a match.
+#: Letters, then punctuation: two matches, whatever stands around.
+WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fullmatch
 UNSURE_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -205,9 +207,13 @@ class ChunkCache:
                     starts.add(pieces[0])
                     new.update(pieces[1:])
             new = [p for p in new if p not in known]
-            starts = [p for p in starts if p not in self.first]
+            parted = {p: m.groups() for p in new if (m := WORD_AND_MARKS(p))}
+            new = list(({p for p in new if p not in parted} | {w for w, _ in parted.values()}).difference(known))
+            starts = [p for p in starts.union(m for _, m in parted.values()) if p not in self.first]
             known.update(zip(new, self.encode_chunks([" " + p for p in new])))
             self.first.update(zip(starts, self.encode_chunks(starts)))
+            for p, (word, marks) in parted.items():
+                known[p] = known[word] + self.first[marks]
             get = known.__getitem__
             for text, pieces in zip(batch[at:end], cut):
                 ids = self.encode_whole(text) if pieces is None else self.first[pieces[0]] + b"".join(map(get, pieces[1:]))

@@ -10,6 +10,7 @@ length share numpy trees, one row each; a long word has a tree of its own in pla
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from functools import lru_cache
@@ -22,7 +23,7 @@ from .common import id_and_text, map_batches, texts
 
 NONE = np.iinfo(np.int64).max
 LONG_WORD = 128  # bytes; longer words get a tree of their own
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 1_400_000
 #: A space that has white space on both sides (or before it and the end behind it) may lie inside a match.
 #: Letters, then punctuation: two matches, whatever stands around.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fullmatch
@@ -190,13 +191,20 @@ class ChunkCache:
         self.encode_chunks, self.encode_whole, self.whole_if = encode_chunks, encode_whole, whole_if
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
+        gc.disable()  # many small objects and no cycles
+        try:
+            return self._encode(batch)
+        finally:
+            gc.enable()
+
+    def _encode(self, batch: list[str]) -> list[np.ndarray]:
         for cache in (self.known, self.first):
             if len(cache) > CACHED_CHUNKS:
                 cache.clear()
         known, out, at = self.known, [], 0
         while at < len(batch):  # a few megabytes at a time
             end, size = at, 0
-            while end < len(batch) and (end == at or size < 8_000_000):
+            while end < len(batch) and (end == at or size < 4_000_000):
                 size += len(batch[end])
                 end += 1
             cut = [None if UNSURE_SPACE.search(t) or (self.whole_if and self.whole_if in t) else t.split(" ")

@@ -16,7 +16,8 @@ from ..session import configure
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, with the session set up."""
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts make large rows
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:

@@ -5,7 +5,7 @@ from tidemark.operators import paths
 
 def walk(names, entry, root):
     parts, seen, cur = [], set(), entry
-    while cur != root and len(seen) < 64 and cur not in seen:
+    while cur != root and cur not in seen:
         seen.add(cur)
         if cur not in names:
             break
@@ -30,7 +30,7 @@ def test_fixture_tree(spark):
     got = resolve(spark, names)
     assert got[12] == "\\Windows\\System32\\a.exe" and got[20] == "\\y\\x" and got[21] == "\\x\\y"
     assert got[30] == "\\orphan" and got[40] == "\\zero" and got[5] == "\\" and got[51] == "\\self\\below"
-    assert got[1000].count("\\") == 64
+    assert got[1000].count("\\") == 70
     assert got == {e: walk(names, e, 5) for e in names}
 
 
@@ -66,4 +66,4 @@ def test_shellbag_paths(spark):
     i = spark.createDataFrame(items, "hive_id string, node bigint, slot int, item_name string")
     got = {r.node: r.path for r in paths.shellbag_paths(n, i).collect()}
     assert got[1] == "My PC" and got[2] == "My PC\\C:" and 3 not in got and 4 not in got
-    assert max(p.count("\\") + 1 for p in got.values()) == 31 and len([k for k in got if k >= 100]) == 31
+    assert max(p.count("\\") + 1 for p in got.values()) == 35 and len([k for k in got if k >= 100]) == 35

@@ -9,8 +9,6 @@ from pyspark.sql import Column, functions as F
 
 from .timecols import as_col
 
-STRING_CAP = 513  # code units read at most for a NUL-ended string
-
 
 def _off(o) -> Column:
     return F.lit(o) if isinstance(o, int) else as_col(o)
@@ -62,8 +60,8 @@ def until_nul(text: Column) -> Column:
 
 
 def utf16le_z(b, off) -> Column:
-    """NUL-ended UTF-16LE text."""
-    return until_nul(utf16le(b, off, STRING_CAP))
+    """UTF-16LE text up to the first NUL or the end."""
+    return until_nul(F.decode(F.substring(as_col(b), _off(off) + 1, F.length(as_col(b))), "UTF-16LE"))
 
 
 def utf16le_counted(b, off, n) -> Column:
@@ -72,8 +70,8 @@ def utf16le_counted(b, off, n) -> Column:
 
 
 def ascii_z(b, off) -> Column:
-    """NUL-ended one-byte text of at most 512 bytes; bad UTF-8 is replaced."""
-    raw = F.substring(as_col(b), _off(off) + 1, F.lit(512))
+    """One-byte text up to the first NUL or the end; bad UTF-8 is replaced."""
+    raw = F.substring(as_col(b), _off(off) + 1, F.length(as_col(b)))
     return until_nul(F.make_valid_utf8(raw.cast("string")))
 
 
@@ -104,12 +102,13 @@ REG_SZ, REG_EXPAND_SZ, REG_BINARY, REG_DWORD, REG_DWORD_BE = 1, 2, 3, 4, 5
 REG_LINK, REG_MULTI_SZ, REG_QWORD = 6, 7, 11
 
 
-def reg_value_text(kind, raw) -> Column:
-    """Display text of a registry value, cut to 80 characters."""
+def reg_value_text(kind, raw, whole: bool = False) -> Column:
+    """Display text of a registry value, cut to 80 characters; ``whole`` cuts nothing."""
     kind, raw = as_col(kind), as_col(raw)
     hexed = F.lower(F.hex(raw))
     wide = F.decode(raw, "UTF-16LE")
-    parts = F.slice(F.filter(F.split(wide, "\0"), lambda p: p != ""), 1, 5)
+    parts = F.filter(F.split(wide, "\0"), lambda p: p != "")
+    parts = parts if whole else F.slice(parts, 1, 5)
     short_hex = F.concat(F.lower(F.hex(F.substring(raw, 1, 16))),
                          F.when(F.length(raw) > 16, F.lit("...")).otherwise(F.lit("")))
     text = (
@@ -118,7 +117,7 @@ def reg_value_text(kind, raw) -> Column:
         .when((kind == REG_DWORD_BE) & (F.length(raw) >= 4), be_u32(raw, 0).cast("string"))
         .when((kind == REG_QWORD) & (F.length(raw) >= 8), le_u64(raw, 0).cast("string"))
         .when(kind == REG_MULTI_SZ, F.array_join(parts, " | "))
-        .when(kind == REG_BINARY, short_hex)
+        .when(kind == REG_BINARY, hexed if whole else short_hex)
         .otherwise(hexed)
     )
-    return F.when(F.length(text) > 80, F.concat(F.left(text, F.lit(80)), F.lit("..."))).otherwise(text)
+    return text if whole else F.when(F.length(text) > 80, F.concat(F.left(text, F.lit(80)), F.lit("..."))).otherwise(text)

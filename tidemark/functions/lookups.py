@@ -4,7 +4,6 @@ from __future__ import annotations
 
 # Event id -> name.
 EVENT_NAMES: dict[int, str] = {
-    # Security: logon and logoff
     1102: "Audit Log Cleared",
     4608: "Windows Starting Up",
     4616: "System Time Changed",
@@ -14,33 +13,27 @@ EVENT_NAMES: dict[int, str] = {
     4647: "User Initiated Logoff",
     4648: "Explicit Credentials Logon",
     4649: "Replay Attack Detected",
-    # Security: object access
     4656: "Object Handle Requested",
     4657: "Registry Value Modified",
     4660: "Object Deleted",
     4663: "Object Access Attempt",
     4670: "Object Permissions Changed",
-    # Security: privilege use
     4672: "Special Privileges Assigned",
     4673: "Privileged Service Called",
     4674: "Privileged Object Operation",
-    # Security: process
     4688: "Process Created",
     4689: "Process Exited",
-    # Security: service and scheduled task
     4697: "Service Installed",
     4698: "Scheduled Task Created",
     4699: "Scheduled Task Deleted",
     4700: "Scheduled Task Enabled",
     4701: "Scheduled Task Disabled",
     4702: "Scheduled Task Updated",
-    # Security: policy and audit
     4719: "Audit Policy Changed",
     4902: "Per-User Audit Policy Created",
     4904: "Security Event Source Added",
     4905: "Security Event Source Removed",
     4907: "Auditing Settings Changed",
-    # Security: account management
     4720: "User Account Created",
     4722: "User Account Enabled",
     4723: "Password Change Attempt",
@@ -61,26 +54,22 @@ EVENT_NAMES: dict[int, str] = {
     4781: "Account Name Changed",
     4798: "Local Group Membership Enumerated",
     4799: "Global Group Membership Enumerated",
-    # Security: Kerberos and NTLM
     4768: "Kerberos TGT Requested",
     4769: "Kerberos Service Ticket Requested",
     4770: "Kerberos Service Ticket Renewed",
     4771: "Kerberos Pre-Auth Failed",
     4776: "NTLM Auth Attempt",
-    # Security: session
     4778: "Session Reconnected",
     4779: "Session Disconnected",
     4800: "Workstation Locked",
     4801: "Workstation Unlocked",
     4802: "Screensaver Invoked",
     4803: "Screensaver Dismissed",
-    # Security: network share
     5140: "Network Share Accessed",
     5142: "Network Share Added",
     5143: "Network Share Modified",
     5144: "Network Share Deleted",
     5145: "Network Share Object Access Check",
-    # Security: firewall and network
     5025: "Firewall Service Stopped",
     5152: "Packet Blocked",
     5154: "Listen Permitted",
@@ -89,12 +78,10 @@ EVENT_NAMES: dict[int, str] = {
     5157: "Connection Blocked",
     5158: "Bind Permitted",
     5159: "Bind Blocked",
-    # System: kernel and boot
     12: "System Started",
     13: "System Shutdown",
     41: "Unexpected Reboot",
     46: "Time Service Sync",
-    # System: service control
     7000: "Service Failed to Start",
     7001: "Service Start Dependency Failed",
     7009: "Service Start Timeout",
@@ -110,13 +97,11 @@ EVENT_NAMES: dict[int, str] = {
     7036: "Service State Changed",
     7040: "Service Start Type Changed",
     7045: "New Service Installed",
-    # PowerShell
     400: "PowerShell Engine Started",
     403: "PowerShell Engine Stopped",
     600: "PowerShell Provider Started",
     4103: "PowerShell Module Logging",
     4104: "PowerShell Script Block Logged",
-    # Task scheduler
     100: "Task Started",
     101: "Task Start Failed",
     102: "Task Completed",
@@ -135,18 +120,15 @@ EVENT_NAMES: dict[int, str] = {
     200: "Task Action Started",
     201: "Task Action Completed",
     203: "Task Action Failed",
-    # WMI activity
     5857: "WMI Provider Loaded",
     5858: "WMI Query Error",
     5859: "WMI Event Filter Activated",
     5860: "WMI Permanent Subscription Registered",
     5861: "WMI Active Script Consumer",
-    # Application
     1000: "Application Error",
     1001: "Windows Error Reporting",
     1002: "Application Hang",
     1026: ".NET Runtime Error",
-    # Antimalware
     1006: "Malware Scan Started",
     1007: "Malware Action Taken",
     1008: "Malware Action Failed",
@@ -156,12 +138,10 @@ EVENT_NAMES: dict[int, str] = {
     1117: "Malware Action Taken",
     1118: "Malware Remediation Failed",
     1119: "Malware Remediation Success",
-    # Packaged apps
     257: "AppX Deployment Started",
     258: "AppX Deployment Completed",
     260: "AppX Deployment Failed",
     263: "AppX Removal Started",
-    # Group policy
     4000: "Group Policy Processing Started",
     4001: "Group Policy Processing Completed",
     5312: "Group Policy Settings Applied",

@@ -26,6 +26,34 @@ def event_counts(events: DataFrame, errors: DataFrame | None = None) -> DataFram
         F.coalesce("errors", F.lit(0)).alias("errors"))
 
 
+def run_summary(jobs: DataFrame, events: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Files found, files done, events and errors of each artifact type, and of the whole run (``TOTAL``).
+
+    ``jobs``: ``artifact_type, path``; ``errors``: ``artifact_type, path`` as given by ``isolate_errors``.
+    A file with an error counts as not done.
+    """
+    errors = jobs.select("artifact_type", "path").limit(0) if errors is None else errors
+
+    def part(rows: DataFrame, name: str, count) -> DataFrame:
+        return rows.groupBy("artifact_type").agg(count.alias("n")).select("artifact_type", F.lit(name).alias("what"), "n")
+
+    long = (part(jobs, "files", F.count_distinct("path")).unionByName(part(events, "events", F.count(F.lit(1))))
+            .unionByName(part(errors, "errors", F.count(F.lit(1)))).unionByName(part(errors, "failed", F.count_distinct("path"))))
+
+    def total(what: str):
+        return F.coalesce(F.sum(F.when(F.col("what") == what, F.col("n"))), F.lit(0))
+
+    rows = long.rollup("artifact_type").agg(
+        total("files").alias("files"), total("failed").alias("failed"), total("events").alias("events"), total("errors").alias("errors"))
+    return rows.select(F.coalesce("artifact_type", F.lit("TOTAL")).alias("artifact_type"), "files",
+                       (F.col("files") - F.col("failed")).alias("files_done"), "events", "errors")
+
+
+def errors_by_file(errors: DataFrame) -> DataFrame:
+    """Errors of each file."""
+    return errors.groupBy("artifact_type", "path").agg(F.count(F.lit(1)).alias("errors"))
+
+
 def observe_counts(events: DataFrame, name: str = "timeline") -> DataFrame:
     """Attach live totals (rows, rows without a time) to any action on ``events``."""
     return events.observe(name, F.count(F.lit(1)).alias("events"),
@@ -38,10 +66,11 @@ def source_baseline(events: DataFrame) -> DataFrame:
 
 def distinct_events(events: DataFrame, keys: tuple[str, ...] = ("timestamp_ns", "file_path")) -> DataFrame:
     """One row per key; of equal keys the smallest message is kept, so the result is stable."""
-    kept = [c for c in events.columns if c != "extra"]
-    others = sorted((c for c in kept if c not in keys), key=lambda c: c != "message")
-    rows = events.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row"))
-    return rows.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in kept])
+    maps = [c for c, kind in events.dtypes if kind.startswith("map")]  # not comparable: they travel beside the order
+    others = sorted((c for c in events.columns if c not in (*keys, *maps)), key=lambda c: c != "message")
+    rows = events.groupBy(*keys).agg(
+        F.min(F.struct(*others)).alias("_row"), *[F.min_by(c, F.struct(*others)).alias(c) for c in maps])
+    return rows.select(*[F.col(c) if c in (*keys, *maps) else F.col("_row")[c].alias(c) for c in events.columns])
 
 
 def latest_n(df: DataFrame, by: list[str], order: str, n: int, ties: list[str] = (),

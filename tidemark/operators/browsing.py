@@ -10,8 +10,6 @@ from ..functions.timecols import as_col, unix_s_to_ns, unix_us_to_ns, webkit_us_
 from .aggregates import latest_n
 from .timeline import to_events
 
-VISIT_LIMIT = 50_000
-ACTIVITY_LIMIT = 100_000
 DOWNLOAD_NOTE = "downloads/destinationFileURI"
 
 
@@ -23,6 +21,10 @@ def browser_of(path) -> Column:
             .when(low.contains("edge"), "Edge").otherwise("Chrome"))
 
 
+def _newest(rows: DataFrame, order: str, limit: int | None, ties: list[str]) -> DataFrame:
+    return rows if limit is None else latest_n(rows, ["db_id"], order, limit, ties=ties)
+
+
 def _visit_message(browser: Column) -> Column:
     url, title = F.coalesce("url", F.lit("")), F.coalesce("title", F.lit(""))
     quoted = F.when((title != "") & (title != url), F.concat(F.lit(' - "'), title, F.lit('"'))).otherwise("")
@@ -33,11 +35,11 @@ def _kind(text: str, browser: Column) -> Column:
     return F.concat(F.lit(f"{text} ("), browser, F.lit(")"))
 
 
-def chromium_visit_events(visits: DataFrame, urls: DataFrame, limit: int = VISIT_LIMIT) -> DataFrame:
-    """Visits joined to their URLs, the newest ``limit`` per database."""
+def chromium_visit_events(visits: DataFrame, urls: DataFrame, limit: int | None = None) -> DataFrame:
+    """All visits joined to their URLs; with ``limit`` only the newest per database."""
     pages = urls.select("db_id", F.col("id").alias("url_id"), "url", "title")
     joined = visits.filter("visit_time > 0").join(pages, ["db_id", "url_id"])
-    rows = latest_n(joined, ["db_id"], "visit_time", limit, ties=["url_id"])
+    rows = _newest(joined, "visit_time", limit, ["url_id"])
     ns = webkit_us_to_ns("visit_time")
     return to_events(
         rows.filter(ns > 0), artifact_type="BROWSER", source="BROWSER",
@@ -60,10 +62,10 @@ def chromium_download_events(downloads: DataFrame) -> DataFrame:
         file_path=first_filled("target_path", "tab_url"), message=message)
 
 
-def firefox_visit_events(visits: DataFrame, places: DataFrame, limit: int = VISIT_LIMIT) -> DataFrame:
+def firefox_visit_events(visits: DataFrame, places: DataFrame, limit: int | None = None) -> DataFrame:
     pages = places.select("db_id", F.col("id").alias("place_id"), "url", "title")
     joined = visits.filter("visit_date > 0").join(pages, ["db_id", "place_id"])
-    rows = latest_n(joined, ["db_id"], "visit_date", limit, ties=["place_id"])
+    rows = _newest(joined, "visit_date", limit, ["place_id"])
     ns = unix_us_to_ns("visit_date")
     return to_events(
         rows.filter(ns > 0), artifact_type="BROWSER", source="BROWSER",
@@ -88,10 +90,11 @@ def firefox_download_events(annos: DataFrame, places: DataFrame, attributes: Dat
                          F.coalesce("url", F.lit("")), F.lit(" [Firefox]")))
 
 
-def wintimeline_events(activity: DataFrame, limit: int = ACTIVITY_LIMIT) -> DataFrame:
-    """Activity feed entries, the newest ``limit`` per database by start time."""
+def wintimeline_events(activity: DataFrame, limit: int | None = None) -> DataFrame:
+    """All activity feed entries; with ``limit`` only the newest per database by start time.  The message shows 120
+    characters of the payload, ``extra`` holds the whole of it."""
     kept = activity.filter("start_time > 0 OR last_modified_time > 0")
-    rows = latest_n(kept, ["db_id"], "start_time", limit, ties=["last_modified_time", "app_id", "payload"])
+    rows = _newest(kept, "start_time", limit, ["last_modified_time", "app_id", "payload"])
     ns = unix_s_to_ns(F.coalesce(F.nullif("start_time", F.lit(0)), "last_modified_time"))
     rows = (rows.filter(ns > 0).withColumn("_app", timeline_app_name("app_id"))
             .withColumn("_payload", timeline_payload("payload")))
@@ -100,4 +103,4 @@ def wintimeline_events(activity: DataFrame, limit: int = ACTIVITY_LIMIT) -> Data
         blank_to_null(F.left("_payload", F.lit(120))))
     return to_events(
         rows, artifact_type="WINTIMELINE", source="WINTIMELINE", artifact="Windows Timeline", ts=ns,
-        file_path=first_filled("_payload", "db_id"), message=message)
+        file_path=first_filled("_payload", "db_id"), message=message, extra={"payload": F.col("_payload")})

@@ -131,4 +131,4 @@ def evtx_events(rec: DataFrame, by_provider: DataFrame | None = None) -> DataFra
         named, artifact_type="EVTX", source="EVTX", artifact="Windows Event Log",
         ts=filetime_to_ns("filetime"), message=message, hostname=computer,
         extra={"event_id": F.col("event_id"), "record_number": F.col("record_number"),
-               "channel": channel, "level": F.col("level")})
+               "channel": channel, "level": F.col("level"), "strings": F.to_json("strings")})

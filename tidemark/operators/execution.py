@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.textcols import (blank_to_null, drive_type_name, first_filled, pca_status_name,
@@ -11,21 +13,21 @@ from .timeline import to_events
 
 
 def prefetch_events(pf: DataFrame) -> DataFrame:
-    """One event per non-zero run time (at most eight)."""
+    """One event per non-zero run time."""
     exe, files = F.col("exe_name"), F.col("files")
     full = F.coalesce(
         F.try_element_at(F.filter(files, lambda f: F.upper(f).endswith(F.upper(exe))), F.lit(1)),
         F.try_element_at(files, F.lit(1)))
     runs = pf.filter(F.coalesce(exe, F.lit("")) != "").select(
         "*", first_filled(full, exe).alias("_exe_path"),
-        F.explode(F.filter(F.slice("run_times", 1, 8), lambda t: t > 0)).alias("_run"))
+        F.explode(F.filter("run_times", lambda t: t > 0)).alias("_run"))
     return to_events(
         runs, artifact_type="PREFETCH", source="PREFETCH", artifact="Prefetch",
         ts=filetime_to_ns("_run"), file_path=F.col("_exe_path"),
         message=F.concat(exe, F.lit(" - Executed (run count: "), F.col("run_count").cast("string"), F.lit(")")),
         extra={"exe_name": exe, "exe_path": F.col("_exe_path"), "run_count": F.col("run_count"),
                "prefetch_hash": F.format_string("%08X", F.col("hash")), "version": F.col("version"),
-               "modules": F.array_join(F.slice("files", 1, 10), "|")})
+               "modules": F.array_join("files", "|")})
 
 
 def lnk_events(lnk: DataFrame) -> DataFrame:
@@ -117,11 +119,11 @@ def amcache_app_events(rec: DataFrame) -> DataFrame:
 def amcache_legacy_events(legacy: DataFrame, *modern: DataFrame) -> DataFrame:
     """Old-layout entries of hives that gave no event in any ``modern`` table.
 
-    Each modern table is reduced to its distinct hive ids before the anti join.
+    The modern tables are reduced to their distinct hive ids, which meet in one anti join.
     """
-    for table in modern:
-        hives = table.filter(filetime_to_ns("last_write") > 0).select("hive_id").distinct()
-        legacy = legacy.join(hives, "hive_id", "left_anti")
+    hives = [t.filter(filetime_to_ns("last_write") > 0).select("hive_id") for t in modern]
+    if hives:
+        legacy = legacy.join(reduce(DataFrame.union, hives).distinct(), "hive_id", "left_anti")
     path = first_filled("v15", "key_name")
     own, key = filetime_to_ns("v17"), filetime_to_ns("last_write")
     ns = F.when(own > 0, own).otherwise(key)

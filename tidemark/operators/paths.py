@@ -22,15 +22,20 @@ def _joined(names: Column) -> Column:
     return F.array_join(F.reverse(names), SEP)
 
 
+def _open() -> Column:
+    """Not ended and not yet round a loop."""
+    return F.col("nxt").isNotNull() & (F.size(F.array_distinct("ids")) == F.size("ids"))
+
+
 def _double(nodes: DataFrame, scope: list[str]) -> DataFrame:
     """Append to each open chain the chain of the node it stopped at."""
-    done = nodes.filter(F.col("nxt").isNull())
+    done = nodes.filter(~_open())
     upper = nodes.select(*scope, F.col("node").alias("nxt"), F.col("ids").alias("u_ids"),
                          F.col("names").alias("u_names"), F.col("nxt").alias("u_nxt"),
                          F.col("complete").alias("u_complete"))
     empty_ids, empty_names = F.array().cast("array<bigint>"), F.array().cast("array<string>")
     grown = (
-        nodes.filter(F.col("nxt").isNotNull())
+        nodes.filter(_open())
         .join(upper, [*scope, "nxt"], "left")
         .select(*scope, "node",
                 F.concat("ids", F.coalesce("u_ids", empty_ids)).alias("ids"),
@@ -41,24 +46,22 @@ def _double(nodes: DataFrame, scope: list[str]) -> DataFrame:
     return done.unionByName(grown)
 
 
-def resolve_chains(edges: DataFrame, scope: list[str], rounds: int) -> DataFrame:
+def resolve_chains(edges: DataFrame, scope: list[str], max_depth: int | None = None) -> DataFrame:
     """Root-to-leaf path of every node.
 
     ``edges``: ``scope`` columns, ``node``, ``label``, ``nxt`` (parent to continue at, null
-    where the walk ends on purpose).  A chain holds at most ``2**rounds`` labels, counted from
-    the leaf, and stops before the first repeated node.  Result: ``scope``, ``node``, ``path``,
-    ``depth`` and ``complete`` (the walk reached an intended end).
+    where the walk ends on purpose).  A chain is followed to its end, however long, and stops
+    before the first repeated node; ``max_depth`` keeps only so many labels, counted from the
+    leaf.  Result: ``scope``, ``node``, ``path``, ``depth`` and ``complete`` (the walk reached an
+    intended end).
     """
-    cap = 2 ** rounds
     parents = edges.filter(F.col("nxt").isNotNull()).select(*scope, F.col("nxt").alias("node")).distinct()
     state = materialize(
         edges.join(parents, [*scope, "node"], "left_semi").select(
             *scope, "node", F.array("node").alias("ids"), F.array("label").alias("names"), "nxt",
             F.col("nxt").isNull().alias("complete")),
         "chains")
-    for _ in range(rounds):
-        if state.filter(F.col("nxt").isNotNull()).isEmpty():
-            break
+    while not state.filter(_open()).isEmpty():
         state = materialize(_double(state, scope), "chains")
 
     # In a cycle everything after the first repeated node repeats too, so the distinct ids
@@ -66,7 +69,7 @@ def resolve_chains(edges: DataFrame, scope: list[str], rounds: int) -> DataFrame
     walked = F.size(F.array_distinct("ids"))
     looped = walked < F.size("ids")
     names = F.slice("names", F.lit(1), walked)
-    inner = F.slice(names, 1, cap - 1)
+    inner = names if max_depth is None else F.slice(names, 1, max_depth - 1)
     upper = state.select(
         *scope, F.col("node").alias("nxt"),
         _joined(inner).alias("u_path"), F.size(inner).alias("u_depth"),
@@ -85,11 +88,11 @@ def resolve_chains(edges: DataFrame, scope: list[str], rounds: int) -> DataFrame
         F.coalesce("u_complete", F.lit(False)).alias("complete"))
     ended = edges.filter(F.col("nxt").isNull()).select(
         *scope, "node", F.col("label").alias("path"), F.lit(1).alias("depth"), F.lit(True).alias("complete"))
-    return ended.unionByName(open_nodes)
+    return materialize(ended.unionByName(open_nodes), "paths")  # used by several joins of a run
 
 
 def resolve_paths(edges: DataFrame, root: int = 5, scope: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Volume path of every file-table entry, at most 64 levels.
+    """Volume path of every file-table entry.
 
     ``edges``: scope columns, ``entry``, ``name``, ``parent``.  Adds rows ``scope, entry,
     file_path`` such as ``\\Windows\\System32\\a.exe``; the root itself is ``\\``.
@@ -99,7 +102,7 @@ def resolve_paths(edges: DataFrame, root: int = 5, scope: tuple[str, ...] = ("im
     walk = edges.filter(F.col("entry") != root).select(
         *scope, F.col("entry").alias("node"), F.col("name").alias("label"),
         F.when(~ends, F.col("parent")).alias("nxt"))
-    chains = resolve_chains(walk, scope, rounds=6).select(
+    chains = resolve_chains(walk, scope).select(
         *scope, F.col("node").alias("entry"), F.concat(F.lit(SEP), "path").alias("file_path"))
     top = edges.filter(F.col("entry") == root).select(*scope, "entry", F.lit(SEP).alias("file_path"))
     return chains.unionByName(top)
@@ -115,7 +118,7 @@ def hive_root(hive_file) -> Column:
 
 
 def registry_paths(keys: DataFrame, scope: tuple[str, ...] = ("hive_id",)) -> DataFrame:
-    """Full key path of every registry key, at most 256 levels below the hive root."""
+    """Full key path of every registry key."""
     scope = list(scope)
     is_root = F.col("flags").bitwiseAND(F.lit(KEY_FLAG_ROOT)) != 0
     roots = keys.filter(is_root).select(*scope, F.col("rel_off").alias("parent_rel"), F.lit(True).alias("_top"))
@@ -124,14 +127,14 @@ def registry_paths(keys: DataFrame, scope: tuple[str, ...] = ("hive_id",)) -> Da
         .select(*scope, F.col("rel_off").alias("node"), F.col("name").alias("label"),
                 F.when(F.col("_top").isNull(), F.col("parent_rel")).alias("nxt"))
     )
-    below = resolve_chains(walk, scope, rounds=8).select(*scope, F.col("node").alias("rel_off"), "path")
+    below = resolve_chains(walk, scope).select(*scope, F.col("node").alias("rel_off"), "path")
     prefix = hive_root("hive_file")
     return keys.select(*scope, "rel_off", "hive_file").join(below, [*scope, "rel_off"], "left").select(
         *scope, "rel_off", F.concat_ws(SEP, prefix, "path").alias("full_path"))
 
 
 def shellbag_paths(nodes: DataFrame, items: DataFrame, scope: tuple[str, ...] = ("hive_id",)) -> DataFrame:
-    """Folder path of every shell-bag node whose whole chain decodes, at most 31 levels."""
+    """Folder path of every shell-bag node whose whole chain decodes."""
     scope = list(scope)
     decoded = items.filter(F.coalesce("item_name", F.lit("")) != "").select(
         *scope, F.col("node").alias("parent"), "slot", "item_name")
@@ -142,5 +145,4 @@ def shellbag_paths(nodes: DataFrame, items: DataFrame, scope: tuple[str, ...] =
         .select(*scope, "node", F.col("item_name").alias("label"),
                 F.when(F.col("_top").isNull(), F.col("parent")).alias("nxt"))
     )
-    return (resolve_chains(walk, scope, rounds=5)
-            .filter("complete AND depth <= 31").select(*scope, "node", "path"))
+    return resolve_chains(walk, scope).filter("complete").select(*scope, "node", "path")

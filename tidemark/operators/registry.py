@@ -21,6 +21,15 @@ def value_pairs(values) -> Column:
     return F.coalesce(F.transform(values, pair), F.array().cast("array<struct<name:string,text:string>>"))
 
 
+def whole_values(values) -> Column:
+    """All values of a key, uncut, as JSON objects in one array."""
+    def pair(v):
+        return F.struct(F.coalesce(blank_to_null(v["name"]), F.lit("(default)")).alias("name"),
+                        F.coalesce(v["text"], reg_value_text(v["type"], v["raw"], whole=True), F.lit("")).alias("text"))
+
+    return F.coalesce(F.to_json(F.transform(values, pair)), F.lit("[]"))
+
+
 _LIST_MARKS = ["mrulist", "mrulistex", "(default)"]
 
 
@@ -113,7 +122,7 @@ def registry_events(keys: DataFrame, paths: DataFrame | None = None) -> DataFram
         rows, artifact_type="REGISTRY", source="REGISTRY", ts=ns,
         artifact=F.coalesce(F.col("_rule")["artifact"], F.lit("Registry Key")),
         message=F.coalesce(F.col("_rule")["message"], default_message(F.col("full_path"), F.col("_pairs"))),
-        extra={"full_path": F.col("full_path")})
+        extra={"full_path": F.col("full_path"), "values": whole_values(F.col("values"))})
 
 
 def shellbag_events(nodes: DataFrame, items: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.textcols import first_filled, short80, strip
 from ..functions.timecols import NS, as_col, clamp_ns, ns_to_iso
 from ..schema import EVENT_FIELDS, EVENT_SCHEMA
+from ..session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -111,12 +112,12 @@ def sort_timeline(df: DataFrame) -> DataFrame:
 def fill_hostname(df: DataFrame) -> DataFrame:
     """Blank host names take the earliest event-log host of the same ``host_id``.
 
-    The lookup has one row per host.  It is joined without a hint, so Spark broadcasts it
-    only when its measured size allows, and splits hot hosts otherwise.
+    The lookup has one row per host.  It is written first, so that Spark knows its size: a small
+    one is broadcast and the timeline is not moved, a large one is joined with hot hosts split.
     """
     named = df.filter((F.col("artifact_type") == "EVTX") & (strip("hostname") != ""))
-    hosts = named.groupBy("host_id").agg(
-        F.min(F.struct("timestamp_ns", "hostname"))["hostname"].alias("_first_host"))
+    hosts = materialize(named.groupBy("host_id").agg(
+        F.min(F.struct("timestamp_ns", "hostname"))["hostname"].alias("_first_host")), "hosts")
     filled = F.coalesce(F.when(strip("hostname") != "", F.col("hostname")), F.col("_first_host"), F.lit(""))
     return df.join(hosts, "host_id", "left").withColumn("hostname", filled).select(*df.columns)
 

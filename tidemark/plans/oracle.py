@@ -312,7 +312,7 @@ SELECT 'img0' AS image_id, l_orderkey AS parent_entry, {ft('l_shipdate')} AS fil
        CAST(CASE WHEN l_returnflag = 'R' THEN 16 ELSE 32 END AS BIGINT) AS file_attrs, 'f' || l_partkey || '.dat' AS file_name,
        false AS recovered FROM lineitem WHERE l_linenumber <> 3"""
 ORACLE["usn_carve"] = usn_events_sql(
-    f"SELECT * REPLACE ('f' || l_partkey || '.dat' AS name, 'img0' AS host_id) FROM ({_USN}) WHERE l_linenumber <> 3",
+    f"SELECT * REPLACE ('f' || l_partkey || '.dat' AS name, 'host0' AS host_id) FROM ({_USN}) WHERE l_linenumber <> 3",
     recovered="true")
 
 ORACLE["mft_decode"] = f"""
@@ -462,8 +462,8 @@ ORACLE["amcache_apps"] = amcache(
     "CASE WHEN k % 5 = 0 THEN ' | installed=' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE '' END", "NULL")
 
 _LEGACY = f"""
-WITH r AS (SELECT 'host0' AS host_id, 'img0' AS image_id, *, 'hive' || o_custkey % 50 AS hive, o_orderkey AS k FROM orders),
- modern AS (SELECT DISTINCT hive FROM r WHERE k % 2 = 0 AND o_orderpriority = '1-URGENT' AND hive < 'hive3' AND k % 8 <> 7)
+WITH r AS (SELECT 'host0' AS host_id, 'img0' AS image_id, *, 'hive' || o_custkey % 70 AS hive, o_orderkey AS k FROM orders),
+ modern AS (SELECT DISTINCT 'hive' || o_custkey % 50 AS hive FROM r WHERE k % 8 <> 7)
 SELECT *, CASE WHEN k % 2 = 0 THEN 'old' || k ELSE 'key' || k END AS path, epoch_us(o_orderdate) * 1000 + CASE WHEN k % 5 = 0 THEN 1100 ELSE 0 END AS ns
 FROM r WHERE hive NOT IN (SELECT hive FROM modern) AND (k % 5 = 0 OR k % 8 <> 7)"""
 ORACLE["amcache_legacy"] = events(_LEGACY, kind="AMCACHE", source="AMCACHE", artifact="'Amcache.hve Legacy'", file_path="path",
@@ -516,6 +516,10 @@ WITH RECURSIVE p AS (
               CASE WHEN i % 2 = 0 THEN o_orderpriority ELSE CAST(o_custkey AS VARCHAR) END) AS vals FROM r)
 SELECT 'host0' AS host_id, 'img0' AS image_id, epoch_us(o_orderdate) * 1000 AS ns,
        path || CASE WHEN n > 0 THEN ' | ' || array_to_string(vals[1:6], ', ') || CASE WHEN n > 6 THEN ', +' || (n - 6) || ' more' ELSE '' END ELSE '' END AS message FROM v"""
+ORACLE["registry_extra"] = f"""
+SELECT path AS full_path, CAST(i AS INTEGER) AS place, CASE WHEN i = 0 THEN '(default)' ELSE 'v' || i END AS value_name,
+       CASE WHEN i % 2 = 0 THEN o_orderpriority ELSE CAST(o_custkey AS VARCHAR) END AS value_text
+FROM (SELECT r.*, unnest(range(n)) AS i FROM ({_KEYS.replace("SELECT 'host0' AS host_id", "SELECT path, n, o_orderpriority, o_custkey, 'host0' AS host_id")}) r)"""
 ORACLE["registry_events"] = events(_KEYS, kind="REGISTRY", source="REGISTRY", artifact="'Registry Key'", message="message")
 
 _RULED = f"""
@@ -587,8 +591,7 @@ ORACLE["srum_conn"] = usage_sql(
 _TITLE = "CASE WHEN page_id % 3 = 2 THEN ' - \"page ' || page_id || '\"' ELSE '' END"
 _VISITS = """
 SELECT 'host0' AS host_id, 'img0' AS image_id, epoch_us(ts) * 1000 AS ns, CASE WHEN user_id % 2 = 0 THEN 'Chrome' ELSE 'Edge' END AS browser, page_id, url
-FROM events JOIN pages ON page_id = event_id % 300 WHERE event_id % 19 <> 0
-QUALIFY row_number() OVER (PARTITION BY user_id % 10 ORDER BY ts DESC) <= 50000"""
+FROM events JOIN pages ON page_id = event_id % 300 WHERE event_id % 19 <> 0"""
 ORACLE["visit_join"] = events(_VISITS, kind="BROWSER", source="BROWSER", artifact="'Browser Visit (' || browser || ')'", file_path="url",
                               message=f"'Browser Visit: ' || url || {_TITLE} || ' [' || browser || ']'")
 ORACLE["firefox_visits"] = events(_VISITS, kind="BROWSER", source="BROWSER", artifact="'Browser Visit (Firefox)'", file_path="url",
@@ -615,8 +618,7 @@ ORACLE["anno_semi"] = events(
 
 _ACT_ROWS = f"""
 SELECT *, CASE WHEN start_time > 0 THEN start_time ELSE last_modified_time END * 1000000000 AS ns FROM ({_ACTIVITY})
-WHERE start_time > 0 OR last_modified_time > 0
-QUALIFY row_number() OVER (PARTITION BY db_id ORDER BY start_time DESC) <= 100000"""
+WHERE start_time > 0 OR last_modified_time > 0"""
 ORACLE["activity_events"] = events(
     _ACT_ROWS, kind="WINTIMELINE", source="WINTIMELINE", artifact="'Windows Timeline'",
     file_path="CASE WHEN shown <> '' THEN shown ELSE db_id END",
@@ -643,6 +645,8 @@ ORACLE["artifact_filter"] = live("artifact = '$FILE_NAME'")
 ORACLE["grep_message"] = live("contains(message, 'DATA_EXTEND')")
 ORACLE["recovered_only"] = live("artifact = '$J (Recovered)'")
 ORACLE["parquet_round_trip"] = live()
+ORACLE["table_round_trip"] = live()
+ORACLE["records_round_trip"] = ORACLE["evtx_message"]
 _ELEVEN = ("timestamp_ns, timestamp_iso, macb, source, artifact, hostname, file_path, message, message_short, is_fn_timestamp, tz_offset_secs")
 ORACLE["jsonl_round_trip"] = live(columns=_ELEVEN)
 ORACLE["convert_time_type"] = live("artifact_type = 'MFT' AND timestamp_ns >= 820454400000000000", _ELEVEN)
@@ -701,6 +705,18 @@ ORACLE["artifact_summary"] = f"SELECT artifact_type, count(*) AS files, CAST(sum
 ORACLE["event_counts"] = """
 SELECT 'USNJRNL' AS artifact_type, count(*) FILTER (l_linenumber <> 6) AS events, count(*) FILTER (l_linenumber = 6) AS errors FROM lineitem
 UNION ALL SELECT 'EVTX', count(*), 0 FROM events"""
+ORACLE["run_summary"] = """
+WITH u AS (SELECT 'usn/' || l_orderkey % 100 AS path, l_linenumber = 6 AS bad FROM lineitem),
+ r AS (SELECT 'USNJRNL' AS artifact_type, count(DISTINCT path) AS files, count(DISTINCT path) FILTER (bad) AS failed,
+              count(*) FILTER (NOT bad) AS events, count(*) FILTER (bad) AS errors FROM u
+       UNION ALL SELECT 'EVTX', count(DISTINCT event_type), 0, count(*), 0 FROM events)
+SELECT artifact_type, files, files - failed AS files_done, events, errors FROM r
+UNION ALL SELECT 'TOTAL', CAST(sum(files) AS BIGINT), CAST(sum(files - failed) AS BIGINT), CAST(sum(events) AS BIGINT), CAST(sum(errors) AS BIGINT) FROM r"""
+ORACLE["host_fill_all_sources"] = f"""
+SELECT artifact_type, 'host1' AS host_id, 'img1' AS image_id, count(*) AS events, count(*) AS named
+FROM (SELECT artifact_type FROM ({ORACLE["evtx_message"]}) UNION ALL SELECT artifact_type FROM ({ORACLE["pca_launch"]})
+      UNION ALL SELECT artifact_type FROM ({ORACLE["usn_carve"]}) UNION ALL SELECT 'MFT' FROM ({_LIVE}) WHERE artifact_type = 'MFT')
+GROUP BY artifact_type"""
 ORACLE["distinct_events"] = f"""
 SELECT timestamp_ns, file_path, min(message) AS message FROM ({usn_events_sql(_USN)}) GROUP BY timestamp_ns, file_path"""
 
@@ -736,4 +752,5 @@ ORACLE["stream_counts"] = "SELECT 'EVTX' AS artifact_type, count(*) AS events FR
 ORACLE["stream_current_paths"] = f"SELECT 'host0' AS host_id, file_path FROM {_PATHS}"
 ORACLE["csv_round_trip"] = f"""
 SELECT doc_id * 1000 AS timestamp_ns, {iso('(doc_id * 1000)')} AS timestamp_iso, 'M' AS macb, 'SRC' AS source, 'say "' || lang || '", x' AS artifact,
-       text AS message, left(text, 80) AS message_short, false AS is_fn_timestamp, CAST(0 AS INTEGER) AS tz_offset_secs FROM documents"""
+       text AS message, left(text, 80) AS message_short, false AS is_fn_timestamp, CAST(0 AS INTEGER) AS tz_offset_secs,
+       CASE WHEN doc_id % 2 = 0 THEN lang END AS file_path, CAST(NULL AS VARCHAR) AS hostname FROM documents"""

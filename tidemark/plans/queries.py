@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -263,6 +264,15 @@ register_events("recycle_events", lambda spark, sf: textual.recycle_events(
     binaryfiles.parse_recycle_i(R.recycle_files(spark, sf))))
 register_events("registry_events", lambda spark, sf: registry.registry_events(R.registry_keys(spark, sf)))
 register_events("registry_plugins", lambda spark, sf: registry.registry_events(R.ruled_keys(spark, sf)))
+@query
+def registry_extra(spark, sf):
+    """Every value of every key, uncut, from the events' extras."""
+    events = registry.registry_events(R.registry_keys(spark, sf))
+    pairs = F.from_json(F.col("extra")["values"], "array<struct<name string, text string>>")
+    return events.select(F.col("extra")["full_path"].alias("full_path"), F.posexplode(pairs).alias("place", "pair")).select(
+        "full_path", "place", F.col("pair.name").alias("value_name"), F.col("pair.text").alias("value_text"))
+
+
 register_events("shellbag_events", lambda spark, sf: registry.shellbag_events(
     R.shellbag_nodes(spark, sf), R.shellbag_items(spark, sf)))
 register_events("srum_app", lambda spark, sf: usage.srum_app_events(R.srum_app(spark, sf), R.srum_idmap(spark, sf)))
@@ -274,9 +284,9 @@ register_events("amcache_apps", lambda spark, sf: execution.amcache_app_events(R
 
 
 def _legacy(spark, sf):
-    """Hives of small order groups stay legacy: the modern table here holds only urgent orders' hives."""
-    modern = R.amcache_file(spark, sf).filter("name = '1-URGENT' AND hive_id < 'hive3'")
-    return execution.amcache_legacy_events(R.amcache_legacy(spark, sf), modern)
+    """All hives and all three modern tables; some hives stay legacy."""
+    modern = R.amcache_file(spark, sf), R.amcache_driver(spark, sf), R.amcache_app(spark, sf)
+    return execution.amcache_legacy_events(R.amcache_legacy(spark, sf), *modern)
 
 
 register_events("amcache_legacy", _legacy)
@@ -332,6 +342,20 @@ register_events("timeline_union_sort", lambda spark, sf: timeline.sort_timeline(
 register_events("fill_hostname", lambda spark, sf: timeline.fill_hostname(timeline.union_timelines(
     eventlog.evtx_events(R.evtx(spark, sf).withColumn("strings", F.array(F.lit("x")))),
     filesystem.usn_events(R.usn(spark, sf).withColumn("host_id", F.expr("concat('host', file_attrs)"))))))
+@query
+def host_fill_all_sources(spark, sf):
+    """Text files, journal pages and decoded records of the hosts of an event log, all named."""
+    def owned(df):
+        return df.withColumns({"host_id": F.lit("host1"), "image_id": F.lit("img1")})
+
+    parts = timeline.union_timelines(
+        eventlog.evtx_events(owned(R.evtx(spark, sf))),
+        execution.pca_launch_events(textfiles.parse_pca_launch(owned(R.pca_launch_files(spark, sf)))),
+        filesystem.usn_events(binaryfiles.scan_usn(owned(R.usn_chunks(spark, sf)))), filesystem.mft_events(owned(R.mft(spark, sf))))
+    return timeline.fill_hostname(parts).groupBy("artifact_type", "host_id", "image_id").agg(
+        F.count(F.lit(1)).alias("events"), F.count_if(F.col("hostname") != "").alias("named"))
+
+
 register_events("time_filter", lambda spark, sf: timeline.filter_time(
     _live(spark, sf), "1997-01-01T00:00:00+02:00", "2024-01-15T12:00:00"))
 register_events("type_filter", lambda spark, sf: timeline.filter_type(_live(spark, sf), "usnjrnl"))
@@ -388,6 +412,19 @@ def event_counts(spark, sf):
     return aggregates.event_counts(events, errors)
 
 
+@query
+def run_summary(spark, sf):
+    """A listing of journal and event-log files, their events, and the records that failed."""
+    good, errors = records.isolate_errors(
+        R.usn(spark, sf).withColumn("path", F.concat(F.lit("usn/"), F.pmod("parent_entry", F.lit(100)).cast("string"))),
+        F.col("file_name").isNotNull(), "USNJRNL", "path")
+    logs = R.evtx(spark, sf)
+    jobs = (R.usn(spark, sf).select(F.lit("USNJRNL").alias("artifact_type"), F.concat(F.lit("usn/"), F.pmod("parent_entry", F.lit(100)).cast("string")).alias("path"))
+            .unionByName(logs.select(F.lit("EVTX").alias("artifact_type"), F.col("file_name").alias("path"))))
+    events = timeline.union_timelines(filesystem.usn_events(good), eventlog.evtx_events(logs))
+    return aggregates.run_summary(jobs, events, errors)
+
+
 @query
 def source_baseline(spark, sf):
     return aggregates.source_baseline(_live(spark, sf))
@@ -481,6 +518,22 @@ def parquet_round_trip(spark, sf):
     return events_of(records.read_timeline(spark, path))
 
 
+@query
+def table_round_trip(spark, sf):
+    """A catalog table of its own in each run."""
+    name = f"timeline_{uuid.uuid4().hex}"
+    sinks.write_table(_live(spark, sf), name)
+    return events_of(spark.table(name))
+
+
+@query
+def records_round_trip(spark, sf):
+    """Records written by another tool, opened with their fixed schema and built."""
+    path = scratch_path(spark, "records")
+    R.evtx(spark, sf).write.parquet(path)
+    return events_of(eventlog.evtx_events(records.read_records(spark, "evtx", path)))
+
+
 @query
 def jsonl_round_trip(spark, sf):
     path = scratch_path(spark, "jsonl")
@@ -490,14 +543,15 @@ def jsonl_round_trip(spark, sf):
 
 @query
 def csv_round_trip(spark, sf):
-    """Document text with quotes, commas and line breaks through the CSV sink."""
+    """Document text with quotes, commas and line breaks through the CSV sink; null and empty text are both read as null."""
     rows = R.table(spark, sf, "documents").select(
         (F.col("doc_id") * 1000).alias("timestamp_ns"), F.lit("M").alias("macb"), F.lit("SRC").alias("source"),
-        F.concat(F.lit('say "'), "lang", F.lit('", x')).alias("artifact"), F.col("text").alias("message"))
+        F.concat(F.lit('say "'), "lang", F.lit('", x')).alias("artifact"), F.col("text").alias("message"),
+        F.expr("CASE WHEN doc_id % 2 = 0 THEN lang END AS file_path"))
     path = scratch_path(spark, "csv")
     sinks.write_csv(timeline.normalize(rows), path)
     back = (spark.read.schema(TIMELINE_SCHEMA).option("header", True).option("escape", '"').option("multiLine", True).csv(path))
-    return back.select(*[c for c in TIMELINE_FIELDS if c not in ("file_path", "hostname")])
+    return back.select(*TIMELINE_FIELDS)
 
 
 @query
@@ -524,7 +578,7 @@ def stream_counts(spark, sf):
     R.evtx(spark, sf).write.parquet(staged)
     stream = ingest.read_record_stream(spark, staged, "evtx", files_per_batch=2)
     ingest.stream_counts(eventlog.evtx_events(stream), target, mark).awaitTermination()
-    return spark.read.parquet(target)
+    return ingest.read_counts(spark, target)
 
 
 @query

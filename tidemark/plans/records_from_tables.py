@@ -9,13 +9,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import spread
 
 FT_EPOCH = 116_444_736_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def micros(c: str) -> str:
@@ -112,7 +111,7 @@ def usn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         pack_le(F.when(F.col("l_returnflag") == "R", 16).otherwise(32), 4),
         pack_le(F.length(name), 2), pack_le(60, 2), name)
     page = F.concat(pack_le(0, 8), pad_to(body, size), pack_le(13, 8))
-    return rows.select(F.lit("img0").alias("image_id"), F.lit(0).cast("bigint").alias("chunk_off"),
+    return rows.select(F.lit("host0").alias("host_id"), F.lit("img0").alias("image_id"), F.lit(0).cast("bigint").alias("chunk_off"),
                        page.alias("content"), F.lit(b"").alias("prev_tail"), F.lit(b"").alias("next_head"))
 
 
@@ -410,9 +409,9 @@ def srum_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- application inventory --------------------------------------------------------------
 
-def _inventory(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+def _inventory(spark: SparkSession, sf_dir: str, *more: str, hives: int = 50) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
-        "'host0' AS host_id", "'img0' AS image_id", "concat('hive', o_custkey % 50) AS hive_id",
+        "'host0' AS host_id", "'img0' AS image_id", f"concat('hive', o_custkey % {hives}) AS hive_id",
         "concat('key', o_orderkey) AS key_name",
         f"CASE WHEN o_orderkey % 8 = 7 THEN 0L ELSE {filetime('o_orderdate')} END AS last_write", *more)
 
@@ -442,10 +441,11 @@ def amcache_app(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def amcache_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty of its seventy hives are of the old layout alone."""
     return _inventory(
         spark, sf_dir, "CASE WHEN o_orderkey % 2 = 0 THEN concat('old', o_orderkey) END AS v15",
         "CASE WHEN o_orderkey % 3 = 0 THEN concat('0000', o_custkey) END AS v101",
-        f"CASE WHEN o_orderkey % 5 = 0 THEN {filetime('o_orderdate')} + 11 ELSE 0L END AS v17")
+        f"CASE WHEN o_orderkey % 5 = 0 THEN {filetime('o_orderdate')} + 11 ELSE 0L END AS v17", hives=70)
 
 
 # ---- browsing ---------------------------------------------------------------------------

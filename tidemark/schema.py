@@ -39,7 +39,7 @@ RECORD_SCHEMAS: dict[str, str] = {
     "usn": _KEYS + "parent_entry BIGINT, filetime BIGINT, reason BIGINT, file_attrs BIGINT, "
                    "file_name STRING, recovered BOOLEAN",
     "binary_chunks": _KEYS + "chunk_off BIGINT, content BINARY, prev_tail BINARY, next_head BINARY",
-    "evtx": _KEYS + "record_number BIGINT, filetime BIGINT, event_id INT, level INT, "
+    "evtx": _KEYS + "record_number BIGINT, filetime BIGINT, event_id INT, level INT, provider STRING, "
                     "channel STRING, computer STRING, strings ARRAY<STRING>, "
                     "u32s ARRAY<BIGINT>, file_name STRING",
     "prefetch": _KEYS + "exe_name STRING, files ARRAY<STRING>, run_count BIGINT, "

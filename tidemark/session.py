@@ -7,13 +7,13 @@ so that lost executors never force a whole iterative plan to run again.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: list[str] = []
+_OWN_SCRATCH: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -32,16 +32,17 @@ def _ship_helpers() -> None:
         cloudpickle.register_pickle_by_value(module)
 
 
+def use_scratch(path: str) -> None:
+    """Name a shared folder for sessions that do not set ``spark.checkpoint.dir`` themselves (tests, benches)."""
+    _OWN_SCRATCH[:] = [path]
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared scratch folder: ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Shared scratch folder: ``spark.checkpoint.dir``, else the one given to ``use_scratch``."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or (_OWN_SCRATCH[0] if _OWN_SCRATCH else None)
+    if not shared:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return _LOCAL_SCRATCH[0]
+    return shared.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -54,10 +55,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for a scan that has fewer splits than cores; larger scans stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that ``materialize`` wrote, once no DataFrame needs them; gives their number.
+
+    The caller owns them: call this after the final write of a run.
+    """
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _WRITTEN:
+        where = files.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    count = len(_WRITTEN)
+    _WRITTEN.clear()
+    return count

@@ -6,13 +6,13 @@ of one Arrow batch at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.bytescols import le_i64, le_u32, utf16le_z
+from ..functions.bytescols import le_i64, le_u32, utf16le_counted, utf16le_z
 from ..functions.timecols import filetime_to_ns
 from ..schema import RECORD_SCHEMAS
 from .textfiles import _keep, binary_files
@@ -30,7 +30,7 @@ def parse_recycle_i(files: DataFrame) -> DataFrame:
     version, chars = le_i64(body, 0), le_u32(body, 24)
     path = (
         F.when((version == 1) & (F.length(body) >= 26), utf16le_z(body, 24))
-        .when((version == 2) & (chars > 0) & (F.length(body) >= chars * 2 + 28), utf16le_z(body, 28))
+        .when((version == 2) & (chars > 0) & (F.length(body) >= chars * 2 + 28), utf16le_counted(body, 28, chars))
     )
     notes = files.filter(F.length(body) >= 24).select(
         *_keep(files), le_i64(body, 16).alias("filetime"), path.alias("original_path"),
@@ -38,8 +38,8 @@ def parse_recycle_i(files: DataFrame) -> DataFrame:
     return notes.filter((filetime_to_ns("filetime") > 0) & (F.coalesce("original_path", F.lit("")) != ""))
 
 
-def read_recycle_i(spark: SparkSession, path: str) -> DataFrame:
-    return parse_recycle_i(binary_files(spark, path, "$[Ii]?*"))
+def read_recycle_i(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    return parse_recycle_i(binary_files(spark, path, "$[Ii]?*", image_id, host_id))
 
 
 # ---- pages ------------------------------------------------------------------------------
@@ -97,6 +97,15 @@ def read_pages(spark: SparkSession, path: str, image_id: str, page_bytes: int =
     return spark.createDataFrame(rows, "image_id STRING, chunk_off BIGINT, content BINARY")
 
 
+def _hosted(pages: DataFrame, decode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Decode pages whose records keep the page's ``host_id``; without that column it is null."""
+    if "host_id" not in pages.columns:
+        return decode(pages).withColumn("host_id", F.lit(None).cast("string"))
+    both = F.to_json(F.struct("host_id", "image_id"))
+    ids = F.from_json("image_id", "host_id STRING, image_id STRING")
+    return decode(pages.withColumn("image_id", both)).withColumns({"host_id": ids["host_id"], "image_id": ids["image_id"]})
+
+
 # ---- numpy helpers ----------------------------------------------------------------------
 
 def _gather(data: np.ndarray, offs: np.ndarray, width: int) -> np.ndarray:
@@ -221,7 +230,7 @@ def _usn_records(chunks: DataFrame, carve: bool, page_bytes: int) -> DataFrame:
 
     if not set(columns) <= set(chunks.columns):
         chunks = with_neighbours(chunks, page_bytes)
-    return chunks.select(*columns).mapInArrow(decode, _USN_SCHEMA).withColumn("host_id", F.col("image_id"))
+    return _hosted(chunks, lambda rows: rows.select(*columns).mapInArrow(decode, _USN_SCHEMA))
 
 
 def scan_usn(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:
@@ -334,5 +343,4 @@ def decode_mft(pages: DataFrame) -> DataFrame:
         for batch in batches:
             yield _mft_batch(*(batch.column(c).to_pylist() for c in ("image_id", "chunk_off", "content")))
 
-    return pages.select("image_id", "chunk_off", "content").mapInArrow(decode, _MFT_SCHEMA).withColumn(
-        "host_id", F.col("image_id"))
+    return _hosted(pages, lambda rows: rows.select("image_id", "chunk_off", "content").mapInArrow(decode, _MFT_SCHEMA))

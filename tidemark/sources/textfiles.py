@@ -20,9 +20,16 @@ from ..functions.timecols import filetime_to_ns, parse_iso_ts, parse_text_ts
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
-def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+def _owned(files: DataFrame, image_id: str | None, host_id: str | None) -> DataFrame:
+    """Add the image and host that the files come from, where given."""
+    given = {n: F.lit(v) for n, v in (("image_id", image_id), ("host_id", host_id)) if v is not None}
+    return files.withColumns(given) if given else files
+
+
+def binary_files(spark: SparkSession, path: str, glob: str | None = None, image_id: str | None = None,
+                 host_id: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return _owned((reader.option("pathGlobFilter", glob) if glob else reader).load(path), image_id, host_id)
 
 
 def _keep(df: DataFrame) -> list[str]:
@@ -62,12 +69,12 @@ def parse_pca_general(files: DataFrame) -> DataFrame:
         field(7).alias("exit_info")).filter("timestamp_ns <> 0"))
 
 
-def read_pca_launch(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pca_launch(binary_files(spark, path, "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt"))
+def read_pca_launch(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    return parse_pca_launch(binary_files(spark, path, "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt", image_id, host_id))
 
 
-def read_pca_general(spark: SparkSession, path: str) -> DataFrame:
-    return parse_pca_general(binary_files(spark, path, "[Pp]ca[Gg]eneral[Dd]b[01].txt"))
+def read_pca_general(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    return parse_pca_general(binary_files(spark, path, "[Pp]ca[Gg]eneral[Dd]b[01].txt", image_id, host_id))
 
 
 # ---- error reports ----------------------------------------------------------------------
@@ -100,8 +107,8 @@ def parse_wer(files: DataFrame) -> DataFrame:
                  .otherwise(F.lit(0).cast("bigint"))).drop("_time")
 
 
-def read_wer(spark: SparkSession, path: str) -> DataFrame:
-    return parse_wer(binary_files(spark, path, "*.wer"))
+def read_wer(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    return parse_wer(binary_files(spark, path, "*.wer", image_id, host_id))
 
 
 # ---- scheduled tasks --------------------------------------------------------------------
@@ -171,8 +178,8 @@ def parse_tasks(files: DataFrame, root: str = "") -> DataFrame:
         "_t.arguments", "_t.trigger_start", "_t.trigger_type").filter("date_ns <> 0 OR trigger_start <> ''")
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return parse_tasks(binary_files(spark, path), root=path)
+def read_tasks(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    return parse_tasks(binary_files(spark, path, None, image_id, host_id), root=path)
 
 
 # ---- shell history ----------------------------------------------------------------------
@@ -188,10 +195,11 @@ def parse_pshistory(lines: DataFrame) -> DataFrame:
         *keep, (F.unix_micros("mtime") * 1000).alias("mtime_ns"), command.alias("command"))
 
 
-def read_pshistory(spark: SparkSession, path: str) -> DataFrame:
+def read_pshistory(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
     """History files as splittable text; the file time comes from the scan's metadata."""
     lines = (spark.read.option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "ConsoleHost_history.txt").text(path))
-    return parse_pshistory(lines.select(
+    lines = lines.select(
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("mtime"), F.make_valid_utf8("value").alias("value")))
+        F.col("_metadata.file_modification_time").alias("mtime"), F.make_valid_utf8("value").alias("value"))
+    return parse_pshistory(_owned(lines, image_id, host_id))

@@ -32,9 +32,13 @@ def stream_ingest(records: DataFrame, build: Callable[[DataFrame], DataFrame], t
 
 
 def stream_counts(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a small table of running event counts per artifact type (one row per type)."""
-    def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(target)
+    """Keep a small table of running event counts per artifact type (one row per type).
+
+    Each batch writes a folder of its own, so a batch that fails leaves the last whole one;
+    ``read_counts`` reads the newest.
+    """
+    def replace(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     counts = events.groupBy("artifact_type").agg(F.count("*").alias("events"))
     return (counts.writeStream.outputMode("complete").foreachBatch(replace)
@@ -53,5 +57,17 @@ def stream_delta_sets(events: DataFrame, target: str, checkpoint: str) -> Stream
             .trigger(availableNow=True).start())
 
 
+def read_counts(spark: SparkSession, target: str) -> DataFrame:
+    """Counts of the newest batch."""
+    counts = spark.read.parquet(target)
+    last = counts.agg(F.max("batch_id")).first()[0]
+    return counts.filter(F.col("batch_id") == last).drop("batch_id")
+
+
+def compact_delta_sets(spark: SparkSession, target: str, compacted: str) -> None:
+    """Write the distinct paths of all batches so far as one table, the start of a new target folder."""
+    read_current_paths(spark, target).write.mode("overwrite").parquet(f"{compacted}/batch_id=-1")
+
+
 def read_current_paths(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(target).select("host_id", "file_path").distinct()

@@ -14,6 +14,8 @@ components, all pairs of different components that sketches do not rule out are
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -127,19 +129,43 @@ def _compared(columns: dict) -> dict:
     return {"a": columns["center"], "b": columns["id"], "linked": linked}
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (``center``, ``id``) whose full sets are similar enough, as ``a, b``.
+def sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, center, shingles`` of the rows ``id, center``.
 
-    Texts meet the pairs by document, are made sets there, and the sets meet by centre.  The pair
-    side goes left in both joins, so that a much used centre is split over tasks.
+    The ids grow with the corpus, so they meet the texts in a shuffle at every size.
+    """
+    met = texts.select(F.col("doc_id").alias("id"), "text").join(ids.hint("merge"), "id").select("id", "center", "text")
+    return map_batches(met, "id long, center long, n int, shingles binary", _sets)
+
+
+def _alike(met: DataFrame) -> DataFrame:
+    return map_batches(met.select("center", "id", "mine", "other"), "a long, b long, linked boolean", _compared).filter("linked").select("a", "b")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Those of the pairs (``center``, ``id``) whose full sets are similar enough, as ``a, b``, and the sets used.
+
+    Texts meet the pairs by document, are made sets there, and the sets meet by centre.  A much used
+    centre stands on the right of that join, whose left side Spark can split.
     """
     ends = pairs.select("center", "id").union(pairs.select("center", F.col("center").alias("id")).distinct())
-    sets = ends.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("id", "center", "text")
-    sets = materialize(map_batches(sets, "id long, center long, n int, shingles binary", _sets), "sets")
+    sets = materialize(sets_of(ends, texts), "sets")
     mine = sets.filter("id <> center").select("id", "center", F.col("shingles").alias("mine"))
     other = sets.filter("id = center").select("center", F.col("shingles").alias("other"))
-    met = mine.join(other, "center").select("center", "id", "mine", "other")
-    return map_batches(met, "a long, b long, linked boolean", _compared).filter("linked").select("a", "b")
+    return _alike(mine.join(other, "center")), sets
+
+
+def confirmed_with(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """The same for pairs whose sets are known for the most part; the others are made first."""
+    known = sets.groupBy("id").agg(F.first("shingles").alias("shingles"))
+    ends = pairs.select("id").union(pairs.select("center")).distinct()
+    missing = materialize(ends.join(known.select("id"), "id", "left_anti").withColumn("center", F.lit(0).cast("long")), "missing")
+    if not missing.isEmpty():
+        known = known.union(texts.select(F.col("doc_id").alias("id"), "text").join(missing, "id").select("id", "center", "text")
+                            .transform(lambda rows: map_batches(rows, "id long, center long, n int, shingles binary", _sets))
+                            .select("id", "shingles"))
+    met = pairs.join(known.select("id", F.col("shingles").alias("mine")), "id")
+    return _alike(met.join(known.select(F.col("id").alias("center"), F.col("shingles").alias("other")), "center"))
 
 
 def plausible(a: str, b: str):
@@ -156,7 +182,9 @@ def plausible(a: str, b: str):
         differ = differ + F.bit_count(x(p).bitwiseXOR(y(p)))
     unshared = (x("n") + y("n")) / 7.0 / F.pow(F.lit(2.0), x("level"))  # at most, at a similarity of 0.75
     places = 512 * (1 - F.pow(F.lit(1 - 2 / 1024), unshared))
-    spread = F.sqrt(F.when(x("level") > 0, 2 * places).otherwise(places))
+    # Pairs of unshared shingles that share a place: about unshared^2 / 2048, each takes two away.
+    own = F.least(unshared * math.sqrt(2 / 1024), F.lit(16.0))
+    spread = F.sqrt(own * own + F.when(x("level") > 0, unshared).otherwise(1.0))  # a sample adds its own
     return ((100 * F.least(x("n"), y("n")) >= 75 * F.greatest(x("n"), y("n"))) & (agree >= SKETCH_AGREES)
             & ((x("level") != y("level")) | (differ <= places + 5 * spread)))
 
@@ -202,7 +230,8 @@ def rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     again = (some.groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("k")).filter("k > 1").select("doc_id")
              .join(some, "doc_id").join(classes.select("d1", "d2", "id"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
     pairs = materialize(_centred(buckets, facts, F.struct(*member)), "pairs")
-    links = materialize(confirmed(pairs, docs).union(again), "links")
+    close, sets = confirmed(pairs, docs)
+    links = materialize(close.union(again), "links")
     labels = components(links)
     left = materialize(_relabelled(buckets, labels), "buckets")
     members, rest = _pairs_left(left)
@@ -210,7 +239,7 @@ def rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while members and rest > COMPARED * members and tried < 4:  # too many pairs to look at: other centres first
         tried += 1
         order = F.struct(F.xxhash64("key", "id", F.lit(tried)), F.col("id"))
-        more = materialize(confirmed(materialize(_centred(left, facts, order), "pairs"), docs), "links")
+        more = materialize(confirmed_with(materialize(_centred(left, facts, order), "pairs"), sets, docs), "links")
         links = links.union(more)
         labels = components(links)
         left = materialize(_relabelled(left, labels), "buckets")
@@ -221,7 +250,7 @@ def rows_and_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         fits = plausible("a", "b")
         pairs = (a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & fits)
                  .select(F.col("a.id").alias("center"), F.col("b.id").alias("id")).distinct())
-        more = materialize(confirmed(materialize(pairs, "pairs"), docs), "links")
+        more = materialize(confirmed_with(materialize(pairs, "pairs"), sets, docs), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
     return rows.join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left").select("doc_id", "n", "id"), labels

@@ -17,6 +17,7 @@ from ..session import configure
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, with the session set up."""
     configure(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # texts make large rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

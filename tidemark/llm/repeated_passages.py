@@ -35,6 +35,7 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams of one string
 HALF = (LENGTH - GRAM) // 2
 SLICE = 1 << 20
+PART = 6 << 20  # bytes of text that are looked at together
 _rng = np.random.default_rng(50)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -148,7 +149,7 @@ def as_batch(rows: list) -> pa.RecordBatch:
                                       names=["kind", "key", "tag", "data"])
 
 
-def batched(rows, most: int = 32 << 20):
+def batched(rows, most: int = 8 << 20):
     """Record batches of bounded size."""
     held, size = [], 0
     for row in rows:
@@ -171,7 +172,7 @@ def _laid(batch: pa.RecordBatch):
     at = 0
     while at < len(some):
         end, size = at, 0
-        while end < len(some) and (end == at or size + len(some[end][1]) <= 24 << 20):
+        while end < len(some) and (end == at or size + len(some[end][1]) <= PART):
             size += len(some[end][1])
             end += 1
         part = some[at:end]
@@ -247,16 +248,16 @@ def by_key(batches, kind: int, work):
     """Rows of other kinds as they are; those of ``kind`` by key, which come one after the other."""
     key, held = None, []
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for row in zip(*columns):
-            if row[0] != kind:
-                yield row
+        kinds, keys, tags = (batch.column(k).to_pylist() for k in range(3))
+        for row_kind, row_key, tag, data in zip(kinds, keys, tags, batch.column(3)):
+            if row_kind != kind:
+                yield row_kind, row_key, tag, data.as_py()
                 continue
-            if row[1] != key and held:
+            if row_key != key and held:
                 yield from work(held, key)
                 held = []
-            key = row[1]
-            held.append(row[3])
+            key = row_key
+            held.append(data.as_py())
     if held:
         yield from work(held, key)
 
@@ -367,7 +368,7 @@ def _packed(columns: dict) -> dict:
     return {"doc_id": columns["doc_id"], "tag": [text_hash(t) for t in texts], "z": [pack(t) for t in texts]}
 
 
-def removed_ranges(docs: DataFrame, bucket_bytes: int = 24 << 20, sample: int = 2000, least_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
+def removed_ranges(docs: DataFrame, bucket_bytes: int = 6 << 20, sample: int = 2000, least_share: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Packed texts ``doc_id, tag, z`` and removed ranges ``doc_id, tag, parts``."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -700,6 +700,19 @@ WITH f AS (SELECT *, 'img' || l_suppkey % 3 AS image_id, CAST(l_quantity AS BIGI
   UNION ALL SELECT image_id, 'MFT', '$MFT', false, length FROM f WHERE l_linenumber = 5)
 SELECT 'host0' AS host_id, image_id, artifact_type, path, is_directory, CAST(sum(length) AS BIGINT) AS size_bytes FROM j GROUP BY ALL"""
 ORACLE["artifact_jobs"] = _JOBS
+ORACLE["extracted_jobs"] = f"""
+WITH f AS (SELECT *, 'img' || l_suppkey % 3 AS image_id, CAST(l_quantity AS BIGINT) AS length FROM lineitem),
+ j AS (
+  SELECT image_id, 'EVTX' AS artifact_type, 'evtx/' || {_KEY3} || '.evtx' AS path, false AS is_directory, length,
+         'Windows' || {BS} || 'System32' || {BS} || 'winevt' || {BS} || 'Logs' || {BS} || {_KEY3} || '.evtx' AS logical_path FROM f WHERE l_linenumber = 1
+  UNION ALL SELECT image_id, 'PREFETCH', 'Prefetch', true, length, 'Windows' || {BS} || 'Prefetch' FROM f WHERE l_linenumber = 2
+  UNION ALL SELECT image_id, unnest(['SHELLBAG', 'REGISTRY']), 'userhives/u' || l_suppkey || '/NTUSER.DAT', false, length,
+                   'Users' || {BS} || 'u' || l_suppkey || {BS} || 'NTUSER.DAT' FROM f WHERE l_linenumber = 3
+  UNION ALL SELECT image_id, 'BROWSER', 'browser/u' || l_suppkey || '/Edge_' || l_partkey || '_History', false, length,
+                   'Users' || {BS} || 'u' || l_suppkey || {BS} || 'AppData' || {BS} || 'Local' || {BS} || 'Edge_' || l_partkey || '_History' FROM f WHERE l_linenumber = 4
+  UNION ALL SELECT image_id, 'MFT', 'MFT', false, length, '$MFT' FROM f WHERE l_linenumber = 5
+  UNION ALL SELECT image_id, 'WER', 'wer_system/' || {_KEY3} || '/a/Report.wer', false, length, {_KEY3} || {BS} || 'a' || {BS} || 'Report.wer' FROM f WHERE l_linenumber = 6)
+SELECT 'host0' AS host_id, image_id, artifact_type, path, is_directory, CAST(sum(length) AS BIGINT) AS size_bytes, logical_path FROM j GROUP BY ALL"""
 ORACLE["artifact_summary"] = f"SELECT artifact_type, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS size_bytes FROM ({_JOBS}) GROUP BY artifact_type"
 
 ORACLE["event_counts"] = """

@@ -405,6 +405,18 @@ def artifact_jobs(spark, sf):
     return artifacts.dedupe_artifacts(artifacts.classify_artifacts(R.artifact_files(spark, sf)))
 
 
+@query
+def extracted_jobs(spark, sf):
+    """The listing of an extracted folder: one file per line item, in known and unknown places."""
+    key = "concat_ws('_', l_orderkey, l_partkey, l_suppkey)"
+    rows = R.table(spark, sf, "lineitem").selectExpr(
+        "'host0' AS host_id", "concat('img', l_suppkey % 3) AS image_id", "CAST(l_quantity AS BIGINT) AS length",
+        f"CASE l_linenumber WHEN 1 THEN concat('evtx/', {key}, '.evtx') WHEN 2 THEN concat('Prefetch/', {key}, '.pf')"
+        " WHEN 3 THEN concat('userhives/u', l_suppkey, '/NTUSER.DAT') WHEN 4 THEN concat('browser/u', l_suppkey, '/Edge_', l_partkey, '_History')"
+        f" WHEN 5 THEN 'MFT' WHEN 6 THEN concat('wer_system/', {key}, '/a/Report.wer') ELSE concat('other/', {key}) END AS path")
+    return artifacts.classify_extracted(rows)
+
+
 @query
 def event_counts(spark, sf):
     good, errors = records.isolate_errors(R.usn(spark, sf), F.col("file_name").isNotNull(), "USNJRNL", "image_id")

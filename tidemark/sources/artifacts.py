@@ -41,6 +41,37 @@ PATTERNS: list[tuple[str, str, bool]] = [
     ("REGISTRY", "Users/*/AppData/Local/Microsoft/Windows/UsrClass.dat", False),
 ]
 
+# Fixed values: (artifact type, path in an extracted evidence folder, whole directory); ``**`` is any depth.
+EXTRACTED_PATTERNS: list[tuple[str, str, bool]] = [
+    ("MFT", "MFT", False),
+    ("LOGFILE", "LogFile", False),
+    ("USNJRNL", "UsnJrnl_J", False),
+    ("USNJRNL", "UsnJrnl_Max", False),
+    ("EVTX", "evtx/*.evtx", False),
+    ("PREFETCH", "Prefetch/", True),
+    ("REGISTRY", "SYSTEM", False),
+    ("REGISTRY", "SOFTWARE", False),
+    ("REGISTRY", "SAM", False),
+    ("REGISTRY", "SECURITY", False),
+    ("SRUM", "sru/SRUDB.dat", False),
+    ("AMCACHE", "Amcache.hve", False),
+    ("PCASVC", "PcaAppLaunchDic.txt", False),
+    ("PCASVC", "PcaGeneralDb0.txt", False),
+    ("PCASVC", "PcaGeneralDb1.txt", False),
+    ("LNK", "Recent/", True),
+    ("TASK", "Tasks/", True),
+    ("RECYCLEBIN", "RecycleBin/", True),
+    ("REGISTRY", "userhives/*/NTUSER.DAT", False),
+    ("SHELLBAG", "userhives/*/NTUSER.DAT", False),
+    ("REGISTRY", "userhives/*/UsrClass.dat", False),
+    ("SHELLBAG", "userhives/*/UsrClass.dat", False),
+    ("BROWSER", "browser/*/*", False),
+    ("WINTIMELINE", "wintimeline/*/ActivitiesCache.db", False),
+    ("WER", "wer/**.wer", False),
+    ("WER", "wer_system/**.wer", False),
+    ("PSHISTORY", "pshistory/*/ConsoleHost_history.txt", False),
+]
+
 _KEYS = ["host_id", "image_id"]
 
 
@@ -55,7 +86,8 @@ def list_files(spark: SparkSession, root: str, image_id: str, host_id: str | Non
 
 
 def _pattern_regex(pattern: str, is_dir: bool) -> str:
-    body = "[^/]*".join(re.escape(part) for part in pattern.lower().rstrip("/").split("*"))
+    body = ".*".join("[^/]*".join(re.escape(part) for part in deep.split("*"))
+                     for deep in pattern.lower().rstrip("/").split("**"))
     return f"^{body}/." if is_dir else f"^{body}$"
 
 
@@ -87,6 +119,11 @@ def classify_artifacts(files: DataFrame, patterns=PATTERNS) -> DataFrame:
     return matched.groupBy(*_KEYS, "artifact_type", "path", "is_directory").agg(F.sum("length").alias("size_bytes"))
 
 
+def classify_extracted(files: DataFrame) -> DataFrame:
+    """Jobs of an extracted evidence folder, with their place on the volume as ``logical_path``."""
+    return logical_path(classify_artifacts(files, EXTRACTED_PATTERNS))
+
+
 def dedupe_artifacts(jobs: DataFrame) -> DataFrame:
     """One job per (type, path), largest first."""
     return jobs.groupBy(*_KEYS, "artifact_type", "path", "is_directory").agg(

@@ -62,7 +62,8 @@ def mft_events(mft: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 
 
 def mft_events_with_paths(mft: DataFrame, root: int = 5) -> DataFrame:
-    return mft_events(mft, resolve_paths(mft.select("image_id", "entry", "name", "parent"), root))
+    """The records meet their parent's path in the last join of the walk, so each crosses one shuffle."""
+    return mft_events(resolve_paths(mft, root, carry=("host_id", "name", "si", "fn")))
 
 
 DIRECTORY_ATTRIBUTE = 0x10

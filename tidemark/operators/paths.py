@@ -46,14 +46,16 @@ def _double(nodes: DataFrame, scope: list[str]) -> DataFrame:
     return done.unionByName(grown)
 
 
-def resolve_chains(edges: DataFrame, scope: list[str], max_depth: int | None = None) -> DataFrame:
+def resolve_chains(edges: DataFrame, scope: list[str], max_depth: int | None = None,
+                   carry: tuple[str, ...] = ()) -> DataFrame:
     """Root-to-leaf path of every node.
 
     ``edges``: ``scope`` columns, ``node``, ``label``, ``nxt`` (parent to continue at, null
     where the walk ends on purpose).  A chain is followed to its end, however long, and stops
     before the first repeated node; ``max_depth`` keeps only so many labels, counted from the
     leaf.  Result: ``scope``, ``node``, ``path``, ``depth`` and ``complete`` (the walk reached an
-    intended end).
+    intended end).  Columns of ``edges`` named in ``carry`` come along, so that a record needs no
+    second join to meet its path; without them the result is a written table, for several uses.
     """
     parents = edges.filter(F.col("nxt").isNotNull()).select(*scope, F.col("nxt").alias("node")).distinct()
     state = materialize(
@@ -85,26 +87,29 @@ def resolve_chains(edges: DataFrame, scope: list[str], max_depth: int | None = N
         *scope, "node",
         F.concat_ws(SEP, F.when(above != "", above), "label").alias("path"),
         (F.coalesce(above_depth, F.lit(0)) + 1).alias("depth"),
-        F.coalesce("u_complete", F.lit(False)).alias("complete"))
+        F.coalesce("u_complete", F.lit(False)).alias("complete"), *carry)
     ended = edges.filter(F.col("nxt").isNull()).select(
-        *scope, "node", F.col("label").alias("path"), F.lit(1).alias("depth"), F.lit(True).alias("complete"))
-    return materialize(ended.unionByName(open_nodes), "paths")  # used by several joins of a run
+        *scope, "node", F.col("label").alias("path"), F.lit(1).alias("depth"), F.lit(True).alias("complete"), *carry)
+    found = ended.unionByName(open_nodes)
+    return found if carry else materialize(found, "paths")
 
 
-def resolve_paths(edges: DataFrame, root: int = 5, scope: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def resolve_paths(edges: DataFrame, root: int = 5, scope: tuple[str, ...] = ("image_id",),
+                  carry: tuple[str, ...] = ()) -> DataFrame:
     """Volume path of every file-table entry.
 
     ``edges``: scope columns, ``entry``, ``name``, ``parent``.  Adds rows ``scope, entry,
-    file_path`` such as ``\\Windows\\System32\\a.exe``; the root itself is ``\\``.
+    file_path`` such as ``\\Windows\\System32\\a.exe``; the root itself is ``\\``.  ``carry`` names
+    columns that come along.
     """
     scope = list(scope)
     ends = (F.col("parent") == root) | (F.col("parent") == 0) | (F.col("parent") == F.col("entry"))
     walk = edges.filter(F.col("entry") != root).select(
         *scope, F.col("entry").alias("node"), F.col("name").alias("label"),
-        F.when(~ends, F.col("parent")).alias("nxt"))
-    chains = resolve_chains(walk, scope).select(
-        *scope, F.col("node").alias("entry"), F.concat(F.lit(SEP), "path").alias("file_path"))
-    top = edges.filter(F.col("entry") == root).select(*scope, "entry", F.lit(SEP).alias("file_path"))
+        F.when(~ends, F.col("parent")).alias("nxt"), *carry)
+    chains = resolve_chains(walk, scope, carry=carry).select(
+        *scope, F.col("node").alias("entry"), F.concat(F.lit(SEP), "path").alias("file_path"), *carry)
+    top = edges.filter(F.col("entry") == root).select(*scope, "entry", F.lit(SEP).alias("file_path"), *carry)
     return chains.unionByName(top)
 
 
@@ -117,20 +122,20 @@ def hive_root(hive_file) -> Column:
     return label(name, HIVE_ROOTS, F.concat(F.lit("HIVE["), name, F.lit("]")))
 
 
-def registry_paths(keys: DataFrame, scope: tuple[str, ...] = ("hive_id",)) -> DataFrame:
-    """Full key path of every registry key."""
+def registry_paths(keys: DataFrame, scope: tuple[str, ...] = ("hive_id",), carry: tuple[str, ...] = ()) -> DataFrame:
+    """Full key path of every registry key; columns of ``keys`` named in ``carry`` come along."""
     scope = list(scope)
     is_root = F.col("flags").bitwiseAND(F.lit(KEY_FLAG_ROOT)) != 0
     roots = keys.filter(is_root).select(*scope, F.col("rel_off").alias("parent_rel"), F.lit(True).alias("_top"))
     walk = (
         keys.filter(~is_root).join(roots, [*scope, "parent_rel"], "left")
         .select(*scope, F.col("rel_off").alias("node"), F.col("name").alias("label"),
-                F.when(F.col("_top").isNull(), F.col("parent_rel")).alias("nxt"))
+                F.when(F.col("_top").isNull(), F.col("parent_rel")).alias("nxt"), F.col("hive_file").alias("_hive"), *carry)
     )
-    below = resolve_chains(walk, scope).select(*scope, F.col("node").alias("rel_off"), "path")
-    prefix = hive_root("hive_file")
-    return keys.select(*scope, "rel_off", "hive_file").join(below, [*scope, "rel_off"], "left").select(
-        *scope, "rel_off", F.concat_ws(SEP, prefix, "path").alias("full_path"))
+    below = resolve_chains(walk, scope, carry=("_hive", *carry)).select(
+        *scope, F.col("node").alias("rel_off"), F.concat_ws(SEP, hive_root("_hive"), "path").alias("full_path"), *carry)
+    top = keys.filter(is_root).select(*scope, "rel_off", hive_root("hive_file").alias("full_path"), *carry)
+    return below.unionByName(top)
 
 
 def shellbag_paths(nodes: DataFrame, items: DataFrame, scope: tuple[str, ...] = ("hive_id",)) -> DataFrame:

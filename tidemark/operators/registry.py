@@ -110,8 +110,11 @@ def default_message(path: Column, values: Column) -> Column:
 def registry_events(keys: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """One event per key with a write time; ``paths`` as given by ``registry_paths``."""
     if "full_path" not in keys.columns:
-        paths = registry_paths(keys) if paths is None else paths
-        keys = keys.join(paths.select("hive_id", "rel_off", "full_path"), ["hive_id", "rel_off"])
+        if paths is None:
+            records = [c for c in ("host_id", "image_id", "name", "last_write", "values", "logical_path") if c in keys.columns]
+            keys = registry_paths(keys, carry=tuple(records))
+        else:
+            keys = keys.join(paths.select("hive_id", "rel_off", "full_path"), ["hive_id", "rel_off"])
     ns = filetime_to_ns("last_write")
     rows = keys.filter(ns > 0).withColumns({
         "full_path": F.coalesce("full_path", F.lit("")), "_upper": F.upper("full_path"),

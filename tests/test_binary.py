@@ -155,6 +155,28 @@ def test_read_pages(spark):
     assert names == {i: f"f{i}" for i in range(50)}
 
 
+def test_read_pages_of_any_size(spark):
+    """A short last page, records across edges, and the same rows for every page size."""
+    rng = random.Random(11)
+    data = b""
+    while len(data) < 150_000:
+        inner = usn("ghost.txt")
+        data += rng.choice([usn(f"f{len(data)}", ft=FT + len(data)), sample(rng), bytes(8 * rng.randint(1, 300)), rng.randbytes(8 * rng.randint(1, 40)),
+                            usn("w" * 30, length=60 + 64 + len(inner) + 4)[:-len(inner)] + inner])
+    data = data[:len(data) // 8 * 8 - 24]
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = os.path.join(folder, "journal.bin")
+    with open(path, "wb") as f:
+        f.write(data)
+    for decode in (B.scan_usn, B.carve_usn):
+        rows = [result(decode(B.read_pages(spark, path, "img", size))) for size in (1024, 4096, 65_536, 1 << 20)]
+        assert rows[0] and all(r == rows[0] for r in rows)
+        assert result(decode(pages(spark, data, 3000 * 8))) == rows[0]
+    first = B.read_pages(spark, path, "img", 4096, host_id="pc").orderBy("chunk_off").collect()
+    assert b"".join(bytes(r.content) for r in first) == data and len(first[-1].content) < 4096
+    assert {r.host_id for r in B.scan_usn(B.read_pages(spark, path, "img", 4096, host_id="pc")).collect()} == {"pc"}
+
+
 def test_recycle_notes(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     name = "C:\\a.txt".encode("utf-16-le")

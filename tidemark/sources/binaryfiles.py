@@ -6,11 +6,13 @@ of one Arrow batch at a time.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.bytescols import le_i64, le_u32, utf16le_counted, utf16le_z
 from ..functions.timecols import filetime_to_ns
@@ -18,7 +20,9 @@ from ..schema import RECORD_SCHEMAS
 from .textfiles import _keep, binary_files
 
 MIB = 1 << 20
-RECORD_MAX = 65_536   # longest journal record
+RECORD_MAX = 65_536   # longest journal record; longer lengths are no records
+UNIT = 65_536         # the walk starts anew at each multiple of this in a file
+PARTITION_BYTES = 32 * MIB
 ENTRY_MASK = (1 << 48) - 1
 
 
@@ -70,31 +74,86 @@ def chunk_files(files: DataFrame, chunk_bytes: int = MIB) -> DataFrame:
 
 
 def with_neighbours(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:
-    """Add ``prev_tail`` and ``next_head`` to stored pages of equal size (64 KiB or more).
+    """Add ``prev_tail`` and ``next_head`` (64 KiB each) to stored pages of equal size.
 
-    Every page sends its edges to the pages beside it and one equi-join on (image, page number)
+    Every page sends its edges to the pages within 64 KiB and one equi-join on (image, page number)
     brings them home.  The pages of a very large image are spread over all tasks; a window per
-    image would pull them into one.
+    image would pull them into one.  ``read_pages`` needs no such step.
     """
     page = F.call_function("div", F.col("chunk_off"), F.lit(page_bytes))
-    heads = chunks.select("image_id", (page - 1).alias("_page"), F.substring("content", 1, RECORD_MAX).alias("next_head"),
-                          F.lit(None).cast("binary").alias("prev_tail"))
+    reach = -(-RECORD_MAX // page_bytes)
+    steps = F.array(*[F.lit(d) for d in range(-reach, reach + 1) if d])
+    sent = chunks.select("image_id", page.alias("_from"), F.explode(steps).alias("_step"), "content")
     tail = F.substring("content", F.greatest(F.length("content") - RECORD_MAX, F.lit(0)) + 1, F.lit(RECORD_MAX))
-    tails = chunks.select("image_id", (page + 1).alias("_page"), F.lit(None).cast("binary").alias("next_head"),
-                          tail.alias("prev_tail"))
-    edges = heads.unionByName(tails).groupBy("image_id", "_page").agg(
-        F.max("next_head").alias("next_head"), F.max("prev_tail").alias("prev_tail"))
-    return chunks.withColumn("_page", page).join(edges, ["image_id", "_page"], "left").drop("_page")
+    edge = F.when(F.col("_step") > 0, tail).otherwise(F.substring("content", 1, RECORD_MAX))
+    part = F.struct(F.col("_from").alias("at"), edge.alias("edge"))
 
+    def joined(side: Column) -> Column:
+        parts = F.array_sort(F.collect_list(F.when(side, part)))
+        return F.aggregate(F.transform(parts, lambda x: x["edge"]), F.lit(b""), lambda done, x: F.concat(done, x))
 
-def read_pages(spark: SparkSession, path: str, image_id: str, page_bytes: int = MIB) -> DataFrame:
-    """Pages of one large file (size a multiple of ``page_bytes``), split by Hadoop, any length."""
-    name = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    pages = spark.sparkContext.newAPIHadoopFile(
-        path, name, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable",
-        conf={f"{name}.recordLength": str(page_bytes)})
-    rows = pages.map(lambda kv: (image_id, kv[0] * page_bytes, bytes(kv[1])))
-    return spark.createDataFrame(rows, "image_id STRING, chunk_off BIGINT, content BINARY")
+    edges = sent.groupBy("image_id", (F.col("_from") + F.col("_step")).alias("_page")).agg(
+        joined(F.col("_step") > 0).alias("_before"), joined(F.col("_step") < 0).alias("_behind"))
+    last = F.substring("_before", F.greatest(F.length("_before") - RECORD_MAX, F.lit(0)) + 1, F.lit(RECORD_MAX))
+    rows = chunks.withColumn("_page", page).join(edges, ["image_id", "_page"], "left")
+    return rows.withColumns({"prev_tail": last, "next_head": F.substring("_behind", 1, RECORD_MAX)}).drop("_page", "_before", "_behind")
+
+
+class PageSource(DataSource):
+    """Byte ranges of large files as pages with both neighbours' edges; the last page may be short.
+
+    Options: ``path`` (one file, by any address that pyarrow's file systems know), ``page_bytes``,
+    ``image_id``, ``host_id``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "evidence_pages"
+
+    def schema(self) -> str:
+        return "host_id STRING, " + _CHUNK_SCHEMA
+
+    def reader(self, schema) -> DataSourceReader:
+        return PageReader(self.options)
+
+
+class PageReader(DataSourceReader):
+    """Each partition reads a run of whole pages and the edges beside them."""
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.page = options["path"], int(options.get("page_bytes", MIB))
+        self.image, self.host = options.get("image_id"), options.get("host_id")
+
+    def _file(self):
+        from pyarrow import fs
+        return fs.FileSystem.from_uri(self.path)
+
+    def partitions(self) -> list[InputPartition]:
+        files, path = self._file()
+        size = files.get_file_info(path).size
+        step = max(self.page, PARTITION_BYTES // self.page * self.page)
+        return [InputPartition((at, min(at + step, size), size)) for at in range(0, size, step)]
+
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        start, end, size = partition.value
+        files, path = self._file()
+        with files.open_input_file(path) as data:
+            for off in range(start, end, self.page):
+                low, stop = max(off - RECORD_MAX, 0), min(off + self.page, size)
+                data.seek(low)
+                block = data.read(min(stop + RECORD_MAX, size) - low)
+                yield pa.RecordBatch.from_pydict({
+                    "host_id": pa.array([self.host], pa.string()), "image_id": pa.array([self.image], pa.string()),
+                    "chunk_off": pa.array([off], pa.int64()), "content": pa.array([block[off - low:stop - low]], pa.binary()),
+                    "prev_tail": pa.array([block[:off - low]], pa.binary()), "next_head": pa.array([block[stop - low:]], pa.binary())})
+
+
+def read_pages(spark: SparkSession, path: str, image_id: str, page_bytes: int = MIB, host_id: str | None = None) -> DataFrame:
+    """Pages of one file of any size, read by byte ranges; no page is shuffled to get its edges."""
+    spark.dataSource.register(PageSource)
+    uri = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    reader = spark.read.format("evidence_pages").option("path", uri).option("page_bytes", page_bytes).option("image_id", image_id)
+    return (reader.option("host_id", host_id) if host_id is not None else reader).load()
 
 
 def _hosted(pages: DataFrame, decode: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -124,62 +183,55 @@ MIN_USN, MAX_NAME = 60, 1 << 16
 _USN_SCHEMA = RECORD_SCHEMAS["usn"].replace("host_id STRING, ", "")
 
 
-def _page_offsets(page: np.ndarray, start: int, own: int, carve: bool) -> list[tuple[int, int]]:
-    """Start and length of the version-2 records of one page, at any alignment."""
-    found, pos, limit = [], start, len(page)
-    while pos < own and pos + MIN_USN <= limit:
-        length, version = (int(x) for x in page[pos:pos + 8].view("<u4"))
-        fits = MIN_USN <= length <= limit - pos
-        if carve:
-            fits = fits and length <= RECORD_MAX and length % 8 == 0 and version == 2
-        if fits and version & 0xFFFF == 2:
-            found.append((pos, length))
-        pos += length if fits else 8
-    return found
-
+def _stretch_offsets(stretch: np.ndarray, file_off: int, own: int, own_end: int, carve: bool) -> list[tuple[int, int]]:
+    """Start and length of the version-2 records that start in ``own:own_end`` of a stretch, at any alignment.
 
-def _crossing_ends(data: np.ndarray, offs: np.ndarray, length: np.ndarray, version: np.ndarray,
-                   page: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Where each page's own records begin: past a well-formed record that enters from before."""
-    begin = own.copy()
-    enters = (offs < own[page]) & (offs + length > own[page]) & (version == 2) & (length % 8 == 0) & (length <= RECORD_MAX)
-    offs, length, page = offs[enters], length[enters], page[enters]
-    name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
-    exact = (name_off == MIN_USN) & (length - name_off - name_len >= 0) & (length - name_off - name_len < 8)
-    for i in np.flatnonzero(exact)[::-1].tolist():   # the earliest start decides
-        begin[page[i]] = offs[i] + length[i]
-    return begin
+    The walk starts anew at each unit of the file, so it is the same for every way to cut pages.
+    """
+    found, limit = [], len(stretch)
+    first = max((file_off + own) // UNIT * UNIT - file_off, 0)
+    for unit in range(first, own_end, UNIT):
+        pos = unit
+        while pos < min(unit + UNIT, own_end) and pos + MIN_USN <= limit:
+            length, version = (int(x) for x in stretch[pos:pos + 8].view("<u4"))
+            fits = MIN_USN <= length <= min(limit - pos, RECORD_MAX)
+            if carve:
+                fits = fits and length % 8 == 0 and version == 2
+            if fits and version & 0xFFFF == 2 and pos >= own:
+                found.append((pos, length))
+            pos += length if fits else 8
+    return found
 
 
 def _batch_offsets(data: np.ndarray, base: np.ndarray, own: np.ndarray, own_end: np.ndarray, end: np.ndarray,
-                   carve: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                   file_off: np.ndarray, carve: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and page number of the version-2 records of 8-aligned pages in one buffer.
 
-    Page ``i`` owns ``own[i]:own_end[i]`` of its stretch ``base[i]:end[i]``.  Possible records are
-    found by whole-array tests; the walk then visits only those.  A page whose walk leaves the
-    8-byte grid is read again byte-exactly.
+    Page ``i`` owns the records that start in ``own[i]:own_end[i]`` of its stretch ``base[i]:end[i]``, which
+    lies at ``file_off[i]`` of its file.  Possible records are found by whole-array tests; the walk then
+    visits only those, from the start of the unit of the file that a page begins in.  A page whose walk
+    leaves the 8-byte grid is read again byte-exactly.
     """
     words = data.view("<u4")
     spots = np.flatnonzero(words[::2] >= MIN_USN)
     offs, length, version = spots * 8, words[spots * 2].astype(np.int64), words[spots * 2 + 1]
     page = np.searchsorted(base, offs, side="right") - 1
-    fits = (offs < own_end[page]) & (offs + length <= end[page])
-    offs, length, version, page = (x[fits] for x in (offs, length, version, page))
-    begin = _crossing_ends(data, offs, length, version, page, own)
-    mine = offs >= begin[page]
+    unit = (offs - base[page] + file_off[page]) // UNIT
+    first = (own - base + file_off) // UNIT
+    fits = (offs < own_end[page]) & (offs + length <= end[page]) & (length <= RECORD_MAX) & (unit >= first[page])
     if carve:
-        mine &= (length <= RECORD_MAX) & (length % 8 == 0) & (version == 2)
-    columns = [x[mine] for x in (offs, length, version & 0xFFFF, page)]
-    starts, lengths, pages, ragged, free, current = [], [], [], set(), 0, -1
-    for start, size, major, owner in zip(*(c.tolist() for c in columns)):
-        if owner != current:
-            current, free = owner, 0
+        fits &= (length % 8 == 0) & (version == 2)
+    columns = [x[fits] for x in (offs, length, version & 0xFFFF, page, unit)]
+    starts, lengths, pages, ragged, free, current = [], [], [], set(), 0, None
+    for start, size, major, owner, part in zip(*(c.tolist() for c in columns)):
+        if (owner, part) != current:
+            current, free = (owner, part), 0
         if start < free:
             continue
         free = start + size
         if size % 8:
             ragged.add(owner)
-        if major == 2:
+        if major == 2 and start >= own[owner]:
             starts.append(start)
             lengths.append(size)
             pages.append(owner)
@@ -187,22 +239,23 @@ def _batch_offsets(data: np.ndarray, base: np.ndarray, own: np.ndarray, own_end:
         kept = [row for row in zip(starts, lengths, pages) if row[2] not in ragged]
         for owner in ragged:
             lo, hi = int(base[owner]), int(end[owner])
-            exact = _page_offsets(data[lo:hi], int(begin[owner]) - lo, int(own_end[owner]) - lo, carve)
+            exact = _stretch_offsets(data[lo:hi], int(file_off[owner]), int(own[owner]) - lo, int(own_end[owner]) - lo, carve)
             kept += [(lo + at, size, owner) for at, size in exact]
         starts, lengths, pages = (list(c) for c in zip(*kept)) if kept else ([], [], [])
     return tuple(np.array(c, dtype=np.int64) for c in (starts, lengths, pages))
 
 
-def _usn_batch(pages: list[tuple[str, bytes, bytes, bytes]], carve: bool) -> pa.RecordBatch:
-    """Decode the journal records of a batch of pages (image, previous tail, content, next head)."""
-    pages = [p for p in pages if p[2].strip(b"\0")]
-    sizes = np.array([[len(part) for part in p[1:]] for p in pages], dtype=np.int64).reshape(-1, 3)
+def _usn_batch(pages: list[tuple[str, int, bytes, bytes, bytes]], carve: bool) -> pa.RecordBatch:
+    """Decode the journal records of a batch of pages (image, offset, previous tail, content, next head)."""
+    pages = [p for p in pages if p[3].strip(b"\0")]
+    sizes = np.array([[len(part) for part in p[2:]] for p in pages], dtype=np.int64).reshape(-1, 3)
     ends = np.cumsum(sizes, axis=1)
     padded = (ends[:, 2] + 7) // 8 * 8
     base = np.concatenate([[0], np.cumsum(padded)]).astype(np.int64)[:-1]
-    blob = b"".join(b"".join(p[1:]).ljust(n, b"\0") for p, n in zip(pages, padded.tolist()))
+    blob = b"".join(b"".join(p[2:]).ljust(n, b"\0") for p, n in zip(pages, padded.tolist()))
     data = np.frombuffer(blob, dtype=np.uint8)
-    offs, lengths, owner = _batch_offsets(data, base, *(base + ends[:, i] for i in range(3)), carve)
+    file_off = np.array([p[1] for p in pages], dtype=np.int64) - sizes[:, 0]
+    offs, lengths, owner = _batch_offsets(data, base, *(base + ends[:, i] for i in range(3)), file_off, carve)
     images = [pages[i][0] for i in owner.tolist()]
     name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
     inside = name_off + name_len <= lengths
@@ -221,12 +274,12 @@ def _usn_batch(pages: list[tuple[str, bytes, bytes, bytes]], carve: bool) -> pa.
 
 
 def _usn_records(chunks: DataFrame, carve: bool, page_bytes: int) -> DataFrame:
-    columns = ["image_id", "prev_tail", "content", "next_head"]
+    columns = ["image_id", "chunk_off", "prev_tail", "content", "next_head"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            image, *parts = (batch.column(c).to_pylist() for c in columns)
-            yield _usn_batch([(i, *(p or b"" for p in row)) for i, *row in zip(image, *parts)], carve)
+            image, off, *parts = (batch.column(c).to_pylist() for c in columns)
+            yield _usn_batch([(i, o or 0, *(p or b"" for p in row)) for i, o, *row in zip(image, off, *parts)], carve)
 
     if not set(columns) <= set(chunks.columns):
         chunks = with_neighbours(chunks, page_bytes)

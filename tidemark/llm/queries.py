@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, html_text, near_duplicates, quality, repeated_passages, token_counts, url_filter, vector_search, wavelet_output
+from . import byte_bpe, decontamination, equivalents, html_text, near_duplicates, quality, repeated_passages, token_counts, url_filter, vector_search, wavelet_output
 from .common import table
 
 
@@ -58,4 +58,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_vector_search, op2_url_filter, op3_html_text, op4_byte_bpe, op5_token_counts, op6_minhash, op7_token_files,
                                    op8_quality, op9_repeated_passages, op10_decontamination, pipeline)}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op6_minhash": equivalents.NEAR_DUPLICATES, "op10_decontamination": equivalents.DECONTAMINATION}

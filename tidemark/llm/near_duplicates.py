@@ -169,7 +169,8 @@ def confirmed_with(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataF
 
 
 def plausible(a: str, b: str):
-    """Sizes within the bound (exact); sketches and parities of two facts that agree well enough (five deviations)."""
+    """Sizes within the bound and, of sets taken whole, parities (both exact); other sketches that agree well enough (4.5
+    deviations and more)."""
     def x(name):
         return F.col(f"{a}.{name}")
 
@@ -184,9 +185,9 @@ def plausible(a: str, b: str):
     places = 512 * (1 - F.pow(F.lit(1 - 2 / 1024), unshared))
     # Pairs of unshared shingles that share a place: about unshared^2 / 2048, each takes two away.
     own = F.least(unshared * math.sqrt(2 / 1024), F.lit(16.0))
-    spread = F.sqrt(own * own + F.when(x("level") > 0, unshared).otherwise(1.0))  # a sample adds its own
+    spread = F.sqrt(own * own + unshared)  # a sample adds its own; without one, no more places than shingles can differ
     return ((100 * F.least(x("n"), y("n")) >= 75 * F.greatest(x("n"), y("n"))) & (agree >= SKETCH_AGREES)
-            & ((x("level") != y("level")) | (differ <= places + 5 * spread)))
+            & ((x("level") != y("level")) | (differ <= F.when(x("level") > 0, places + 5 * spread).otherwise(unshared + 1e-6))))
 
 
 def _centred(buckets: DataFrame, facts: DataFrame, order) -> DataFrame:

@@ -250,6 +250,10 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def drop_caches() -> None:
+    encoder.cache_clear()
+
+
 def _digests(columns: dict, path: str, pattern: str) -> dict:
     code = encoder(path, pattern)
     out: dict[str, list] = {"doc_id": columns["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -21,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema, owner: str = "") -> DataFrame:
     """``mapInArrow`` on executors that may have no copy of this package: Spark sends them one."""
     context = df.sparkSession.sparkContext
     if not getattr(context, "_tidemark_sent", False):
@@ -35,7 +37,26 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
                         out.write(full, os.path.relpath(full, os.path.dirname(top)))
         context.addPyFile(path)
         context._tidemark_sent = True
-    return df.mapInArrow(run, schema)
+    owner = owner or run.__module__
+
+    def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
+        yield from run(batches)
+
+    return df.mapInArrow(owned, schema)
+
+
+_OWNER = [""]
+
+
+def claim(owner: str) -> None:
+    """A worker process serves several operators in turn: only the one at work keeps its caches."""
+    if _OWNER[0] != owner:
+        for name, module in list(sys.modules.items()):
+            if name.startswith(f"{__package__}.") and name != owner and hasattr(module, "drop_caches"):
+                module.drop_caches()
+        _OWNER[0] = owner
+        gc.collect()
 
 
 def map_batches(df: DataFrame, schema: str, per_batch: Callable[..., dict], *extra) -> DataFrame:
@@ -50,7 +71,7 @@ def map_batches(df: DataFrame, schema: str, per_batch: Callable[..., dict], *ext
                 out = per_batch({n: batch.column(i) for i, n in enumerate(batch.schema.names)}, *extra)
                 yield pa.RecordBatch.from_arrays([as_arrow(out[f.name], f.type) for f in arrow], schema=arrow)
 
-    return map_arrow(df, run, schema)
+    return map_arrow(df, run, schema, per_batch.__module__)
 
 
 def as_arrow(values, kind: pa.DataType) -> pa.Array:

@@ -37,7 +37,7 @@ class WordBuckets(dict):
         self.buckets, self.marked = buckets, set()
 
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) > 600_000:
+        if len(self) > 300_000:
             self.clear()
             self.marked.clear()
         bare = word.strip(".,;:!?\"'()")
@@ -52,6 +52,10 @@ def _words(buckets: int) -> WordBuckets:
     return WordBuckets(buckets)
 
 
+def drop_caches() -> None:
+    _words.cache_clear()
+
+
 def _step(share: float) -> int:
     """Shares on a scale that is fine near zero."""
     return min(STEPS, int(round(4 * np.log2(1 + 7 * share))))

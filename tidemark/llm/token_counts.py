@@ -108,6 +108,10 @@ def counter(path: str, chunk: int, overlap: int) -> PieceCounter:
     return PieceCounter(path, chunk, overlap)
 
 
+def drop_caches() -> None:
+    counter.cache_clear()
+
+
 def _counts(columns: dict, path: str, chunk: int, overlap: int, limit: int) -> dict:
     n = counter(path, chunk, overlap).count(texts(columns["text"]))
     return {"doc_id": columns["doc_id"], "n_bytes": [len(b) for b in row_bytes(columns["text"])], "n_tokens": n,

@@ -188,6 +188,10 @@ def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
 
 
+def drop_caches() -> None:
+    library_encoder.cache_clear()
+
+
 def _shards(batches, path: str, end_id: int, shard_tokens: int):
     encode = library_encoder(path).encode_texts
     part, seq, start = TaskContext.get().partitionId(), 0, 0

@@ -140,6 +140,38 @@ def test_repeated_passages_random_splices(spark):
     same(repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")), want, PASSAGES)
 
 
+def test_repeated_passages_of_one_character_at_every_place(spark):
+    """Pairs of documents that share only a run of 50 to 60 equal characters."""
+    order = random.Random(7)
+    rows = []
+    for k in range(64):
+        run = chr(33 + k) * (50 + k % 11)
+        for i, at in ((k, order.randrange(64)), (100 + k, k)):
+            filling = "".join(order.choice("abcdefghij") for _ in range(192 - len(run)))
+            rows.append((i, filling[:at] + run + filling[at:]))
+    want = [w for w, _ in expected_passages(rows)]
+    assert sum(w[2] > 0 for w in want) == 64
+    same(repeated_passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)), want, PASSAGES)
+
+
+def test_strings_have_one_anchor_at_every_place():
+    """The anchor of a string and its place in it depend on its 50 bytes alone."""
+    for text in (b"-" * 50, b"| --- " * 9, b"ab" * 25, bytes(range(50))):
+        text = text[:50]
+        found = set()
+        for place in range(130):
+            blob = np.frombuffer(b"x" * place + text, np.uint8)
+            h, g, of, *_ = repeated_passages.anchored(blob, np.array([0, place]), np.array([place, 50]))
+            found |= set(zip(h[of == 1].tolist(), g[of == 1].tolist()))
+        assert len(found) == 1
+
+
+def test_runs_of_equal_stretches_are_one():
+    blob = np.frombuffer(b"-" * 5000, np.uint8)
+    h, g, text, s1, n, b, e = repeated_passages.anchored(blob, np.array([0]), np.array([5000]))
+    assert len(h) < 5 and n.sum() == 4951
+
+
 def test_slices_of_long_texts_make_the_same_strings(monkeypatch):
     """Every 50-byte string is in one stretch, whatever the slices."""
     blob = np.frombuffer((STORY * 30 + "end").encode(), np.uint8)

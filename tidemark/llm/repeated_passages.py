@@ -1,7 +1,8 @@
 """Removal of passages of 50 bytes that an earlier document has too.
 
-Every string of 50 bytes is given to one anchor inside it: its 16 bytes of least hash.  Equal strings have
-equal anchors, so only stretches of text around equal anchors can hold them.
+Every string of 50 bytes is given to one anchor inside it: its 16 bytes of least hash, of equal ones the
+first.  Equal strings have equal anchors at equal places, so only stretches of text around equal anchors can
+hold them.
 
 1. Each stretch (all strings of one anchor in one document) is sent by a bucket of its anchor as a few
    numbers.  Stretches that are equal as a whole are settled there (and before, inside a batch): all but
@@ -35,6 +36,7 @@ LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams of one string
 HALF = (LENGTH - GRAM) // 2
 SLICE = 1 << 20
+PLACE = np.uint64((2 << 20) - 1)  # low bits that hold a place in a slice
 PART = 6 << 20  # bytes of text that are looked at together
 _rng = np.random.default_rng(50)
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,7 +50,15 @@ ROWS = "kind int, key long, tag long, data binary"
 def anchored(blob: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
     """All stretches of texts laid end to end: hash of anchor and of stretch, text, first string, strings, and two filters."""
     parts = [_slice(blob, starts, lengths, lo, min(lo + SLICE, len(blob))) for lo in range(0, len(blob), SLICE)]
-    return [np.concatenate(x) for x in zip(*parts)] if parts else [np.empty(0, np.int64)] * 7
+    return _runs(*[np.concatenate(x) for x in zip(*parts)]) if parts else [np.empty(0, np.int64)] * 7
+
+
+def _runs(h, g, text, s1, n, b, e):
+    """Equal stretches that follow each other (a text of short period) as one, with the hash of one of them."""
+    end = s1 + n
+    heads = np.flatnonzero(heads_of(h, g, text) | np.append(True, s1[1:] != end[:-1])[:len(h)])
+    tails = np.append(heads[1:], len(h))[:len(heads)] - 1
+    return [h[heads], g[heads], text[heads], s1[heads], end[tails] - s1[heads], b[heads], e[heads]]
 
 
 def _slice(blob, starts, lengths, lo, hi):
@@ -64,7 +74,7 @@ def _slice(blob, starts, lengths, lo, hi):
         h = h[:-size] * POWERS[k] + h[size:]
         size, k = 2 * size, k + 1
     h = mix(h)
-    v = (h & ~np.uint64(63)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(63))  # the place comes back from six bits
+    v = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)  # of equal hashes the leftmost is the least
     size = 1
     while 2 * size <= SPAN:
         v = np.minimum(v[:-size], v[size:])
@@ -79,7 +89,7 @@ def _slice(blob, starts, lengths, lo, hi):
     w, text = w[inside], text[inside]
     if not len(w):
         return none
-    at = w + ((v[w] & np.uint64(63)).astype(np.int64) - w) % 64
+    at = (v[w] & PLACE).astype(np.int64)
     new = np.append(True, (at[1:] != at[:-1]) | (text[1:] != text[:-1]))
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(w)) - 1
@@ -208,7 +218,7 @@ def _send(batches, buckets: int, hot):
                     yield SHARDS, k, None, b"".join([
                         np.array([len(x), len(docs)], "<i8").tobytes(), ids[docs].astype("<i8").tobytes(), tags[docs].astype("<i8").tobytes(),
                         counts.astype("<u4").tobytes(), low_bytes(h[x] // np.uint64(buckets), 5), low_bytes(g[x], 6),
-                        (s1[x] & 0xFFFF).astype("<u2").tobytes(), (s1[x] >> 16).astype("<u4").tobytes(), n[x].astype(np.uint8).tobytes(),
+                        (s1[x] & 0xFFFF).astype("<u2").tobytes(), (s1[x] >> 16).astype("<u4").tobytes(), n[x].astype("<u4").tobytes(),
                         b[x].tobytes(), e[x].tobytes()])
                 x = np.flatnonzero(~gone & common)
                 if len(x):  # single strings of common anchors, the smallest id of each in this part
@@ -271,7 +281,7 @@ def _classes(held: list[bytes], bucket: int):
         ids, tags, counts = pack.take("<i8", docs), pack.take("<i8", docs), pack.take("<u4", docs)
         h, g = pack.numbers(n, 5), pack.numbers(n, 6)
         s1 = pack.take("<u2", n).astype(np.int64) + (pack.take("<u4", n).astype(np.int64) << 16)
-        for c, v in zip(columns, (np.repeat(ids, counts), np.repeat(tags, counts), h, g, s1, pack.take(np.uint8, n).astype(np.int64),
+        for c, v in zip(columns, (np.repeat(ids, counts), np.repeat(tags, counts), h, g, s1, pack.take("<u4", n).astype(np.int64),
                                   pack.take(np.uint8, n), pack.take(np.uint8, n))):
             c.append(v)
     held.clear()

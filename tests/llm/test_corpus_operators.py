@@ -274,6 +274,31 @@ def test_vector_search_recall(spark):
     assert hits >= 0.9 * 300 * 20
 
 
+def test_vector_search_over_many_tasks_finds_an_id_once(spark):
+    order = np.random.default_rng(12)
+    x = order.standard_normal((3000, 61))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    held = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        got = vector_search.nearest(df, F.col("vec_id") % 20 == 0, leaf_rows=64, recall=1.0).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len(got) == 150 * 20 == len({(r.query_id, r.vec_id) for r in got})
+
+
+def test_vector_search_scores_do_not_depend_on_the_leaf():
+    order = np.random.default_rng(13)
+    x, q = order.standard_normal((500, 96)), order.standard_normal(96)
+    whole = vector_search.products(q, x)
+    for n in (1, 2, 7, 64, 333):
+        some = order.permutation(500)[:n]
+        assert vector_search.products(q, x[some]).tolist() == whole[some].tolist()
+
+
 def test_pipeline_stages(spark):
     """Each stage against brute force on its own input."""
     import corpus_pipeline

@@ -4,7 +4,8 @@ Largest inner product is made nearness of directions by one more component (the
 vectors).  Complete trees split at the sample median of a random projection.  A query walks all trees
 through one priority queue, best margin first, until it has seen ``visits`` leaves; how many those
 are is measured on the sample, so that the wanted recall is reached there.  Every vector is indexed in every
-tree; inner products of the original vectors, in double precision, rank the members of the leaves.
+tree; inner products of the original vectors, in double precision, rank the members of the leaves.  A pair
+may meet in several leaves: its score is summed in the order of the components, so it is the same in each.
 
 Equal vectors are one entry of the index with its ``k + 1`` smallest ids (no other can be among the
 nearest ``k``), so a vector that many rows share fills no leaf.  Large leaves are cut into blocks.
@@ -153,6 +154,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products with the rows of ``x``, summed in the order of the components whatever the shape."""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
+def candidates(rough: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places that may hold one of the ``k`` largest scores, if ``rough`` ones are off by less than ``slack``."""
+    if len(rough) <= k:
+        return np.arange(len(rough))
+    return np.flatnonzero(~(rough < np.partition(rough, len(rough) - k)[len(rough) - k] - 2 * slack))
+
+
 def _ranked(batches, k: int):
     """Exact products inside each unit; a task keeps the best of each query over its units."""
     unit, members, names, held = None, [], [], {}
@@ -179,11 +192,14 @@ def _ranked(batches, k: int):
                 if len(members) > 1:
                     members, names = [np.concatenate(members)], [np.concatenate(names)]
                 x, who = members[0], names[0]
+                slack = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(x, axis=1).max()
                 for lo in range(a, b, 512):
-                    products = v[lo:min(b, lo + 512)] @ x.T
-                    for i, row in zip(ids[lo:min(b, lo + 512)].tolist(), products):
-                        top = best(row, who, k)
-                        s, w = row[top], who[top]
+                    some = v[lo:min(b, lo + 512)]
+                    for i, q, rough in zip(ids[lo:min(b, lo + 512)].tolist(), some, some @ x.T):
+                        top = candidates(rough, k, slack * np.linalg.norm(q))
+                        s, w = products(q, x[top]), who[top]
+                        top = best(s, w, k)
+                        s, w = s[top], w[top]
                         if i in held:
                             s, w = np.concatenate([held[i][0], s]), np.concatenate([held[i][1], w])
                             w, first = np.unique(w, return_index=True)
@@ -229,7 +245,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = 3, leaf_rows:
     routed = map_arrow(wanted, lambda b: _routed(b, shared, blocks), schema)
     both = index.unionByName(routed).repartition("unit").sortWithinPartitions("unit", "kind")
     found = map_arrow(both, lambda b: _ranked(b, k + 1), "q long, ids array<long>, scores array<double>")
-    pairs = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("q", "x.ids", "x.scores").distinct()
+    pairs = found.select("q", F.explode(F.arrays_zip("ids", "scores")).alias("x")).groupBy("q", "x.ids").agg(F.max("x.scores").alias("scores"))
     by_score = Window.partitionBy("q").orderBy(F.desc("scores"), "ids")
     pairs = pairs.withColumn("r", F.dense_rank().over(Window.partitionBy("q").orderBy(F.desc("scores")))).filter(F.col("r") <= k + 1).drop("r")
     named = pairs.join(entries.select(F.col("id").alias("ids"), "all"), "ids").select("q", "scores", F.explode("all").alias("ids"))

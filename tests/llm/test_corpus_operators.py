@@ -290,6 +290,19 @@ def test_vector_search_over_many_tasks_finds_an_id_once(spark):
     assert len(got) == 150 * 20 == len({(r.query_id, r.vec_id) for r in got})
 
 
+def test_vector_search_ties_go_to_the_smaller_id(spark):
+    """Different vectors of integers with equal scores, more than are asked for."""
+    order = np.random.default_rng(14)
+    x = np.concatenate([order.integers(1, 3, (400, 1)), order.integers(-1, 2, (400, 5))], axis=1).astype(float)
+    x[0] = [4, 0, 0, 0, 0, 0]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for options in ({}, {"leaf_rows": 32, "recall": 1.0}):
+        got = vector_search.nearest(df, F.col("vec_id") % 50 == 0, k=5, **options).collect()
+        for q in range(0, 400, 50) if not options else [0]:
+            want = sorted((-float(x[q] @ v), k) for k, v in enumerate(x) if k != q)[:5]
+            assert [(-r.score, r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
 def test_vector_search_scores_do_not_depend_on_the_leaf():
     order = np.random.default_rng(13)
     x, q = order.standard_normal((500, 96)), order.standard_normal(96)

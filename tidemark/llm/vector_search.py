@@ -125,8 +125,8 @@ def _indexed(batches, shared, blocks):
         for t in range(leaf.shape[1]):
             n = blocks.value[t][leaf[:, t]]
             unit = (t << 40) | (leaf[:, t] << 20) | (ids.astype(np.uint64) % n.astype(np.uint64)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(np.zeros(len(ids), np.int32)), batch.column(0), batch.column(1)],
-                                             names=["unit", "kind", "id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(np.zeros(len(ids), np.int32)), batch.column(0), batch.column(1), batch.column(2)],
+                                             names=["unit", "kind", "id", "v", "low"])
 
 
 def _routed(batches, shared, blocks):
@@ -142,7 +142,7 @@ def _routed(batches, shared, blocks):
                         unit.append((t << 40) | (leaf << 20) | b)
                         row.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), pa.array(np.ones(len(unit), np.int32)),
-                                              batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], names=["unit", "kind", "id", "v"])
+                                              *[c.take(pa.array(row, pa.int64())) for c in batch.columns]], names=["unit", "kind", "id", "v", "low"])
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -167,8 +167,8 @@ def candidates(rough: np.ndarray, k: int, slack: float) -> np.ndarray:
 
 
 def _ranked(batches, k: int):
-    """Exact products inside each unit; a task keeps the best of each query over its units."""
-    unit, members, names, held = None, [], [], {}
+    """Exact products inside each unit; a task keeps the best of each query over its units, ties to the smaller ``low``."""
+    unit, members, names, lows, held = None, [], [], [], {}
 
     def flush():
         if held:
@@ -180,33 +180,34 @@ def _ranked(batches, k: int):
 
     for batch in batches:
         units, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        ids, v = batch.column(2).to_numpy(), matrix(batch.column(3)) if batch.num_rows else None
+        ids, v, low = batch.column(2).to_numpy(), matrix(batch.column(3)) if batch.num_rows else None, batch.column(4).to_numpy()
         cuts = np.flatnonzero(np.append(True, (units[1:] != units[:-1]) | (kinds[1:] != kinds[:-1]))) if len(units) else np.empty(0, np.int64)
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(units)).tolist()):
             if units[a] != unit:
-                unit, members, names = units[a], [], []
+                unit, members, names, lows = units[a], [], [], []
             if kinds[a] == 0:
                 members.append(v[a:b])
                 names.append(ids[a:b])
+                lows.append(low[a:b])
             elif members:
                 if len(members) > 1:
-                    members, names = [np.concatenate(members)], [np.concatenate(names)]
-                x, who = members[0], names[0]
+                    members, names, lows = [np.concatenate(members)], [np.concatenate(names)], [np.concatenate(lows)]
+                x, who, least = members[0], names[0], lows[0]
                 slack = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(x, axis=1).max()
                 for lo in range(a, b, 512):
                     some = v[lo:min(b, lo + 512)]
                     for i, q, rough in zip(ids[lo:min(b, lo + 512)].tolist(), some, some @ x.T):
                         top = candidates(rough, k, slack * np.linalg.norm(q))
-                        s, w = products(q, x[top]), who[top]
-                        top = best(s, w, k)
-                        s, w = s[top], w[top]
+                        s, w, m = products(q, x[top]), who[top], least[top]
+                        top = best(s, m, k)
+                        s, w, m = s[top], w[top], m[top]
                         if i in held:
-                            s, w = np.concatenate([held[i][0], s]), np.concatenate([held[i][1], w])
+                            s, w, m = (np.concatenate(pair) for pair in zip(held[i], (s, w, m)))
                             w, first = np.unique(w, return_index=True)
-                            s = s[first]
-                            top = best(s, w, k)
-                            s, w = s[top], w[top]
-                        held[i] = s, w
+                            s, m = s[first], m[first]
+                            top = best(s, m, k)
+                            s, w, m = s[top], w[top], m[top]
+                        held[i] = s, w, m
         if len(held) > 100_000:
             yield from flush()
     yield from flush()
@@ -239,9 +240,10 @@ def nearest(vectors: DataFrame, queries, k: int = 20, trees: int = 3, leaf_rows:
     shared = spark.sparkContext.broadcast(forest)
     leaves = 1 << forest.depth
     blocks = spark.sparkContext.broadcast(np.full((trees, leaves), max(1, -(-2 * n // (leaves * BLOCK_ROWS)))))
-    schema = "unit long, kind int, id long, v array<double>"
-    index = map_arrow(entries.select("id", "v"), lambda b: _indexed(b, shared, blocks), schema)
-    wanted = entries.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "v")
+    schema = "unit long, kind int, id long, v array<double>, low long"
+    low = F.element_at("all", 1).alias("low")
+    index = map_arrow(entries.select("id", "v", low), lambda b: _indexed(b, shared, blocks), schema)
+    wanted = entries.join(asked.select(F.col("q").alias("id")).distinct(), "id", "left_semi").select("id", "v", low)
     routed = map_arrow(wanted, lambda b: _routed(b, shared, blocks), schema)
     both = index.unionByName(routed).repartition("unit").sortWithinPartitions("unit", "kind")
     found = map_arrow(both, lambda b: _ranked(b, k + 1), "q long, ids array<long>, scores array<double>")

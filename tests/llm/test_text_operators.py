@@ -217,3 +217,20 @@ def test_url_model_on_unseen_names(spark):
 def test_path_ratios_alone_leave_out_a_menu():
     page = "<div>" + "".join(f"<div><span>item {k}</span></div>" for k in range(30)) + "".join(f"<p>{'words and more words, here. ' * 9}</p>" for _ in range(8)) + "</div>"
     assert html_text.main_text(page).count("\n") == 7
+
+
+@pytest.mark.parametrize("wrapper", ['class="overflow-hidden"', 'class="page has-sidebar"', 'class="with-sidebar"', 'class="no-comments"', 'class="layout-side"',
+                                     'class="page-with-sidebar"', 'id="sidebar-right-page"', 'class="content widget-area"', 'data-note="hidden" title="not hidden"'])
+def test_html_text_inside_wrappers(wrapper):
+    article = [f"This is sentence {k}, and it says that the mill near the river stood empty for {k} years." for k in range(6)]
+    page = (f'<html><body class="has-sidebar"><div {wrapper}><nav><a>Home, news</a></nav>' + "".join(f"<p>{a}</p>" for a in article)
+            + '<div class="sidebar"><p>Our other pages, which nobody reads.</p></div><p hidden>Not seen by anyone, at all.</p>'
+              '<p style="display: none">Nor is this, ever.</p><p aria-hidden="true">Nor this one.</p></div>'
+              '<div class="post-comments">' + "<p>I do not agree, and I never will; this is wrong.</p>" * 40 + "</div></body></html>")
+    assert html_text.main_text(page) == "\n".join(article)
+
+
+def test_html_text_leaves_out_long_menus():
+    article = "<p>A short article, about mills. It has two sentences.</p>"
+    page = f'<body><div class="main-menu"><ul>{"<li>Some entry of a menu</li>" * 60}</ul></div><div>{article}</div></body>'
+    assert html_text.main_text(page) == "A short article, about mills. It has two sentences."

@@ -4,7 +4,8 @@ A page is read as a run of text blocks, each with the path of tags from the root
 tags left out, as one block may hold many).  Text length and punctuation are summed for each path and divided by the number of its blocks; the two
 ratios are fused (their product, in logarithms), spread to the blocks, smoothed along the page
 with a Gaussian and cut at a share of their mean.  Paths through menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles never count as content.
+sidebars, notices, adverts, forms, comments, scripts and styles never count as content.  Where only a name
+says so (other than of comments), a part that holds most of the page's sentences is left to the ratios.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from .common import map_batches, texts
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"}
 PUNCTUATION = regex.compile(r"\p{P}")
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,6 +37,10 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sp
                    r"comments?|replies|respond|disqus|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|"
                    r"search|pagination|pager|widgets?|toolbar|copyright|skip|complementary|contentinfo|legal|disclaimer)"
                    r"(?:$|[\s_-])", re.I)
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comments?|replies|respond|disqus)(?:$|[\s_-])", re.I)
+#: What a page or wrapper has, or does not have, is not what it is: has-sidebar, no-comments, layout-side.
+MODIFIED = re.compile(r"(?:(?<=\s)|(?<=[_-])|^)(?:has|with|without|no|layout)[_-]+\S*", re.I)
+SENTENCE = re.compile(r"[.!?。！？।؟]")
 #: Tags whose start ends an open paragraph, and lists of tags that end their own kind.
 ENDS_P = BLOCKS - {"html", "body", "head", "title"}
 SAME_KIND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"},
@@ -42,17 +48,50 @@ SAME_KIND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tab
 
 
 class Open:
-    """One open tag."""
-    __slots__ = ("tag", "path", "content")
+    """One open tag; ``named`` are the numbers of the parts around it that their names call no content."""
+    __slots__ = ("tag", "path", "content", "named")
 
-    def __init__(self, tag: str, path: str, content: bool) -> None:
-        self.tag, self.path, self.content = tag, path, content
+    def __init__(self, tag: str, path: str, content: bool, named: tuple[int, ...]) -> None:
+        self.tag, self.path, self.content, self.named = tag, path, content, named
+
+    def differs(self, other: Open) -> bool:
+        return self.content != other.content or self.named != other.named
+
+
+def hidden(rest: str) -> bool:
+    """Whether the attributes of a tag hide it."""
+    for name, *values in ATTRIBUTE.findall(rest):
+        name, value = name.lower(), "".join(values).strip().lower()
+        if name == "hidden" and value != "false" or name == "aria-hidden" and value == "true" or name == "style" and NO_DISPLAY.search(value):
+            return True
+    return False
+
+
+def in_article(path: str) -> bool:
+    return "/article/" in f"{path}/" or "/main/" in f"{path}/"
+
+
+def kept_parts(found: list[tuple[str, str, bool, tuple[int, ...]]], around: list[str]) -> set[int]:
+    """The named parts that hold more than half of the page's text in blocks with sentences (in all, if none has).
+
+    ``around`` has the path that each part stands in.  A part beside an article or main element with text is none of them.
+    """
+    rows = [(t, named) for t, _, content, named in found if content]
+    articles = [named for _, path, content, named in found if content and in_article(path)]
+    rows = [r for r in rows if SENTENCE.search(r[0])] or rows
+    sizes: dict[int, int] = {}
+    for t, named in rows:
+        for k in named:
+            sizes[k] = sizes.get(k, 0) + len(t)
+    total = sum(len(t) for t, _ in rows)
+    return {k for k, n in sizes.items() if 2 * n > total and (in_article(around[k]) or all(k in named for named in articles))}
 
 
 def blocks(page: str) -> list[tuple[str, str, bool]]:
     """Text, tag path and whether it may be content, of every text block in page order."""
-    stack = [Open("", "", True)]
-    out: list[tuple[str, str, bool]] = []
+    stack = [Open("", "", True, ())]
+    out: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    parts: list[str] = []
     held: list[str] = []
     owner = stack[0]
     at = 0
@@ -60,7 +99,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
     def flush() -> None:
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, owner.path, owner.content))
+            out.append((text, owner.path, owner.content, owner.named))
         held.clear()
 
     def add(raw: str) -> None:
@@ -84,7 +123,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
                 flush()
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    if any(not s.content for s in stack[k:]) and tag not in BLOCKS:
+                    if tag not in BLOCKS and stack[-1].differs(stack[k - 1]):
                         flush()
                     del stack[k:]
                     break
@@ -110,15 +149,20 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             at = end.end()
             continue
         top = stack[-1]
-        names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)) if "=" in rest else ""
-        content = top.content and tag not in NOT_CONTENT and not (names and tag not in ("html", "body") and NOISE.search(names)) \
-            and not (rest and HIDDEN.search(rest))
-        if not content and top.content and tag not in BLOCKS:
+        names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)) if "=" in rest and tag not in ("html", "body") else ""
+        names = MODIFIED.sub("", names) if names and NOISE.search(names) else ""
+        content, named = top.content and tag not in NOT_CONTENT and not (rest and hidden(rest)) and not (names and COMMENTS.search(names)), top.named
+        if names and NOISE.search(names):
+            named = (*named, len(parts))
+            parts.append(top.path)
+        new = Open(tag, f"{top.path}/{tag}" if tag in BLOCKS else top.path, content, named)
+        if tag not in BLOCKS and new.differs(top):
             flush()
-        stack.append(Open(tag, f"{top.path}/{tag}" if tag in BLOCKS else top.path, content))
+        stack.append(new)
     add(page[at:])
     flush()
-    return out
+    kept = kept_parts(out, parts) if parts else set()
+    return [(t, path, content and kept.issuperset(named)) for t, path, content, named in out]
 
 
 def close(stack: list[Open], tag: str, bounds: set[str]) -> None:

@@ -36,3 +36,46 @@ WITH d AS (SELECT doc_id, {_words(_WORD)} AS ws FROM documents),
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(place.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(item.n, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, place.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)"""
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+
+
+def _vector_codes(rounds: int = 4) -> str:
+    """Each round is one assignment (``a``) and one update (``b``) over all parts."""
+    steps = [f"""
+kept AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, label, list_transform(embedding, lambda c: floor(1024 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings WHERE {_WHOLE}),
+parts AS MATERIALIZED (SELECT n, vec_id, label, p, list_slice(v, p * len(v) // 4 + 1, (p + 1) * len(v) // 4) AS x FROM kept, range(4) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c FROM parts QUALIFY e < 256)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT n, p, any_value(x) AS x, min(struct_pack(d := list_inner_product(x, x) - 2 * list_inner_product(x, c)
+  + list_inner_product(c, c), e := e)) AS m FROM parts JOIN b{i} USING (p) GROUP BY n, p)""")
+        if i < rounds:
+            steps.append(f"""
+s{i} AS (SELECT p, m.e AS e, unnest(x) AS value, generate_subscripts(x, 1) AS place FROM a{i}),
+m{i} AS (SELECT p, e, place, floor(sum(value) / count(*)) AS value FROM s{i} GROUP BY ALL),
+u{i} AS (SELECT p, e, list(value ORDER BY place) AS c FROM m{i} GROUP BY ALL),
+b{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(u{i}.c, b{i}.c) AS c FROM b{i} LEFT JOIN u{i} USING (p, e))""")
+    return f"""WITH {','.join(steps)},
+coded AS (SELECT n, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a{rounds} GROUP BY n),
+flat AS (SELECT p, e, unnest(c) AS value, generate_subscripts(c, 1) AS place FROM b{rounds}),
+books AS (SELECT sha256(string_agg(CAST(CAST(value AS BIGINT) AS VARCHAR), ',' ORDER BY p, e, place)) AS codebooks_sha256 FROM flat)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (n), books"""
+
+
+VECTOR_CODES = _vector_codes()
+
+HARD_NEGATIVES = f"""WITH kept AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM kept a JOIN kept r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM near JOIN scored s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) QUALIFY row_number() OVER w <= 5"""

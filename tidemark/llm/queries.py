@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontamination, equivalents, html_text, near_duplicates, quality, repeated_passages, token_counts, url_filter, vector_search, wavelet_output
+from . import (byte_bpe, decontamination, equivalents, hard_negatives, html_text, near_duplicates, piece_bpe, quality, repeated_passages, token_counts,
+               url_filter, vector_codes, vector_search, wavelet_output)
 from .common import table
 
 
@@ -51,11 +52,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.product_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this subpackage
     return corpus_pipeline.run(spark, sf_dir)
 
 
 QUERIES = {f.__name__: f for f in (op1_vector_search, op2_url_filter, op3_html_text, op4_byte_bpe, op5_token_counts, op6_minhash, op7_token_files,
-                                   op8_quality, op9_repeated_passages, op10_decontamination, pipeline)}
-ORACLE = {"op6_minhash": equivalents.NEAR_DUPLICATES, "op10_decontamination": equivalents.DECONTAMINATION}
+                                   op8_quality, op9_repeated_passages, op10_decontamination, op11_vector_codes, op12_piece_bpe, op13_hard_negatives, pipeline)}
+ORACLE = {"op6_minhash": equivalents.NEAR_DUPLICATES, "op10_decontamination": equivalents.DECONTAMINATION,
+          "op11_vector_codes": equivalents.VECTOR_CODES, "op13_hard_negatives": equivalents.HARD_NEGATIVES}

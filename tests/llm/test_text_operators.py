@@ -234,3 +234,34 @@ def test_html_text_leaves_out_long_menus():
     article = "<p>A short article, about mills. It has two sentences.</p>"
     page = f'<body><div class="main-menu"><ul>{"<li>Some entry of a menu</li>" * 60}</ul></div><div>{article}</div></body>'
     assert html_text.main_text(page) == "A short article, about mills. It has two sentences."
+
+
+PARAGRAPHS = [f"This is paragraph {k} of the story, and it says that the mill, which stood empty for {k} years, was sold; nobody knew why." for k in range(12)]
+INSERTS = {
+    "table": ("<table><tr><td>Alpha</td><td>12</td></tr><tr><td>Beta</td><td>34</td></tr><tr><td>Gamma</td><td>56</td></tr></table>", "Alpha 12 Beta 34 Gamma 56".split()),
+    "code": ("<pre>a = 1</pre><pre>b = 2</pre><pre>c  =\n3</pre>", ["a = 1", "b = 2", "c = 3"]),
+    "list": ("<ul><li>one</li><li>two</li><li>three</li><li>four</li><li>five</li></ul>", ["one", "two", "three", "four", "five"]),
+    "button": ("<p>Press <button>Start</button> and fill <label>Name</label> in.</p>", ["Press Start and fill Name in."]),
+    "unclosed": ("<p>Before.<svg><path d='x'></p><p>After the drawing.</p>", ["Before.", "After the drawing."]),
+}
+
+
+@pytest.mark.parametrize("kind", INSERTS)
+@pytest.mark.parametrize("around", ["article", "main", "div"])
+def test_html_text_keeps_the_article_whole(kind, around):
+    html, lines = INSERTS[kind]
+    paragraphs = [f"<p>{p}</p>" for p in PARAGRAPHS]
+    page = f"<body><nav><a>Home</a></nav><{around}>{''.join(paragraphs[:6])}{html}{''.join(paragraphs[6:])}</{around}><footer>Foot</footer></body>"
+    assert html_text.main_text(page) == "\n".join(PARAGRAPHS[:6] + lines + PARAGRAPHS[6:])
+
+
+def test_html_text_keeps_the_headline():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for head in ("<article><header><h1>Mill sold</h1></header>", '<article><header class="entry-header"><h1>Mill sold</h1></header>', "<h1>Mill sold</h1><article>"):
+        page = f"<body><header><p>Our paper, since 1901.</p></header>{head}{body}</article></body>"
+        assert html_text.main_text(page) == "\n".join(["Mill sold", *PARAGRAPHS])
+
+
+@pytest.mark.parametrize("tag", ["select", "svg", "object", "iframe"])
+def test_html_text_goes_on_behind_what_never_ends(tag):
+    assert html_text.main_text(f"<{tag}>" * 2000 + "<p>Words, after it.</p>") == "Words, after it."

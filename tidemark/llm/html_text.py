@@ -3,15 +3,18 @@
 A page is read as a run of text blocks, each with the path of tags from the root to it (inline
 tags left out, as one block may hold many).  Text length and punctuation are summed for each path and divided by the number of its blocks; the two
 ratios are fused (their product, in logarithms), spread to the blocks, smoothed along the page
-with a Gaussian and cut at a share of their mean.  Paths through menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts and styles never count as content.  Where only a name
-says so (other than of comments), a part that holds most of the page's sentences is left to the ratios.
+with a Gaussian, averaged over each path again, and paths are cut at a share of the mean.  The chosen text
+names the content node: the smallest article or main element with more than half of it, of which all blocks
+are kept (and a headline before it); without one, the smallest element with most of it, of which all blocks from
+the first to the last chosen one are kept.  Lists, tables and code between paragraphs so stay whole.
+Paths through menus, headers (but an article's own), footers, sidebars, notices, adverts, forms, comments, scripts and
+styles never count as content.  Where only a name says so (other than of comments), a part that holds most of
+the page's sentences is left to the ratios.
 """
 
 from __future__ import annotations
 
 import html as references
-import math
 import re
 
 import numpy as np
@@ -30,6 +33,11 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCKS = set("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html head legend li main menu nav ol p pre section summary table
 tbody td tfoot th thead tr ul title""".split())
+#: What ends only with its own end tag, or with the page.
+SWALLOWS = {"script", "style", "textarea", "title"}
+#: Blocks of running text, in which a button or label is a word among others.
+RUNNING = ("/p", "/li", "/td", "/th", "/dd", "/dt", "/h1", "/h2", "/h3", "/h4", "/blockquote")
+HEADER_NAMES = re.compile(r"\S*headers?\S*", re.I)
 NOT_CONTENT = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "fieldset", "option"} | RAW
 #: Parts of class, id and role names of what is no content.
 NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|"
@@ -48,11 +56,11 @@ SAME_KIND = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tab
 
 
 class Open:
-    """One open tag; ``named`` are the numbers of the parts around it that their names call no content."""
-    __slots__ = ("tag", "path", "content", "named")
+    """One open tag; ``named`` are the numbers of the parts around it that their names call no content, ``place`` its number on the page."""
+    __slots__ = ("tag", "path", "content", "named", "place")
 
-    def __init__(self, tag: str, path: str, content: bool, named: tuple[int, ...]) -> None:
-        self.tag, self.path, self.content, self.named = tag, path, content, named
+    def __init__(self, tag: str, path: str, content: bool, named: tuple[int, ...], place: int = 0) -> None:
+        self.tag, self.path, self.content, self.named, self.place = tag, path, content, named, place
 
     def differs(self, other: Open) -> bool:
         return self.content != other.content or self.named != other.named
@@ -71,13 +79,13 @@ def in_article(path: str) -> bool:
     return "/article/" in f"{path}/" or "/main/" in f"{path}/"
 
 
-def kept_parts(found: list[tuple[str, str, bool, tuple[int, ...]]], around: list[str]) -> set[int]:
+def kept_parts(found: list[tuple[str, str, bool, tuple[int, ...], int]], around: list[str]) -> set[int]:
     """The named parts that hold more than half of the page's text in blocks with sentences (in all, if none has).
 
     ``around`` has the path that each part stands in.  A part beside an article or main element with text is none of them.
     """
-    rows = [(t, named) for t, _, content, named in found if content]
-    articles = [named for _, path, content, named in found if content and in_article(path)]
+    rows = [(t, named) for t, _, content, named, _ in found if content]
+    articles = [named for _, path, content, named, _ in found if content and in_article(path)]
     rows = [r for r in rows if SENTENCE.search(r[0])] or rows
     sizes: dict[int, int] = {}
     for t, named in rows:
@@ -87,10 +95,15 @@ def kept_parts(found: list[tuple[str, str, bool, tuple[int, ...]]], around: list
     return {k for k, n in sizes.items() if 2 * n > total and (in_article(around[k]) or all(k in named for named in articles))}
 
 
-def blocks(page: str) -> list[tuple[str, str, bool]]:
-    """Text, tag path and whether it may be content, of every text block in page order."""
+def blocks(page: str) -> tuple[list[tuple[str, str, bool, int]], list[int], list[str]]:
+    """Every text block in page order: text, tag path, whether it may be content, and its element.
+
+    Elements are numbered as they open; the second list has the number of each one's parent, the third its tag.
+    """
     stack = [Open("", "", True, ())]
-    out: list[tuple[str, str, bool, tuple[int, ...]]] = []
+    out: list[tuple[str, str, bool, tuple[int, ...], int]] = []
+    above, tags = [0], [""]
+    endless: set[str] = set()
     parts: list[str] = []
     held: list[str] = []
     owner = stack[0]
@@ -99,7 +112,7 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
     def flush() -> None:
         text = " ".join("".join(held).split())
         if text:
-            out.append((text, owner.path, owner.content, owner.named))
+            out.append((text, owner.path, owner.content, owner.named, owner.place))
         held.clear()
 
     def add(raw: str) -> None:
@@ -145,24 +158,35 @@ def blocks(page: str) -> list[tuple[str, str, bool]]:
             continue
         if tag in RAW:
             flush()
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>|\Z", re.I).search(page, at)
-            at = end.end()
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif tag in SWALLOWS:
+                at = len(page)
+            else:  # never closed: the page goes on
+                endless.add(tag)
             continue
         top = stack[-1]
         names = " ".join(a or b or c for a, b, c in NAMED.findall(rest)) if "=" in rest and tag not in ("html", "body") else ""
         names = MODIFIED.sub("", names) if names and NOISE.search(names) else ""
-        content, named = top.content and tag not in NOT_CONTENT and not (rest and hidden(rest)) and not (names and COMMENTS.search(names)), top.named
+        own_header = tag == "header" and "/article" in top.path
+        if own_header:
+            names = HEADER_NAMES.sub("", names)
+        word = tag in ("button", "label") and (top.path.endswith("/p") or bool(held) and top.path.endswith(RUNNING))
+        content, named = top.content and (tag not in NOT_CONTENT or own_header or word) and not (rest and hidden(rest)) and not (names and COMMENTS.search(names)), top.named
         if names and NOISE.search(names):
             named = (*named, len(parts))
             parts.append(top.path)
-        new = Open(tag, f"{top.path}/{tag}" if tag in BLOCKS else top.path, content, named)
+        new = Open(tag, f"{top.path}/{tag}" if tag in BLOCKS else top.path, content, named, len(above))
+        above.append(top.place)
+        tags.append(tag)
         if tag not in BLOCKS and new.differs(top):
             flush()
         stack.append(new)
     add(page[at:])
     flush()
     kept = kept_parts(out, parts) if parts else set()
-    return [(t, path, content and kept.issuperset(named)) for t, path, content, named in out]
+    return [(t, path, content and kept.issuperset(named), place) for t, path, content, named, place in out], above, tags
 
 
 def close(stack: list[Open], tag: str, bounds: set[str]) -> None:
@@ -176,32 +200,57 @@ def close(stack: list[Open], tag: str, bounds: set[str]) -> None:
 
 
 def scores(lengths: list[int], marks: list[int], paths: list[str], sigma: float) -> np.ndarray:
-    """The smoothed, fused ratio of every block."""
-    sums: dict[str, list[int]] = {}
-    for n, m, p in zip(lengths, marks, paths):
-        s = sums.setdefault(p, [0, 0, 0])
-        s[0] += n
-        s[1] += m
-        s[2] += 1
-    fused = {p: math.log1p(n / k) * math.log1p(1 + m / k) for p, (n, m, k) in sums.items()}
-    raw = np.array([fused[p] for p in paths])
+    """The smoothed, fused ratio of every block's path."""
+    names, path = np.unique(np.array(paths, dtype=object), return_inverse=True)
+    blocks_of = np.bincount(path)
+    ratio = [np.bincount(path, weights=of) / blocks_of for of in (lengths, marks)]
+    raw = (np.log1p(ratio[0]) * np.log1p(1 + ratio[1]))[path]
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     weight = np.convolve(np.ones(len(raw)), kernel, mode="full")[reach:reach + len(raw)]
     smooth = np.convolve(raw, kernel, mode="full")[reach:reach + len(raw)] / weight
-    return np.maximum(raw, smooth)
+    return (np.bincount(path, weights=smooth) / blocks_of)[path]
+
+
+def content_node(sizes: list[int], places: list[int], above: list[int], tags: list[str]) -> tuple[list[bool], bool]:
+    """Which elements lie in the content node, and whether it is an article or main element; ``sizes`` is chosen text."""
+    sums = [0] * len(above)
+    for n, k in zip(sizes, places):
+        sums[k] += n
+    total = sum(sizes)
+    for k in range(len(above) - 1, 0, -1):
+        sums[above[k]] += sums[k]
+    # elements with more than half of the text contain each other, and the inner one has the larger number
+    node = max((k for k in range(len(above)) if tags[k] in ("article", "main") and 2 * sums[k] > total), default=0)
+    named = node > 0
+    if not named:
+        node = max(k for k in range(len(above)) if 5 * sums[k] >= 4 * total)
+    inside = [False] * len(above)
+    inside[node] = True
+    for k in range(node + 1, len(above)):
+        inside[k] = inside[above[k]]
+    return inside, named
 
 
 def main_text(page: str, sigma: float = 1.0, share: float = 0.2) -> str:
-    """Blocks of the paths whose score is at least ``share`` of the mean over the page's text, one to a line."""
-    found = [b for b in blocks(page) if b[2]]
+    """Blocks of the content node and of paths whose score is at least ``share`` of the mean over the page's text, one to a line."""
+    found, above, tags = blocks(page)
+    found = [b for b in found if b[2]]
     if not found:
         return ""
-    lengths = [len(t) for t, _, _ in found]
-    marks = [len(PUNCTUATION.findall(t)) for t, _, _ in found]
-    score = scores(lengths, marks, [p for _, p, _ in found], sigma)
-    mean = float(np.average(score, weights=lengths))
-    return "\n".join(t for (t, _, _), s in zip(found, score) if s >= share * mean)
+    lengths = [len(b[0]) for b in found]
+    marks = [len(PUNCTUATION.findall(b[0])) for b in found]
+    score = scores(lengths, marks, [b[1] for b in found], sigma)
+    chosen = score >= share * float(np.average(score, weights=lengths))
+    inside, named = content_node([n if c else 0 for n, c in zip(lengths, chosen)], [b[3] for b in found], above, tags)
+    keep = np.array([inside[b[3]] for b in found])
+    if named:
+        keep |= chosen & np.array([b[1].endswith("/h1") for b in found])
+    else:
+        ends = np.flatnonzero(keep & chosen)
+        keep[:ends[0]] = keep[ends[-1] + 1:] = False
+        keep |= chosen
+    return "\n".join(b[0] for b, k in zip(found, keep) if k)
 
 
 def _extracted(columns: dict, sigma: float, share: float) -> dict:

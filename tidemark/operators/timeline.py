@@ -12,6 +12,7 @@ from ..functions.textcols import first_filled, short80, strip
 from ..functions.timecols import NS, as_col, clamp_ns, ns_to_iso
 from ..schema import EVENT_FIELDS, EVENT_SCHEMA
 from ..session import materialize
+from .timeranges import spread_by_time
 
 log = logging.getLogger(__name__)
 
@@ -99,14 +100,11 @@ def _sort_keys(df: DataFrame) -> list[str]:
 
 
 def sort_timeline(df: DataFrame) -> DataFrame:
-    """Ascending by time with a total tie order.
+    """Ascending by time, ties by the other keys.
 
-    The last key is the input partition: it decides nothing visible, but lets the range
-    partitioner split exact copies.  It is the same when a lost task runs again, which a
-    row number after a shuffle would not be.
+    The ranges come from a sketch of the times, so the events are built once; see ``timeranges``.
     """
-    return (df.withColumn("_part", F.spark_partition_id())
-            .orderBy(*_sort_keys(df), "_part").drop("_part"))
+    return spread_by_time(df, _sort_keys(df))
 
 
 def fill_hostname(df: DataFrame) -> DataFrame:

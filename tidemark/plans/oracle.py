@@ -645,6 +645,7 @@ ORACLE["artifact_filter"] = live("artifact = '$FILE_NAME'")
 ORACLE["grep_message"] = live("contains(message, 'DATA_EXTEND')")
 ORACLE["recovered_only"] = live("artifact = '$J (Recovered)'")
 ORACLE["parquet_round_trip"] = live()
+ORACLE["merge_timeline"] = live()
 ORACLE["table_round_trip"] = live()
 ORACLE["records_round_trip"] = ORACLE["evtx_message"]
 _ELEVEN = ("timestamp_ns, timestamp_iso, macb, source, artifact, hostname, file_path, message, message_short, is_fn_timestamp, tz_offset_secs")

@@ -13,7 +13,7 @@ from ..operators import (aggregates, browsing, delta, eventlog, execution, files
                          timeline, usage)
 from ..schema import EVENT_FIELDS, RECORD_SCHEMAS, TIMELINE_FIELDS, TIMELINE_SCHEMA
 from ..session import configure, scratch_path
-from ..sources import artifacts, binaryfiles, records, sinks, textfiles
+from ..sources import artifacts, binaryfiles, merging, records, sinks, textfiles
 from ..streaming import ingest
 from . import records_from_tables as R
 
@@ -530,6 +530,17 @@ def parquet_round_trip(spark, sf):
     return events_of(records.read_timeline(spark, path))
 
 
+@query
+def merge_timeline(spark, sf):
+    """Two kinds written first, the file table merged into it."""
+    path = scratch_path(spark, "mergeable")
+    evtx, usn = eventlog.evtx_events(R.evtx(spark, sf)), filesystem.usn_events(R.usn(spark, sf))
+    late = F.col("timestamp_ns") % 3 == 0
+    merging.write_mergeable(timeline.union_timelines(evtx, usn.filter(~late)), path)
+    merging.merge_timeline(timeline.union_timelines(filesystem.mft_events(R.mft(spark, sf)), usn.filter(late)), path)
+    return events_of(merging.read_mergeable(spark, path))
+
+
 @query
 def table_round_trip(spark, sf):
     """A catalog table of its own in each run."""

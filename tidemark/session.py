@@ -21,6 +21,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # what the JVM compiles; larger methods would be interpreted
     _ship_helpers()
     return spark
 

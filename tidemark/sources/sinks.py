@@ -6,18 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.textcols import macb_desc
 from ..operators.timeline import SORT_TIES, filter_time, filter_type, sort_timeline
+from ..operators.timeranges import spread_by_time
 from ..schema import TIMELINE_FIELDS
 from .records import read_timeline
 
 
 def _by_type_and_time(df: DataFrame) -> DataFrame:
-    """Range-partition by type and time, so each file covers one narrow time range of one type.
-
-    The input partition ends the range key: copies that share every other key still split.
-    """
-    keys = ["artifact_type", "timestamp_ns", *SORT_TIES]
-    spread = df.withColumn("_part", F.spark_partition_id()).repartitionByRange(*keys, "_part")
-    return spread.sortWithinPartitions(*keys).drop("_part")
+    """Each file covers one narrow time range of one type; hot times and copies are spread over files."""
+    return spread_by_time(df, ["artifact_type", "timestamp_ns", *SORT_TIES], "artifact_type")
 
 
 def write_parquet(df: DataFrame, path: str, by_type: bool = True, sort: bool = True, mode: str = "errorifexists") -> None:

@@ -125,6 +125,10 @@ def test_text_sinks(spark):
 def test_latest_n_with_copies(spark):
     df = spark.range(4000).selectExpr("'hot' AS db", "id % 3 AS t").unionByName(spark.createDataFrame([("cold", 1), ("cold", 5)], "db string, t bigint"))
     got = aggregates.latest_n(df, ["db"], "t", 1500)
+    few = aggregates.latest_n(df, ["db"], "t", 5)
+    assert few.groupBy("db").count().agg(F.max("count")).first()[0] <= 5
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 1 and "WindowGroupLimit" in plan
     assert brief(got.groupBy("db", "t").count(), "db", "t", "count") == [("cold", 1, 1), ("cold", 5, 1), ("hot", 1, 167), ("hot", 2, 1333)]
 
 

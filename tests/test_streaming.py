@@ -1,7 +1,7 @@
 import os
 import tempfile
 
-from tidemark.operators import filesystem
+from tidemark.operators import aggregates, filesystem
 from tidemark.streaming import ingest
 from test_builders import FT, brief, rows
 
@@ -24,4 +24,39 @@ def test_stream_matches_batch_and_resumes(spark):
     assert run() == brief(filesystem.usn_events(first.unionByName(second)))
     stream = ingest.read_record_stream(spark, inbox, "usn")
     ingest.stream_counts(filesystem.usn_events(stream), counts, os.path.join(root, "mark2")).awaitTermination()
-    assert brief(spark.read.parquet(counts), "artifact_type", "events") == [("USNJRNL", 21)]
+    assert brief(ingest.read_counts(spark, counts), "artifact_type", "events") == [("USNJRNL", 21)]
+
+
+def test_each_path_is_written_once(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    inbox, out, mark = (os.path.join(root, n) for n in ("in", "out", "mark"))
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    schema = "host_id string, file_path string, source string"
+    try:
+        for batch in (["a", "b", "a", None, ""], ["b", "c"], ["a", "c", "d"]):
+            spark.createDataFrame([("h", p, "$MFT") for p in batch], schema).write.mode("append").parquet(inbox)
+            stream = ingest.read_record_stream(spark, inbox, schema=schema)
+            ingest.stream_delta_sets(stream, out, mark).awaitTermination()
+        assert brief(ingest.read_current_paths(spark, out), "host_id", "file_path") == [("h", p) for p in "abcd"]
+        ingest.compact_delta_sets(spark, out, os.path.join(root, "small"))
+        assert ingest.read_current_paths(spark, os.path.join(root, "small")).count() == 4
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
+
+
+def test_listener_totals_and_changed_counts(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    inbox, out, mark = (os.path.join(root, n) for n in ("in", "out", "mark"))
+    schema = "artifact_type string, timestamp_ns long"
+    seen = []
+    for batch in ([("A", 0), ("B", 1)], [("A", 2)], [("A", 0), ("A", 5)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(inbox)
+        listener = ingest.LiveCounts()
+        spark.streams.addListener(listener)
+        events = aggregates.observe_counts(ingest.read_record_stream(spark, inbox, schema=schema))
+        ingest.stream_counts(events, out, mark).awaitTermination()
+        seen.append(dict(listener.wait()))
+        spark.streams.removeListener(listener)
+    assert [(s["events"], s["without_time"]) for s in seen] == [(2, 1), (1, 0), (2, 1)]
+    assert brief(ingest.read_counts(spark, out), "artifact_type", "events") == [("A", 4), ("B", 1)]
+    assert spark.read.parquet(out).filter("artifact_type = 'B'").count() == 1  # written when it changed

@@ -73,24 +73,23 @@ def distinct_events(events: DataFrame, keys: tuple[str, ...] = ("timestamp_ns",
     return rows.select(*[F.col(c) if c in (*keys, *maps) else F.col("_row")[c].alias(c) for c in events.columns])
 
 
-def latest_n(df: DataFrame, by: list[str], order: str, n: int, ties: list[str] = (),
-             spreads: tuple[int, ...] = (4096, 64)) -> DataFrame:
+def latest_n(df: DataFrame, by: list[str], order: str, n: int, ties: list[str] = (), spread: int = 64) -> DataFrame:
     """The ``n`` newest rows per group, whole even when one group holds most rows.
 
-    A tree of top-n steps: the newest ``n`` of each of 4096 slices of a group, then of each of
-    64 merged slices, then of the group.  The last steps sort at most ``64 * n`` rows per group
-    and task.  The slice mixes the row hash with the input partition, so exact copies spread
-    too; both stay the same when a lost task runs again.
+    Spark keeps at most ``n`` rows of a group in each input task before its one exchange, up to the session's
+    ``windowGroupLimitThreshold``.  For a larger ``n`` a first step takes the newest of each of ``spread`` slices of a group; the
+    slice mixes the row hash with the input partition, so exact copies spread too, and stays the same when a lost task runs again.
     """
-    row_hash = F.xxhash64(*df.columns)
     newest = [F.col(order).desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties], F.col("_hash")]
-    rows = df.withColumn("_hash", row_hash).withColumn(
-        "_slice", F.pmod(F.col("_hash") + F.spark_partition_id(), F.lit(spreads[0])))
-    for spread in (*spreads, 1):
-        within = Window.partitionBy(*by, "_slice").orderBy(*newest)
-        rows = (rows.withColumn("_slice", F.pmod("_slice", F.lit(spread)))
-                .withColumn("_rank", F.row_number().over(within)).filter(F.col("_rank") <= n))
-    return rows.drop("_slice", "_hash", "_rank")
+    rows = df.withColumn("_hash", F.xxhash64(*df.columns))
+
+    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).filter(F.col("_rank") <= n)
+
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        rows = rows.withColumn("_slice", F.pmod(F.shiftright("_hash", 2) + F.spark_partition_id(), F.lit(spread)))
+        rows = first(rows, [*by, "_slice"]).drop("_slice")
+    return first(rows, by).drop("_hash", "_rank")
 
 
 def delta_counts(delta: DataFrame) -> DataFrame:

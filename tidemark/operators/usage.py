@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.bytescols import sid_from_bytes
 from ..functions.textcols import blank_to_null, iface_name, prefixed, resolve_sid, thousands
 from ..functions.timecols import filetime_to_ns, srum_time_to_ns
+from ..session import materialize
 from .timeline import to_events
 
 SID_ENTRY = 3
@@ -27,10 +28,10 @@ def id_display(idmap: DataFrame) -> DataFrame:
 def srum_ids(usage: DataFrame, idmap: DataFrame) -> DataFrame:
     """Add ``app_name`` and ``user_name``.
 
-    The map has one row per id and is joined twice without a hint: a small map is broadcast
+    The map has one row per id; it is written once and joined twice without a hint: a small map is broadcast
     by its measured size, a large one is hash-joined with hot ids split by the adaptive planner.
     """
-    shown = id_display(idmap)
+    shown = materialize(id_display(idmap), "srum-ids")
     apps = shown.select("db_id", F.col("id_index").alias("app_id"), F.col("display").alias("_app"))
     users = shown.select("db_id", F.col("id_index").alias("user_id"), F.col("display").alias("_user"))
     joined = usage.join(apps, ["db_id", "app_id"], "left").join(users, ["db_id", "user_id"], "left")

@@ -662,6 +662,8 @@ ORACLE["timesketch_view"] = f"""
 SELECT timestamp_iso AS datetime, artifact || ' ' || coalesce(NULLIF({parts(', ', *[f"CASE WHEN contains(macb, '{k}') THEN '{v}' END" for k, v in L.MACB_LABELS.items()])}, ''), 'Timestamp') AS timestamp_desc,
        left(artifact, 6) AS source_short, artifact AS source_long, message, message_short, hostname, coalesce(file_path, '') AS filename FROM ({_LIVE})"""
 
+ORACLE["timesketch_file"] = ORACLE["timesketch_view"]
+
 # Strings are replaced by one word here, so only the record's own computer names a host.
 _QUIET = evtx_events_sql("''", "['x']")
 _BY_ATTR = usn_events_sql(f"SELECT * REPLACE ('host' || CASE WHEN l_returnflag = 'R' THEN 16 ELSE 32 END AS host_id) FROM ({_USN})")
@@ -719,6 +721,8 @@ ORACLE["artifact_summary"] = f"SELECT artifact_type, count(*) AS files, CAST(sum
 ORACLE["event_counts"] = """
 SELECT 'USNJRNL' AS artifact_type, count(*) FILTER (l_linenumber <> 6) AS events, count(*) FILTER (l_linenumber = 6) AS errors FROM lineitem
 UNION ALL SELECT 'EVTX', count(*), 0 FROM events"""
+ORACLE["errors_by_file"] = """
+SELECT 'USNJRNL' AS artifact_type, 'usn/' || l_orderkey % 100 AS path, count(*) AS errors FROM lineitem WHERE l_linenumber = 6 GROUP BY ALL"""
 ORACLE["run_summary"] = """
 WITH u AS (SELECT 'usn/' || l_orderkey % 100 AS path, l_linenumber = 6 AS bad FROM lineitem),
  r AS (SELECT 'USNJRNL' AS artifact_type, count(DISTINCT path) AS files, count(DISTINCT path) FILTER (bad) AS failed,
@@ -763,6 +767,7 @@ FROM (SELECT artifact, snapshot_id FROM ({_FILE_DELTA}) UNION ALL SELECT artifac
 
 ORACLE["stream_ingest"] = usn_events_sql(_USN)
 ORACLE["stream_counts"] = "SELECT 'EVTX' AS artifact_type, count(*) AS events FROM events"
+ORACLE["live_counts"] = "SELECT unnest(['EVTX', 'TOTAL']) AS artifact_type, count(*) AS events FROM events"
 ORACLE["stream_current_paths"] = f"SELECT 'host0' AS host_id, file_path FROM {_PATHS}"
 ORACLE["csv_round_trip"] = f"""
 SELECT doc_id * 1000 AS timestamp_ns, {iso('(doc_id * 1000)')} AS timestamp_iso, 'M' AS macb, 'SRC' AS source, 'say "' || lang || '", x' AS artifact,

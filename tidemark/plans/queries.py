@@ -424,6 +424,12 @@ def event_counts(spark, sf):
     return aggregates.event_counts(events, errors)
 
 
+@query
+def errors_by_file(spark, sf):
+    records_of = R.usn(spark, sf).withColumn("path", F.concat(F.lit("usn/"), F.pmod("parent_entry", F.lit(100)).cast("string")))
+    return aggregates.errors_by_file(records.isolate_errors(records_of, F.col("file_name").isNotNull(), "USNJRNL", "path")[1])
+
+
 @query
 def run_summary(spark, sf):
     """A listing of journal and event-log files, their events, and the records that failed."""
@@ -530,6 +536,15 @@ def parquet_round_trip(spark, sf):
     return events_of(records.read_timeline(spark, path))
 
 
+@query
+def timesketch_file(spark, sf):
+    """The review file written and read back; an empty text comes back as null, which counts as empty."""
+    path = scratch_path(spark, "timesketch")
+    sinks.write_timesketch(_live(spark, sf), path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in back.columns])
+
+
 @query
 def merge_timeline(spark, sf):
     """Two kinds written first, the file table merged into it."""
@@ -604,6 +619,23 @@ def stream_counts(spark, sf):
     return ingest.read_counts(spark, target)
 
 
+@query
+def live_counts(spark, sf):
+    """Counts kept while a stream runs: the table of types, and the listener's totals over its progress reports."""
+    staged, target, mark = (scratch_path(spark, n) for n in ("records", "counts", "mark"))
+    R.evtx(spark, sf).write.parquet(staged)
+    listener = ingest.LiveCounts()
+    spark.streams.addListener(listener)
+    try:
+        events = aggregates.observe_counts(eventlog.evtx_events(ingest.read_record_stream(spark, staged, "evtx", files_per_batch=2)))
+        ingest.stream_counts(events, target, mark).awaitTermination()
+        totals = listener.wait()
+    finally:
+        spark.streams.removeListener(listener)
+    seen = ingest.read_counts(spark, target)
+    return seen.unionByName(spark.createDataFrame([("TOTAL", totals.get("events", 0))], "artifact_type string, events long"))
+
+
 @query
 def stream_current_paths(spark, sf):
     staged, target, mark = (scratch_path(spark, n) for n in ("records", "paths", "mark"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..operators import browsing, eventlog, execution, filesystem, paths, registry, textual, usage
 from ..operators.delta import multi_snapshot_delta
@@ -86,7 +86,9 @@ def _snapshot_events(records: DataFrame | None, scope: list[str], build) -> Data
 
 def view(spark: SparkSession, path: str, n: int = 50, artifact_type: str | None = None,
          text: str | None = None) -> tuple[DataFrame, int]:
-    """First rows of a written timeline and the number of matching rows."""
+    """First ``n`` rows of a written timeline and the number of matching rows, counted by the job that finds the rows."""
     rows = filter_type(read_timeline(spark, path), artifact_type)
     rows = grep(rows, text) if text else rows
-    return preview(rows, n), rows.count()
+    seen = Observation()
+    first = preview(rows.observe(seen, F.count(F.lit(1)).alias("rows")), n)
+    return spark.createDataFrame(first.collect(), first.schema), seen.get["rows"]

@@ -46,7 +46,6 @@ EXTRACTED_PATTERNS: list[tuple[str, str, bool]] = [
     ("MFT", "MFT", False),
     ("LOGFILE", "LogFile", False),
     ("USNJRNL", "UsnJrnl_J", False),
-    ("USNJRNL", "UsnJrnl_Max", False),
     ("EVTX", "evtx/*.evtx", False),
     ("PREFETCH", "Prefetch/", True),
     ("REGISTRY", "SYSTEM", False),

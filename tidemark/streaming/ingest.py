@@ -6,10 +6,11 @@ snapshot deltas need the whole timeline and run afterwards as batch jobs.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.delta import current_paths
 from ..schema import RECORD_SCHEMAS
@@ -32,42 +33,78 @@ def stream_ingest(records: DataFrame, build: Callable[[DataFrame], DataFrame], t
 
 
 def stream_counts(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Keep a small table of running event counts per artifact type (one row per type).
+    """Keep running event counts per artifact type.
 
-    Each batch writes a folder of its own, so a batch that fails leaves the last whole one;
-    ``read_counts`` reads the newest.
+    Each batch writes only the types whose count has changed, into a folder of its own, so a batch that
+    runs again replaces itself; ``read_counts`` takes each type's newest row.
     """
-    def replace(batch: DataFrame, batch_id: int) -> None:
+    def upsert(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     counts = events.groupBy("artifact_type").agg(F.count("*").alias("events"))
-    return (counts.writeStream.outputMode("complete").foreachBatch(replace)
+    return (counts.writeStream.outputMode("update").foreachBatch(upsert)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+class LiveCounts(StreamingQueryListener):
+    """Totals of ``observe_counts`` while streams run: every progress report adds its batch's numbers.
+
+    ``totals`` maps the metric to its sum over the batches reported so far; ``wait`` returns once a stream has
+    ended and all its reports are in.
+    """
+
+    def __init__(self, name: str = "timeline") -> None:
+        self.name, self.totals, self.ended = name, {}, threading.Event()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        for key, value in (row.asDict() if row is not None else {}).items():
+            self.totals[key] = self.totals.get(key, 0) + (value or 0)
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+    def wait(self, seconds: float = 60) -> dict[str, int]:
+        self.ended.wait(seconds)
+        return self.totals
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keep the keys of streams in RocksDB on the executors' disks, with their changes in the checkpoint, not on the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def stream_delta_sets(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Collect the paths seen so far, one folder per batch, so that a repeated batch replaces itself.
+    """Collect the paths seen so far: a state of all (host, path) lets each path through once, whatever the batches.
 
-    ``read_current_paths`` gives the set that the snapshot anti join takes.
+    Each batch writes a folder of its own, so that a repeated batch replaces itself; ``read_current_paths`` gives
+    the set that the snapshot anti join takes.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
-        current_paths(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    return (events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    use_keyed_state(events.sparkSession)
+    return (current_paths(events).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
 def read_counts(spark: SparkSession, target: str) -> DataFrame:
-    """Counts of the newest batch."""
-    counts = spark.read.parquet(target)
-    last = counts.agg(F.max("batch_id")).first()[0]
-    return counts.filter(F.col("batch_id") == last).drop("batch_id")
+    """Newest count of each type."""
+    return spark.read.parquet(target).groupBy("artifact_type").agg(F.max_by("events", "batch_id").alias("events"))
 
 
 def compact_delta_sets(spark: SparkSession, target: str, compacted: str) -> None:
-    """Write the distinct paths of all batches so far as one table, the start of a new target folder."""
+    """Write the paths of all batches so far as one table with few files."""
     read_current_paths(spark, target).write.mode("overwrite").parquet(f"{compacted}/batch_id=-1")
 
 
 def read_current_paths(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target).select("host_id", "file_path").distinct()
+    """Paths seen so far; the stream has written each once."""
+    return spark.read.parquet(target).select("host_id", "file_path")

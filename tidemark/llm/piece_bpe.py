@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import id_and_text, map_batches, texts
 
 MARK = "▁"  # a space inside pieces
-CACHED = 400_000  # words, and as many parts of words, kept by a worker
+CACHED = 700_000  # words, and as many parts of words, kept by a worker
 CACHED_PAIRS = 800_000
 LONGEST_KEPT = 64  # longer words are not kept
 #: A run of marks and the characters behind it; no piece has a mark behind another character.
@@ -44,6 +44,7 @@ class Pieces:
         self.score = {self.text[i]: model.get_score(i) for i in plain}
         self.byte_ids = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.end = model.eos_id()
+        self.decimal = [str(i) for i in every]
         self.bytes = [b""] * len(self.text)
         for i in plain:
             self.bytes[i] = self.text[i].replace(MARK, " ").encode()
@@ -175,7 +176,7 @@ def _digests(columns: dict, path: str) -> dict:
     out: dict[str, list] = {"doc_id": columns["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
     for ids in map(np.ndarray.tolist, model.encode(texts(columns["text"]))):
         out["n_tokens"].append(len(ids))
-        out["ids_sha256"].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        out["ids_sha256"].append(hashlib.sha256(" ".join(map(model.decimal.__getitem__, ids)).encode()).hexdigest())
         out["decoded_sha256"].append(hashlib.sha256(model.decode(ids)).hexdigest())
     return out
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
-from .byte_bpe import ChunkCache
+from .byte_bpe import CACHED_CHUNKS, UNSURE_SPACE, WORD_AND_MARKS, ChunkCache
 from .common import id_and_text, map_arrow, map_batches, texts
 
 MAGIC = b"WMX1"
@@ -47,14 +47,14 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         planes = []
         for b in range(bits - 1, -1, -1):
-            one = (ids >> b) & 1 == 1
+            one = (ids & ids.dtype.type(1 << b)).astype(bool)
             packed = np.packbits(one, bitorder="little")
             padded = np.zeros(-(-len(one) // BLOCK) * (BLOCK // 8), np.uint8)
             padded[:len(packed)] = packed
             per_block = np.bitwise_count(padded).reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             before = np.concatenate([[0], np.cumsum(per_block)]).astype("<u4")
             planes.append((len(ids) - int(before[-1]), before, packed))
-            ids = np.concatenate([ids[~one], ids[one]])
+            ids = np.concatenate([ids.compress(~one), ids.compress(one)])
         return WaveletMatrix(len(ids), planes)
 
     def _ones(self, plane: int, at: int) -> int:
@@ -148,6 +148,55 @@ def read_file(data: bytes) -> tuple[list, np.ndarray, WaveletMatrix]:
     return doc_ids, lengths, WaveletMatrix(n, planes)
 
 
+class MissCache(ChunkCache):
+    """A chunk cache that looks every chunk up once and comes back only for those it did not know."""
+
+    def _encode(self, batch: list[str]) -> list[np.ndarray]:
+        known, first, out, at = self.known, self.first, [], 0
+        for cache in (known, first):
+            if len(cache) > CACHED_CHUNKS:
+                cache.clear()
+        get = known.get
+        while at < len(batch):  # a few megabytes at a time
+            rows, new, starts, size = [], set(), set(), 0
+            while at < len(batch) and (not rows or size < 4_000_000):
+                text = batch[at]
+                size += len(text)
+                at += 1
+                if UNSURE_SPACE.search(text) or (self.whole_if and self.whole_if in text):
+                    rows.append((text, None, ()))
+                    continue
+                pieces = text.split(" ")
+                ids = list(map(get, pieces))
+                ids[0] = first.get(pieces[0])
+                missing = [k for k, i in enumerate(ids) if i is None] if None in ids else ()
+                if missing:
+                    new.update([pieces[k] for k in missing if k])
+                    if missing[0] == 0:
+                        starts.add(pieces[0])
+                rows.append((pieces, ids, missing))
+            self._learn(new, starts)
+            for pieces, ids, missing in rows:
+                if ids is None:
+                    out.append(np.frombuffer(self.encode_whole(pieces), dtype="<u4"))
+                    continue
+                for k in missing:
+                    ids[k] = known[pieces[k]] if k else first[pieces[0]]
+                out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
+        return out
+
+    def _learn(self, new: set[str], starts: set[str]) -> None:
+        """Encode new chunks behind a space and at a start; letters and the marks behind them apart."""
+        known, first = self.known, self.first
+        parted = {p: m.groups() for p in new if (m := WORD_AND_MARKS(p))}
+        words = list(({p for p in new if p not in parted} | {w for w, _ in parted.values()}).difference(known))
+        heads = list(starts.union(m for _, m in parted.values()).difference(first))
+        known.update(zip(words, self.encode_chunks([" " + p for p in words])))
+        first.update(zip(heads, self.encode_chunks(heads)))
+        for p, (word, marks) in parted.items():
+            known[p] = known[word] + first[marks]
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each chunk of text (cut where no token can lie across)."""
 
@@ -157,7 +206,7 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if len(special) == 1 and " " not in special[0]:
-            self.cache = ChunkCache(self.encode, lambda t: self.encode([t])[0], special[0])
+            self.cache = MissCache(self.encode, lambda t: self.encode([t])[0], special[0])
             self.encode_texts = self.cache.encode
         else:
             self.encode_texts = lambda batch: [np.frombuffer(i, "<u4") for i in self.encode(batch)]

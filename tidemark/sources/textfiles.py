@@ -7,14 +7,14 @@ Every reader has two halves: ``read_*`` opens files, ``parse_*`` takes rows shap
 
 from __future__ import annotations
 
-from xml.parsers import expat
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.bytescols import text_by_bom
 from ..functions.textcols import cp1252_text, strip
 from ..functions.timecols import filetime_to_ns, parse_iso_ts, parse_text_ts
+from ..functions.xmlcols import first_values
 
 # Every character that ends a line in the PCA files.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -79,32 +79,37 @@ def read_pca_general(spark: SparkSession, path: str, image_id: str | None = None
 
 # ---- error reports ----------------------------------------------------------------------
 
-def key_value_lines(files: DataFrame, text: Column) -> DataFrame:
-    """``key``/``val`` of every line that holds ``=``, split at the first one, both trimmed."""
-    lines = _lines(files, text, r"\n").withColumn("line", strip(F.ltrim("line", F.lit("\ufeff"))))
-    cut = F.instr("line", "=")
-    return lines.filter(cut > 0).select(
-        *_keep(files), "line_no", strip(F.left("line", cut - 1)).alias("key"),
-        strip(F.substring("line", cut + 1, F.length("line"))).alias("val"))
+def key_values(text: Column) -> Column:
+    """``key``/``val`` of every line that holds ``=``, in line order, split at the first one, both trimmed."""
+    lines = F.transform(F.split(text, r"\n"), lambda x: strip(F.ltrim(x, F.lit("\ufeff"))))
+    return F.transform(F.filter(lines, lambda x: F.instr(x, "=") > 0), lambda x: F.struct(
+        strip(F.substring_index(x, "=", 1)).alias("key"),
+        strip(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("val")))
 
 
 def parse_wer(files: DataFrame) -> DataFrame:
-    """One row per report: last event time and type, first non-empty application and version."""
-    pairs = key_value_lines(files, text_by_bom("content"))
+    """One row per report: last event time and type, first non-empty application and version.
 
-    def last(key: str, usable=F.lit(True)) -> Column:
-        return F.max_by("val", F.when((F.col("key") == key) & usable, F.col("line_no")))
+    Each report is read inside its row, so nothing is shuffled and streams can be parsed too.  A file without
+    any ``key=value`` line gives no row.
+    """
+    def pick(key: str, usable: Callable[[Column], Column], place: int) -> Column:
+        return F.try_element_at(F.filter("_pairs", lambda p: (p["key"] == key) & usable(p["val"])), F.lit(place))["val"]
+
+    def any_value(_val: Column) -> Column:
+        return F.lit(True)
 
-    def first(key: str) -> Column:
-        return F.min_by("val", F.when((F.col("key") == key) & (F.col("val") != ""), F.col("line_no")))
+    def filled(val: Column) -> Column:
+        return val != ""
 
-    whole = F.col("val").rlike(r"^\+?[0-9]{1,20}$")
-    return pairs.groupBy(*_keep(files)).agg(
-        last("EventTime", whole).try_cast("decimal(20,0)").alias("_time"),
-        last("EventType").alias("event_type"), first("Sig[0].Value").alias("app_name"),
-        first("Sig[1].Value").alias("app_version"),
-    ).withColumn("event_time", F.when(filetime_to_ns("_time") > 0, F.col("_time").cast("bigint"))
-                 .otherwise(F.lit(0).cast("bigint"))).drop("_time")
+    keep = _keep(files)
+    reports = files.select(*keep, key_values(text_by_bom("content")).alias("_pairs")).filter(F.size("_pairs") > 0)
+    found = reports.select(
+        *keep, pick("EventTime", lambda v: v.rlike(r"^\+?[0-9]{1,20}$"), -1).try_cast("decimal(20,0)").alias("_time"),
+        pick("EventType", any_value, -1).alias("event_type"),
+        pick("Sig[0].Value", filled, 1).alias("app_name"), pick("Sig[1].Value", filled, 1).alias("app_version"))
+    return found.withColumn("event_time", F.when(filetime_to_ns("_time") > 0, F.col("_time").cast("bigint"))
+                            .otherwise(F.lit(0).cast("bigint"))).drop("_time")
 
 
 def read_wer(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
@@ -114,57 +119,14 @@ def read_wer(spark: SparkSession, path: str, image_id: str | None = None, host_i
 # ---- scheduled tasks --------------------------------------------------------------------
 
 _TASK_FIELDS = {
-    ("RegistrationInfo", "Date"): "date",
-    ("RegistrationInfo", "Author"): "author",
-    ("Exec", "Command"): "command",
-    ("Exec", "Arguments"): "arguments",
+    "date": ("RegistrationInfo", "Date"),
+    "author": ("RegistrationInfo", "Author"),
+    "command": ("Exec", "Command"),
+    "arguments": ("Exec", "Arguments"),
+    "trigger_start": (None, "StartBoundary"),
 }
 
 
-def _task_values(xml: str) -> dict[str, str]:
-    """First filled text of each task element; a syntax error ends the reading, not the job."""
-    found: dict[str, str] = {}
-    stack: list[str] = []
-    text: list[str] = []
-
-    def start(tag: str, _attributes: dict) -> None:
-        tag = tag.rpartition(":")[2]
-        if tag.endswith("Trigger"):
-            found.setdefault("trigger_type", tag)
-        stack.append(tag)
-        text.clear()
-
-    def end(_tag: str) -> None:
-        value, tag = "".join(text).strip(), stack.pop()
-        field = "trigger_start" if tag == "StartBoundary" else _TASK_FIELDS.get((stack[-1] if stack else "", tag))
-        if field and value:
-            found.setdefault(field, value)
-        text.clear()
-
-    parser = expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = text.append
-    try:
-        parser.Parse(xml, True)
-    except expat.ExpatError:
-        pass
-    return found
-
-
-_TASK_COLUMNS = ["date", "author", "command", "arguments", "trigger_start", "trigger_type"]
-_TASK_TYPE = T.StructType([T.StructField(c, T.StringType()) for c in _TASK_COLUMNS])
-
-
-def _task_fields(xml: Column) -> Column:
-    """The built-in XPath functions fail the job on one malformed document, hence this helper."""
-    def read(batch: pd.Series) -> pd.DataFrame:
-        rows = [_task_values(x or "") for x in batch]
-        return pd.DataFrame([[row.get(c, "") for c in _TASK_COLUMNS] for row in rows], columns=_TASK_COLUMNS, dtype=object)
-
-    read.__annotations__ = {"batch": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(read, _TASK_TYPE)(xml)
-
-
 def parse_tasks(files: DataFrame, root: str = "") -> DataFrame:
     """First filled value of each task element; ``.job`` files and dateless tasks are left out."""
     # A declared encoding no longer holds once the bytes are text.
@@ -172,7 +134,7 @@ def parse_tasks(files: DataFrame, root: str = "") -> DataFrame:
     name = F.substring_index("path", root.rstrip("/") + "/", -1) if root else F.ltrim("path", F.lit("/"))
     tasks = files.filter(~F.col("path").endswith(".job")).select(
         *_keep(files), F.concat(F.lit("\\"), F.replace(name, F.lit("/"), F.lit("\\"))).alias("task_name"),
-        _task_fields(xml).alias("_t"))
+        first_values(xml, _TASK_FIELDS, ("trigger_type", "Trigger")).alias("_t"))
     return tasks.select(
         *_keep(files), "task_name", parse_iso_ts("_t.date").alias("date_ns"), "_t.author", "_t.command",
         "_t.arguments", "_t.trigger_start", "_t.trigger_type").filter("date_ns <> 0 OR trigger_start <> ''")

@@ -1,7 +1,10 @@
+import glob
 import os
 import tempfile
 
-from tidemark.operators import aggregates, filesystem
+from tidemark.operators import aggregates, execution, filesystem, textual
+from tidemark.plans import records_from_tables as R
+from tidemark.sources import binaryfiles, textfiles
 from tidemark.streaming import ingest
 from test_builders import FT, brief, rows
 
@@ -60,3 +63,81 @@ def test_listener_totals_and_changed_counts(spark):
     assert [(s["events"], s["without_time"]) for s in seen] == [(2, 1), (1, 0), (2, 1)]
     assert brief(ingest.read_counts(spark, out), "artifact_type", "events") == [("A", 4), ("B", 1)]
     assert spark.read.parquet(out).filter("artifact_type = 'B'").count() == 1  # written when it changed
+
+
+def journal(spark, n, at=0):
+    """Records of a real layout: each in a block of 128 bytes."""
+    rows = R.usn_chunks(spark, "/root/testdata/sf0.001").filter("substring(content, 13, 1) = X'02'").limit(n + at)
+    return b"".join(bytes(r.content).ljust(128, b"\0") for r in rows.select("content").collect()[at:])
+
+
+def test_growing_journal_is_read_once(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    folder, out, mark = (os.path.join(root, n) for n in ("j", "out", "mark"))
+    os.mkdir(folder)
+    data = journal(spark, 3000)
+    assert len(data) > 5 * 65_536
+
+    def put(name, size):
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(data[:size])
+
+    def run(complete=False):
+        pages = binaryfiles.read_page_stream(spark, folder, "img", 65_536, "h", complete)
+        ingest.stream_ingest(pages, lambda p: filesystem.usn_events(binaryfiles.scan_usn(p)), out, mark).awaitTermination()
+        return spark.read.parquet(out).count() if glob.glob(out + "/*/*.parquet") else 0
+
+    put("a", 60_000)
+    assert run() == 0  # its last unit may still grow
+    put("a", 3 * 65_536 + 100)
+    assert run() == run() == 2 * 512
+    put("a", len(data))
+    put("b", 128 * 700)
+    put("_copying", 128 * 700)
+    whole = spark.createDataFrame([("img", data), ("img", data[:128 * 700])], "image_id string, content binary")
+    want = filesystem.usn_events(binaryfiles.scan_usn(binaryfiles.chunk_files(whole, 65_536)))
+    assert run(True) == run(True) == want.count() == 3700
+    got = spark.read.parquet(out)
+    assert brief(got, "timestamp_ns", "message") == brief(want, "timestamp_ns", "message")
+    assert {(r.host_id, r.image_id) for r in got.select("host_id", "image_id").distinct().collect()} == {("h", "img")}
+    pages = binaryfiles.read_pages(spark, folder, "img", 65_536)
+    assert pages.count() == -(-len(data) // 65_536) + 2 and binaryfiles.scan_usn(pages).count() == 3700
+
+
+def test_page_size_of_a_stream_keeps_to_units(spark):
+    try:
+        binaryfiles.read_page_stream(spark, "/tmp", "img", 1000)
+        assert False
+    except ValueError:
+        pass
+
+
+def test_text_files_as_streams(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    inbox = os.path.join(root, "in")
+
+    def put(name, body):
+        path = os.path.join(inbox, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(body)
+
+    def run(name, pattern, parse, build, read=ingest.read_file_stream):
+        out = os.path.join(root, name)
+        ingest.stream_ingest(read(spark, inbox, pattern, 1, image_id="i", host_id="h"), lambda f: build(parse(f)), out, out + "_mark").awaitTermination()
+        return brief(spark.read.parquet(out), "host_id", "message")
+
+    jobs = [("wer", "*.wer", textfiles.parse_wer, textual.wer_events), ("task", "*.xml", textfiles.parse_tasks, textual.task_events),
+            ("pca", "PcaAppLaunchDic.txt", textfiles.parse_pca_launch, execution.pca_launch_events)]
+    put("a/x.wer", f"EventTime={FT + 10}\nSig[0].Value=one".encode())
+    put("a/t.xml", b"<Task><RegistrationInfo><Date>2024-01-02T03:04:05</Date></RegistrationInfo><torn")
+    put("a/PcaAppLaunchDic.txt", b"C:\\b|2024-01-02 03:04:05\r\n")
+    put("u/ConsoleHost_history.txt", b"dir\n# no\n")
+    first = [run(*job) for job in jobs]
+    assert [len(x) for x in first] == [1, 1, 1] and first[0] == [("h", "Crash: one")]
+    history = ("history", "ConsoleHost_history.txt", textfiles.parse_pshistory, textual.pshistory_events, ingest.read_line_stream)
+    assert run(*history) == [("h", "dir")]
+    put("b/y.wer", f"EventTime={FT + 10}\nSig[0].Value=two".encode())
+    put("v/ConsoleHost_history.txt", b"ls\n")
+    assert run(*jobs[0]) == run(*jobs[0]) == [("h", "Crash: one"), ("h", "Crash: two")]
+    assert run(*history) == [("h", "dir"), ("h", "ls")]

@@ -314,6 +314,10 @@ SELECT 'img0' AS image_id, l_orderkey AS parent_entry, {ft('l_shipdate')} AS fil
 ORACLE["usn_carve"] = usn_events_sql(
     f"SELECT * REPLACE ('f' || l_partkey || '.dat' AS name, 'host0' AS host_id) FROM ({_USN}) WHERE l_linenumber <> 3",
     recovered="true")
+ORACLE["journal_pages"] = ORACLE["usn_scan"]
+ORACLE["stream_journal"] = usn_events_sql(
+    f"SELECT * REPLACE ('f' || l_partkey || '.dat' AS name, 'host0' AS host_id) FROM ({_USN}) WHERE l_linenumber <> 3",
+    recovered="false")
 
 ORACLE["mft_decode"] = f"""
 WITH r AS (SELECT *, {ft('o_orderdate')} AS f, o_orderkey AS k, o_orderkey % 13 <> 0 AS named FROM orders WHERE o_orderstatus <> 'P')
@@ -766,6 +770,7 @@ FROM (SELECT artifact, snapshot_id FROM ({_FILE_DELTA}) UNION ALL SELECT artifac
 # ---- sinks and streams ------------------------------------------------------------------
 
 ORACLE["stream_ingest"] = usn_events_sql(_USN)
+ORACLE["stream_text_ingest"] = ORACLE["pca_launch"]
 ORACLE["stream_counts"] = "SELECT 'EVTX' AS artifact_type, count(*) AS events FROM events"
 ORACLE["live_counts"] = "SELECT unnest(['EVTX', 'TOTAL']) AS artifact_type, count(*) AS events FROM events"
 ORACLE["stream_current_paths"] = f"SELECT 'host0' AS host_id, file_path FROM {_PATHS}"

@@ -610,6 +610,35 @@ def stream_ingest(spark, sf):
     return events_of(records.read_timeline(spark, target))
 
 
+@query
+def journal_pages(spark, sf):
+    """Journal files of many records a page and a short last page, read by byte ranges."""
+    path = scratch_path(spark, "journals")
+    R.write_journals(spark, sf, path)
+    return binaryfiles.scan_usn(binaryfiles.read_pages(spark, path, "img0", page_bytes=1 << 17)).drop("host_id")
+
+
+@query
+def stream_journal(spark, sf):
+    """Journal files read as a stream in two runs: what is sure while they grow, then the rest."""
+    path, target, mark = (scratch_path(spark, n) for n in ("journals", "stream", "mark"))
+    R.write_journals(spark, sf, path)
+    for complete in (False, True):
+        pages = binaryfiles.read_page_stream(spark, path, "img0", host_id="host0", complete=complete)
+        ingest.stream_ingest(pages, lambda p: filesystem.usn_events(binaryfiles.scan_usn(p)), target, mark).awaitTermination()
+    return events_of(records.read_timeline(spark, target))
+
+
+@query
+def stream_text_ingest(spark, sf):
+    """Launch lists written as text files, read as a stream of whole files, built and appended."""
+    path, target, mark = (scratch_path(spark, n) for n in ("launches", "stream", "mark"))
+    R.pca_launch_files(spark, sf).select(F.col("content").cast("string")).write.text(path)  # bytes as they are, many lists a file
+    files = ingest.read_file_stream(spark, path, "*.txt", files_per_batch=3)
+    ingest.stream_ingest(files, lambda f: execution.pca_launch_events(textfiles.parse_pca_launch(f)), target, mark).awaitTermination()
+    return events_of(records.read_timeline(spark, target))
+
+
 @query
 def stream_counts(spark, sf):
     staged, target, mark = (scratch_path(spark, n) for n in ("records", "counts", "mark"))

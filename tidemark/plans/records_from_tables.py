@@ -115,6 +115,15 @@ def usn_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
                        page.alias("content"), F.lit(b"").alias("prev_tail"), F.lit(b"").alias("next_head"))
 
 
+def write_journals(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Journal files below ``path``: the small pages padded to 128 bytes, one behind the other.
+
+    The text sink writes the bytes as they are; its separator is the zero byte that ends each block.
+    """
+    block = F.substring(pad_to(F.col("content"), 128), F.lit(1), F.lit(127))
+    usn_chunks(spark, sf_dir).select(block.cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+
+
 def mft_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One 1024-byte file-table entry per order, laid out with two resident attributes."""
     rows = mft(spark, sf_dir).join(

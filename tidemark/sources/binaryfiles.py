@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.bytescols import le_i64, le_u32, utf16le_counted, utf16le_z
 from ..functions.timecols import filetime_to_ns
@@ -100,10 +100,10 @@ def with_neighbours(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:
 
 
 class PageSource(DataSource):
-    """Byte ranges of large files as pages with both neighbours' edges; the last page may be short.
+    """Byte ranges of large files as pages with both neighbours' edges; the last page of a file may be short.
 
-    Options: ``path`` (one file, by any address that pyarrow's file systems know), ``page_bytes``,
-    ``image_id``, ``host_id``.
+    Options: ``path`` (a file or a folder of files, by any address that pyarrow's file systems know), ``page_bytes``,
+    ``image_id``, ``host_id``; for streams also ``complete`` (the files no longer grow).
     """
 
     @classmethod
@@ -116,30 +116,36 @@ class PageSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PageReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return PageStream(self.options)
 
-class PageReader(DataSourceReader):
-    """Each partition reads a run of whole pages and the edges beside them."""
+
+class _Pages:
+    """Each partition reads a run of whole pages of one file and the edges beside them."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.page = options["path"], int(options.get("page_bytes", MIB))
         self.image, self.host = options.get("image_id"), options.get("host_id")
+        self.complete = options.get("complete", "false").lower() == "true"
 
-    def _file(self):
+    def _sizes(self) -> dict[str, int]:
+        """Size of each file; names that start with ``_`` or ``.`` are not evidence."""
         from pyarrow import fs
-        return fs.FileSystem.from_uri(self.path)
+        files, path = fs.FileSystem.from_uri(self.path)
+        info = files.get_file_info(path)
+        found = files.get_file_info(fs.FileSelector(path)) if info.type == fs.FileType.Directory else [info]
+        return {f.path: f.size for f in found if f.type == fs.FileType.File and f.base_name[0] not in "_."}
 
-    def partitions(self) -> list[InputPartition]:
-        files, path = self._file()
-        size = files.get_file_info(path).size
+    def _runs(self, name: str, start: int, end: int, size: int) -> list[InputPartition]:
         step = max(self.page, PARTITION_BYTES // self.page * self.page)
-        return [InputPartition((at, min(at + step, size), size)) for at in range(0, size, step)]
+        return [InputPartition((name, at, min(at + step, end), size)) for at in range(start, end, step)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        start, end, size = partition.value
-        files, path = self._file()
-        with files.open_input_file(path) as data:
+        from pyarrow import fs
+        name, start, end, size = partition.value
+        with fs.FileSystem.from_uri(self.path)[0].open_input_file(name) as data:
             for off in range(start, end, self.page):
-                low, stop = max(off - RECORD_MAX, 0), min(off + self.page, size)
+                low, stop = max(off - RECORD_MAX, 0), min(off + self.page, end)
                 data.seek(low)
                 block = data.read(min(stop + RECORD_MAX, size) - low)
                 yield pa.RecordBatch.from_pydict({
@@ -148,11 +154,47 @@ class PageReader(DataSourceReader):
                     "prev_tail": pa.array([block[:off - low]], pa.binary()), "next_head": pa.array([block[stop - low:]], pa.binary())})
 
 
+class PageReader(_Pages, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return [run for name, size in self._sizes().items() for run in self._runs(name, 0, size, size)]
+
+
+class PageStream(_Pages, DataSourceStreamReader):
+    """Files that grow, read once: the offset is the number of bytes done of each file.
+
+    While a file grows its last units stay unread, so that every page read has its whole right edge and a batch that
+    runs again reads the same bytes; a run with ``complete`` reads the rest.
+    """
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {name: size if self.complete else max(0, (size - RECORD_MAX) // UNIT * UNIT) for name, size in sorted(self._sizes().items())}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        sizes = self._sizes()
+        return [run for name, stop in end.items() for run in self._runs(name, start.get(name, 0), stop, sizes.get(name, stop))]
+
+
+def _address(path: str) -> str:
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+
+
+def read_page_stream(spark: SparkSession, path: str, image_id: str, page_bytes: int = MIB, host_id: str | None = None,
+                     complete: bool = False) -> DataFrame:
+    """Pages of growing files as a stream; ``page_bytes`` is a multiple of 64 KiB.  Parse them with ``scan_usn``."""
+    if page_bytes % UNIT:
+        raise ValueError(f"page_bytes has to be a multiple of {UNIT}")
+    spark.dataSource.register(PageSource)
+    reader = spark.readStream.format("evidence_pages").options(path=_address(path), page_bytes=page_bytes, image_id=image_id, complete=complete)
+    return (reader.option("host_id", host_id) if host_id is not None else reader).load()
+
+
 def read_pages(spark: SparkSession, path: str, image_id: str, page_bytes: int = MIB, host_id: str | None = None) -> DataFrame:
-    """Pages of one file of any size, read by byte ranges; no page is shuffled to get its edges."""
+    """Pages of a file of any size, or of a folder's files, read by byte ranges; no page is shuffled to get its edges."""
     spark.dataSource.register(PageSource)
-    uri = path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
-    reader = spark.read.format("evidence_pages").option("path", uri).option("page_bytes", page_bytes).option("image_id", image_id)
+    reader = spark.read.format("evidence_pages").option("path", _address(path)).option("page_bytes", page_bytes).option("image_id", image_id)
     return (reader.option("host_id", host_id) if host_id is not None else reader).load()
 
 

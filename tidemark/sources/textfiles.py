@@ -20,7 +20,7 @@ from ..functions.xmlcols import first_values
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
-def _owned(files: DataFrame, image_id: str | None, host_id: str | None) -> DataFrame:
+def owned_by(files: DataFrame, image_id: str | None, host_id: str | None) -> DataFrame:
     """Add the image and host that the files come from, where given."""
     given = {n: F.lit(v) for n, v in (("image_id", image_id), ("host_id", host_id)) if v is not None}
     return files.withColumns(given) if given else files
@@ -29,7 +29,7 @@ def _owned(files: DataFrame, image_id: str | None, host_id: str | None) -> DataF
 def binary_files(spark: SparkSession, path: str, glob: str | None = None, image_id: str | None = None,
                  host_id: str | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return _owned((reader.option("pathGlobFilter", glob) if glob else reader).load(path), image_id, host_id)
+    return owned_by((reader.option("pathGlobFilter", glob) if glob else reader).load(path), image_id, host_id)
 
 
 def _keep(df: DataFrame) -> list[str]:
@@ -157,11 +157,15 @@ def parse_pshistory(lines: DataFrame) -> DataFrame:
         *keep, (F.unix_micros("mtime") * 1000).alias("mtime_ns"), command.alias("command"))
 
 
+def file_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a text scan with the path and time of their file."""
+    return lines.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_modification_time").alias("mtime"), F.make_valid_utf8("value").alias("value"))
+
+
 def read_pshistory(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
     """History files as splittable text; the file time comes from the scan's metadata."""
     lines = (spark.read.option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "ConsoleHost_history.txt").text(path))
-    lines = lines.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_modification_time").alias("mtime"), F.make_valid_utf8("value").alias("value"))
-    return parse_pshistory(_owned(lines, image_id, host_id))
+    return parse_pshistory(owned_by(file_lines(lines), image_id, host_id))

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators.delta import current_paths
 from ..schema import RECORD_SCHEMAS
+from ..sources.textfiles import file_lines, owned_by
 
 
 def read_record_stream(spark: SparkSession, directory: str, kind: str | None = None, schema: str | None = None,
@@ -24,6 +25,28 @@ def read_record_stream(spark: SparkSession, directory: str, kind: str | None = N
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(directory)
 
 
+WHOLE_FILE = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
+def read_file_stream(spark: SparkSession, directory: str, glob: str | None = None, files_per_batch: int = 1000,
+                     image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    """New files of an evidence folder as whole-file rows, for the ``parse_*`` functions of text and recycle-bin files.
+
+    These read each file inside its row, so they hold no state and their events can be appended.
+    """
+    reader = (spark.readStream.format("binaryFile").schema(WHOLE_FILE).option("recursiveFileLookup", "true")
+              .option("maxFilesPerTrigger", files_per_batch))
+    return owned_by((reader.option("pathGlobFilter", glob) if glob else reader).load(directory), image_id, host_id)
+
+
+def read_line_stream(spark: SparkSession, directory: str, glob: str = "ConsoleHost_history.txt", files_per_batch: int = 1000,
+                     image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    """Lines of new history files with their path and file time, for ``parse_pshistory``."""
+    lines = (spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+             .option("maxFilesPerTrigger", files_per_batch).text(directory))
+    return owned_by(file_lines(lines), image_id, host_id)
+
+
 def stream_ingest(records: DataFrame, build: Callable[[DataFrame], DataFrame], target: str,
                   checkpoint: str) -> StreamingQuery:
     """Append built events to a Parquet folder, exactly once per input file."""

@@ -129,15 +129,22 @@ def iso_to_ns(text: str) -> int:
     return (delta.days * 86_400 + delta.seconds) * NS + delta.microseconds * 1000
 
 
+def time_bound(text: str | None) -> int | None:
+    """Nanoseconds of a bound; none for no text, and for invalid text, which logs a warning."""
+    if not text:
+        return None
+    try:
+        return iso_to_ns(text)
+    except ValueError as exc:
+        log.warning("invalid timestamp ignored: %s", exc)
+        return None
+
+
 def filter_time(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Inclusive time range; invalid text logs a warning and filters nothing."""
     for text, above in ((start, True), (end, False)):
-        if not text:
-            continue
-        try:
-            bound = iso_to_ns(text)
-        except ValueError as exc:
-            log.warning("invalid timestamp ignored: %s", exc)
+        bound = time_bound(text)
+        if bound is None:
             continue
         df = df.filter(F.col("timestamp_ns") >= bound if above else F.col("timestamp_ns") <= bound)
     return df

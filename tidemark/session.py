@@ -28,8 +28,8 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def _ship_helpers() -> None:
     """Send the few Python helpers with their tasks, so executors need no copy of this package."""
-    from .sources import binaryfiles, textfiles
-    for module in (binaryfiles, textfiles):
+    from .sources import binaryfiles, ordered, textfiles
+    for module in (binaryfiles, ordered, textfiles):
         cloudpickle.register_pickle_by_value(module)
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.textcols import macb_desc
-from ..operators.timeline import SORT_TIES, filter_time, filter_type, sort_timeline
+from ..operators.timeline import SORT_TIES, filter_time, filter_type, sort_timeline, time_bound
 from ..operators.timeranges import spread_by_time
 from ..schema import TIMELINE_FIELDS
+from .ordered import read_in_order
 from .records import read_timeline
 
 
@@ -62,6 +63,11 @@ def write_table(df: DataFrame, name: str, mode: str = "errorifexists") -> None:
 
 def convert(spark: SparkSession, source: str, target: str, fmt: str = "csv", start: str | None = None,
             end: str | None = None, artifact_type: str | None = None, mode: str = "errorifexists") -> None:
-    """Re-open a written timeline, filter it, and write CSV or JSON Lines in time order."""
-    rows = sort_timeline(filter_type(filter_time(read_timeline(spark, source), start, end), artifact_type))
+    """Re-open a written timeline, filter it, and write CSV or JSON Lines in time order.
+
+    The files of a sorted timeline are read in order; any other one is sorted.
+    """
+    rows = read_in_order(spark, source, time_bound(start), time_bound(end), artifact_type)
+    if rows is None:
+        rows = sort_timeline(filter_type(filter_time(read_timeline(spark, source), start, end), artifact_type))
     {"csv": write_csv, "jsonl": write_jsonl}[fmt](rows, target, mode=mode)

@@ -433,7 +433,7 @@ def errors_by_file(spark, sf):
 @query
 def run_summary(spark, sf):
     """A listing of journal and event-log files, their events, and the records that failed."""
-    good, errors = records.isolate_errors(
+    good, errors = records.split_errors(
         R.usn(spark, sf).withColumn("path", F.concat(F.lit("usn/"), F.pmod("parent_entry", F.lit(100)).cast("string"))),
         F.col("file_name").isNotNull(), "USNJRNL", "path")
     logs = R.evtx(spark, sf)

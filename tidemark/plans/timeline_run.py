@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from ..operators import browsing, eventlog, execution, filesystem, paths, registry, textual, usage
 from ..operators.delta import multi_snapshot_delta
 from ..operators.timeline import filter_type, grep, preview, fill_hostname, union_timelines
+from ..schema import EVENT_SCHEMA
+from ..sources import artifacts, binaryfiles, textfiles
 from ..sources.records import read_timeline
 
 # Record table -> builder, where one table is enough.
@@ -84,6 +86,62 @@ def _snapshot_events(records: DataFrame | None, scope: list[str], build) -> Data
         "image_id": F.regexp_replace("image_id", "#[0-9]+$", "")})
 
 
+DIRECTORIES = ("TASK", "RECYCLEBIN")
+PAGED = ("MFT", "USNJRNL")
+
+
+def evidence_tables(spark: SparkSession, root: str, image_id: str, host_id: str | None = None) -> dict[str, DataFrame]:
+    """Record tables of one image's evidence below ``root``, a mounted volume or an extracted folder.
+
+    Holds what is read from files here: file table, journal, launch lists, error reports, tasks, shell history and
+    recycle-bin notes, each only where the listing has it.  Small files are found by name and kept where they lie in
+    their artifact's place; file table and journal are read by byte ranges.  For many images, append each one's tables
+    to shared ones and build a single timeline from these.
+    """
+    listed = artifacts.list_files(spark, root, image_id, host_id)
+    jobs = artifacts.classify_artifacts(listed).unionByName(artifacts.classify_artifacts(listed, artifacts.EXTRACTED_PATTERNS))
+    places = F.collect_set(F.when(F.col("artifact_type").isin(*DIRECTORIES, *PAGED), F.col("path")))
+    found = {r.artifact_type: sorted(r.places) for r in jobs.groupBy("artifact_type").agg(places.alias("places")).collect()}
+    base, owner = root.rstrip("/"), (image_id, host_id or image_id)
+
+    def named(kind: str, glob: str) -> DataFrame:
+        return textfiles.binary_files(spark, base, glob, *owner).filter(artifacts.belongs(artifacts.below(F.col("path"), base), kind))
+
+    def pages(kind: str) -> DataFrame:
+        parts = [binaryfiles.read_pages(spark, f"{base}/{p}", image_id, host_id=owner[1]) for p in found[kind]]
+        return union_timelines(*parts)
+
+    tables: dict[str, DataFrame] = {}
+    if "MFT" in found:
+        tables["mft"] = binaryfiles.decode_mft(pages("MFT"))
+    if "USNJRNL" in found:
+        tables["usn"] = binaryfiles.scan_usn(pages("USNJRNL"))
+    if "PCASVC" in found:
+        tables["pca_launch"] = textfiles.parse_pca_launch(named("PCASVC", "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt"))
+        tables["pca_general"] = textfiles.parse_pca_general(named("PCASVC", "[Pp]ca[Gg]eneral[Dd]b[01].txt"))
+    if "WER" in found:
+        tables["wer"] = textfiles.parse_wer(named("WER", "*.[Ww][Ee][Rr]"))
+    if "PSHISTORY" in found:
+        history = textfiles.read_pshistory(spark, base, *owner)
+        tables["pshistory"] = history.filter(artifacts.belongs(artifacts.below(F.col("path"), base), "PSHISTORY"))
+    if "TASK" in found:
+        tables["tasks"] = union_timelines(*[textfiles.read_tasks(spark, f"{base}/{p}", *owner) for p in found["TASK"]])
+    if "RECYCLEBIN" in found:
+        tables["recycle_i"] = union_timelines(*[binaryfiles.read_recycle_i(spark, f"{base}/{p}", *owner) for p in found["RECYCLEBIN"]])
+    return tables
+
+
+def build_timeline_from_folder(spark: SparkSession, root: str, image_id: str, host_id: str | None = None,
+                               tables: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """A whole run over one image's folder: its readable files and the given record tables in one timeline, host names filled.
+
+    ``tables`` holds what other tools decoded (event logs, registry and so on); a kind given there replaces the folder's.
+    A folder without evidence and without tables gives an empty timeline.
+    """
+    known = evidence_tables(spark, root, image_id, host_id) | dict(tables or {})
+    return build_timeline(known) if known else spark.createDataFrame([], EVENT_SCHEMA)
+
+
 def view(spark: SparkSession, path: str, n: int = 50, artifact_type: str | None = None,
          text: str | None = None) -> tuple[DataFrame, int]:
     """First ``n`` rows of a written timeline and the number of matching rows, counted by the job that finds the rows."""

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.textcols import label
+from ..functions.textcols import any_of, label
 
 # Fixed values: (artifact type, path below the volume root, whole directory).
 PATTERNS: list[tuple[str, str, bool]] = [
@@ -78,10 +78,9 @@ def list_files(spark: SparkSession, root: str, image_id: str, host_id: str | Non
     """Recursive listing below ``root`` with paths relative to it (file content is never read)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
              .select("path", "length", F.col("modificationTime").alias("modification_time")))
-    bare = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/")) + "/"
     return files.select(
         F.lit(host_id or image_id).alias("host_id"), F.lit(image_id).alias("image_id"),
-        F.substring_index("path", bare, -1).alias("path"), "length", "modification_time")
+        below("path", root).alias("path"), "length", "modification_time")
 
 
 def _pattern_regex(pattern: str, is_dir: bool) -> str:
@@ -118,6 +117,18 @@ def classify_artifacts(files: DataFrame, patterns=PATTERNS) -> DataFrame:
     return matched.groupBy(*_KEYS, "artifact_type", "path", "is_directory").agg(F.sum("length").alias("size_bytes"))
 
 
+def belongs(path: Column, kind: str) -> Column:
+    """Whether a relative path lies in one of the places of an artifact type, on a volume or in an extracted folder."""
+    low = F.lower(F.translate(path, "\\", "/"))
+    return any_of([_matches(low, pattern, is_dir) for k, pattern, is_dir in PATTERNS + EXTRACTED_PATTERNS if k == kind])
+
+
+def below(path, root: str) -> Column:
+    """Path relative to ``root``, whatever scheme the listing puts before it."""
+    bare = re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/")) + "/"
+    return F.substring_index(path, bare, -1)
+
+
 def classify_extracted(files: DataFrame) -> DataFrame:
     """Jobs of an extracted evidence folder, with their place on the volume as ``logical_path``."""
     return logical_path(classify_artifacts(files, EXTRACTED_PATTERNS))

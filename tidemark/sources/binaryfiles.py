@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -178,7 +179,7 @@ class PageStream(_Pages, DataSourceStreamReader):
 
 
 def _address(path: str) -> str:
-    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+    return path if "://" in path or path.startswith("file:") else Path(os.path.abspath(path)).as_uri()
 
 
 def read_page_stream(spark: SparkSession, path: str, image_id: str, page_bytes: int = MIB, host_id: str | None = None,

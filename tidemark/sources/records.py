@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schema import RECORD_SCHEMAS
+from ..session import materialize
 
 CORRUPT = "_corrupt_record"
 
@@ -30,15 +31,32 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def _error_rows(bad: DataFrame, artifact_type: str | None, path: str | None) -> DataFrame:
+    where = F.col(path) if path else F.lit(None).cast("string")
+    return bad.select(F.lit(artifact_type).alias("artifact_type"), where.alias("path"),
+                      F.to_json(F.struct(*bad.columns)).alias("error"))
+
+
 def isolate_errors(df: DataFrame, ok: Column, artifact_type: str | None = None,
                    path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Split into usable rows and error rows (type, path, row as JSON): one bad row never stops a run."""
+    """Split into usable rows and error rows (type, path, row as JSON): one bad row never stops a run.
+
+    Lazy; each side reads the input for itself.  ``split_errors`` reads it once.
+    """
     valid = F.coalesce(ok, F.lit(False))
-    where = F.col(path) if path else F.lit(None).cast("string")
-    errors = df.filter(~valid).select(
-        F.lit(artifact_type).alias("artifact_type"), where.alias("path"),
-        F.to_json(F.struct(*df.columns)).alias("error"))
-    return df.filter(valid), errors
+    return df.filter(valid), _error_rows(df.filter(~valid), artifact_type, path)
+
+
+def split_errors(df: DataFrame, ok: Column, artifact_type: str | None = None,
+                 path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """As ``isolate_errors``, in one pass over the input: rows are written once, into a folder for each side.
+
+    Use it where the input is costly to read or to decode; ``drop_scratch`` deletes the folders.
+    """
+    flag = "_usable"
+    written = materialize(df.withColumn(flag, F.coalesce(ok, F.lit(False))), "split", by=(flag,))
+    return (written.filter(flag).select(*df.columns),
+            _error_rows(written.filter(~F.col(flag)).select(*df.columns), artifact_type, path))
 
 
 def tolerate_bad_files(spark: SparkSession) -> None:

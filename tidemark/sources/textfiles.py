@@ -158,9 +158,9 @@ def parse_pshistory(lines: DataFrame) -> DataFrame:
 
 
 def file_lines(lines: DataFrame) -> DataFrame:
-    """Lines of a text scan with the path and time of their file."""
+    """Lines of a text scan with the path (which the metadata escape) and time of their file."""
     return lines.select(
-        F.col("_metadata.file_path").alias("path"),
+        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),
         F.col("_metadata.file_modification_time").alias("mtime"), F.make_valid_utf8("value").alias("value"))
 
 

@@ -655,6 +655,8 @@ ORACLE["records_round_trip"] = ORACLE["evtx_message"]
 _ELEVEN = ("timestamp_ns, timestamp_iso, macb, source, artifact, hostname, file_path, message, message_short, is_fn_timestamp, tz_offset_secs")
 ORACLE["jsonl_round_trip"] = live(columns=_ELEVEN)
 ORACLE["convert_time_type"] = live("artifact_type = 'MFT' AND timestamp_ns >= 820454400000000000", _ELEVEN)
+ORACLE["grep_indexed"] = ORACLE["grep_message"]
+ORACLE["path_lookup"] = live("file_path = 'f77.dat'")
 ORACLE["source_baseline"] = f"SELECT source, count(*) AS events FROM ({_LIVE}) GROUP BY source"
 ORACLE["preview"] = f"""
 SELECT timestamp_iso, macb, artifact, is_fn_timestamp, file_path, message FROM ({_LIVE})

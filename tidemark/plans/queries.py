@@ -13,7 +13,7 @@ from ..operators import (aggregates, browsing, delta, eventlog, execution, files
                          timeline, usage)
 from ..schema import EVENT_FIELDS, RECORD_SCHEMAS, TIMELINE_FIELDS, TIMELINE_SCHEMA
 from ..session import configure, scratch_path
-from ..sources import artifacts, binaryfiles, merging, records, sinks, textfiles
+from ..sources import artifacts, binaryfiles, merging, records, sinks, textfiles, textindex
 from ..streaming import ingest
 from . import records_from_tables as R
 
@@ -536,6 +536,23 @@ def parquet_round_trip(spark, sf):
     return events_of(records.read_timeline(spark, path))
 
 
+@query
+def grep_indexed(spark, sf):
+    """The search over a written timeline, in the files that its index does not rule out."""
+    path = scratch_path(spark, "timeline")
+    sinks.write_parquet(_live(spark, sf), path)
+    textindex.index_messages(spark, path)
+    return events_of(textindex.grep_timeline(spark, path, "DATA_EXTEND"))
+
+
+@query
+def path_lookup(spark, sf):
+    """One path's events from a written timeline: the filters of its files leave out what cannot hold it."""
+    path = scratch_path(spark, "timeline")
+    sinks.write_parquet(_live(spark, sf), path)
+    return events_of(records.read_timeline(spark, path).filter(F.col("file_path") == "f77.dat"))
+
+
 @query
 def timesketch_file(spark, sf):
     """The review file written and read back; an empty text comes back as null, which counts as empty."""

@@ -44,7 +44,7 @@ def test_search_equals_a_scan_and_opens_few_files(spark):
         got = textindex.grep_timeline(spark, path, text)
         assert got.columns == want.columns and sorted(r.timestamp_ns for r in got.collect()) == sorted(r.timestamp_ns for r in want.collect())
         files = textindex.files_with(spark, path, text)
-        if len(text) < 3 and text != "😀":
+        if len(text) < 3:
             assert files is None
         if text in WORDS:
             assert 1 <= len(files) <= 3
@@ -52,6 +52,15 @@ def test_search_equals_a_scan_and_opens_few_files(spark):
     assert textindex.grep_timeline(spark, path, "touch", "usn").count() == 0
 
 
+def test_sequences_of_long_and_short_texts(spark):
+    texts = ["".join(chr(97 + (k * k) % 23) for k in range(n)) for n in (0, 1, 2, 3, 4, 999, 1000, 1001, 1002, 1003, 2500)] + [None, "é😀x", "😀😀😀😀"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, t string")
+    got = {r.n: r.k for r in textindex.trigram_rows(df, "t", "n").groupBy("n").agg(F.count("*").alias("k")).collect()}
+    assert got == {i: len(t) - 2 for i, t in enumerate(texts) if t and len(t) > 2}
+    whole = {r.p for r in df.filter("n = 10").selectExpr("explode(sequence(1, 2498)) AS i", "t").selectExpr(f"pmod(xxhash64(substring(t, i, 3)), {textindex.BITS}) + 1 AS p").collect()}
+    assert {r.place for r in textindex.trigram_rows(df.filter("n = 10"), "t").collect()} == whole
+
+
 def test_files_after_the_index_are_searched(spark):
     path = written(spark)
     textindex.index_messages(spark, path)
@@ -66,6 +75,7 @@ def test_one_path_reads_few_rows(spark):
     back = records.read_timeline(spark, path)
     some = back.filter("timestamp_ns = 20001").first().file_path
     found = back.filter(F.col("file_path") == some)
-    assert read_rows(found) <= 1000 and found.count() == 1
+    assert read_rows(found) <= 1200 and found.count() == 1
+    # a sketch gives ranges of about 500 rows; this one lies across two of them
     narrow = timeline.filter_time(back, "1970-01-01T00:00:00.000020", "1970-01-01T00:00:00.000021")
-    assert read_rows(narrow) <= 1000 and narrow.count() == 100
+    assert read_rows(narrow) <= 1200 and narrow.count() == 100

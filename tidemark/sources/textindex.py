@@ -16,19 +16,24 @@ from .records import read_timeline
 
 BITS = 1 << 18
 BUCKET = 32_768  # bits of one bitmap
+WINDOW = 1_000
 
 
 def _index_path(path: str) -> str:
     return f"{path.rstrip('/')}_trigrams"
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct places (from 1) of the three-letter sequences of a text; empty for null and for shorter texts."""
-    letters = F.split(text, "")
-    starts = F.slice(letters, F.lit(1), F.greatest(F.size(letters) - 2, F.lit(0)))
-    places = F.transform(starts, lambda a, i: F.pmod(
-        F.xxhash64(F.concat(a, F.get(letters, i + 1), F.get(letters, i + 2))), F.lit(BITS)) + 1)
-    return F.when(text.isNull(), F.array().cast("array<bigint>")).otherwise(F.array_distinct(places))
+def trigram_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """Rows ``keep, place``: the places (from 1) of the three-letter sequences of a text column; none for null and shorter texts.
+
+    Texts are cut into overlapping windows first, since finding a letter walks from the start of its string.
+    """
+    long_enough = df.filter(F.length(text) >= 3)
+    windows = long_enough.select(*keep, text, F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)), F.lit(WINDOW))).alias("_at")).select(
+        *keep, F.substring(F.col(text), F.col("_at"), F.lit(WINDOW + 2)).alias("_window"))
+    starts = windows.select(*keep, "_window", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_window") - 2, F.lit(1)))).alias("_at"))
+    letters = F.substring(F.col("_window"), F.col("_at"), F.lit(3))
+    return starts.select(*keep, (F.pmod(F.xxhash64(letters), F.lit(BITS)) + 1).alias("place"))
 
 
 def index_messages(spark: SparkSession, path: str, mode: str = "overwrite") -> None:
@@ -36,8 +41,7 @@ def index_messages(spark: SparkSession, path: str, mode: str = "overwrite") -> N
 
     A task's sequences of one file are made distinct before they move: at most ``BITS`` rows a file and task.
     """
-    seen = (read_timeline(spark, path).select(F.col("_metadata.file_path").alias("file"), F.explode(trigrams(F.col("message"))).alias("place"))
-            .distinct())
+    seen = trigram_rows(read_timeline(spark, path).select(F.col("_metadata.file_path").alias("file"), "message"), "message", "file").distinct()
     bitmaps = seen.groupBy("file", F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
     bitmaps.write.mode(mode).parquet(_index_path(path))
@@ -53,7 +57,7 @@ def files_with(spark: SparkSession, path: str, text: str) -> list[str] | None:
 
     Files written after the index count as possible.
     """
-    places = spark.range(1).select(trigrams(F.lit(text)).alias("p")).first().p
+    places = [r.place for r in trigram_rows(spark.range(1).select(F.lit(text).alias("text")), "text").distinct().collect()]
     if not places:
         return None
     wanted: dict[int, list[int]] = {}

@@ -125,6 +125,18 @@ def test_srum(spark):
     assert brief(usage.srum_conn_events(conn, ids)) == [(1000, "App: app.exe  |  Network: home  |  WiFi  |  duration=60s")]
 
 
+def test_srum_ids_of_two_kinds_with_one_number(spark):
+    sid = bytes([1, 1, 0, 0, 0, 0, 0, 5]) + (18).to_bytes(4, "little")
+    ids = rows(spark, "srum_idmap", *[{"db_id": "d", **e} for e in (
+        {"id_index": 1, "id_type": 0, "id_text": "zz.exe"}, {"id_index": 1, "id_type": 3, "id_blob": sid},
+        {"id_index": 2, "id_type": 0, "id_text": ""}, {"id_index": 2, "id_type": 3, "id_blob": sid},
+        {"id_index": 3, "id_type": 0, "id_text": "a.exe"}, {"id_index": 3, "id_type": 3, "id_blob": b"\1"},
+        {"id_index": 4, "id_type": None, "id_text": "svc"}, {"id_index": 5, "id_type": 3, "id_blob": sid})])
+    net = rows(spark, "srum_net", *[{"db_id": "d", "ts_long": FT + 10 * i, "app_id": i, "user_id": i} for i in range(1, 6)])
+    assert [m for _, m in brief(usage.srum_net_events(net, ids))] == [
+        "App: zz.exe  |  User: SYSTEM", "App: 2  |  User: SYSTEM", "App: a.exe  |  User: 3", "App: svc  |  User: svc", "App: S-1-5-18  |  User: SYSTEM"]
+
+
 def test_browsing(spark):
     e = 11_644_473_600_000_000
     visits = rows(spark, "chromium_visits", *[{"db_id": d, "browser": "Edge", "url_id": 1 + i % 2, "visit_time": e + i} for d in ("a", "b") for i in range(1, 6)],

@@ -14,15 +14,25 @@ SID_ENTRY = 3
 
 
 def id_display(idmap: DataFrame) -> DataFrame:
-    """One display text per (db_id, id_index): a decoded SID, or the third ``!`` part of ``!!…``."""
+    """Two display texts per (db_id, id_index): as an ``app`` (the third ``!`` part of ``!!…``), as a ``user`` (a decoded SID).
+
+    Ids are told apart by their kind: an app takes a SID entry, and a user another one, only where the map has no
+    entry of its own kind for the number, not where that entry is blank.
+    """
     text = F.col("id_text")
     parts = F.split(text, "!")
     marked = F.coalesce(F.get(parts, F.lit(2)), F.ltrim(text, F.lit("!")))
     plain = F.when(text.startswith("!!"), marked).otherwise(text)
-    shown = F.when(F.col("id_type") == SID_ENTRY, sid_from_bytes("id_blob")).otherwise(plain)
-    return (idmap.select("db_id", "id_index", blank_to_null(shown).alias("display"))
-            .filter(F.col("display").isNotNull())
-            .groupBy("db_id", "id_index").agg(F.max("display").alias("display")))
+    is_sid = F.coalesce(F.col("id_type"), F.lit(0)) == SID_ENTRY
+    shown = blank_to_null(F.when(is_sid, sid_from_bytes("id_blob")).otherwise(plain))
+    entries = idmap.select("db_id", "id_index", is_sid.alias("is_sid"), shown.alias("display"))
+
+    def text_of(own: Column, other: Column) -> Column:
+        return F.when(F.count_if(own) > 0, F.max(F.when(own, F.col("display")))).otherwise(F.max(F.when(other, F.col("display"))))
+
+    sid, named = F.col("is_sid"), ~F.col("is_sid")
+    both = entries.groupBy("db_id", "id_index").agg(text_of(named, sid).alias("app"), text_of(sid, named).alias("user"))
+    return both.filter(F.col("app").isNotNull() | F.col("user").isNotNull())
 
 
 def srum_ids(usage: DataFrame, idmap: DataFrame) -> DataFrame:
@@ -32,8 +42,8 @@ def srum_ids(usage: DataFrame, idmap: DataFrame) -> DataFrame:
     by its measured size, a large one is hash-joined with hot ids split by the adaptive planner.
     """
     shown = materialize(id_display(idmap), "srum-ids")
-    apps = shown.select("db_id", F.col("id_index").alias("app_id"), F.col("display").alias("_app"))
-    users = shown.select("db_id", F.col("id_index").alias("user_id"), F.col("display").alias("_user"))
+    apps = shown.select("db_id", F.col("id_index").alias("app_id"), F.col("app").alias("_app"))
+    users = shown.select("db_id", F.col("id_index").alias("user_id"), F.col("user").alias("_user"))
     joined = usage.join(apps, ["db_id", "app_id"], "left").join(users, ["db_id", "user_id"], "left")
     app = F.coalesce("_app", F.col("app_id").cast("string"), F.lit("Unknown"))
     user = F.coalesce(resolve_sid(F.coalesce("_user", F.col("user_id").cast("string"))), F.lit(""))

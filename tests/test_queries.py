@@ -46,3 +46,9 @@ def test_query(spark, duck, name):
 def test_entry_is_sorted(spark):
     times = [r.timestamp_ns for r in entry(spark).select("timestamp_ns").collect()]
     assert times and times == sorted(times)
+
+
+@pytest.mark.parametrize("name, costly", [("recycle_events", "unhex("), ("task_events", "regexp_extract_all(")])
+def test_filters_hold_no_copies_of_costly_columns(spark, name, costly):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert costly in plan and not [line for line in plan.split("\n") if line.strip(" +-:").startswith("Filter") and costly in line]

@@ -36,15 +36,22 @@ def unescape(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "&#"), numbered), "")
 
 
-def _token(raw: Column) -> Column:
-    """Kind, name and text of one mark."""
-    cdata = raw.startswith("<![CDATA[")
-    name = F.regexp_extract(raw, r"^</?([^\s/>]+)", 1)
+def _named(raw: Column) -> Column:
+    """A mark and the name in its tag; empty for texts and for marks that are no tags."""
+    tag = raw.startswith("<") & ~raw.startswith("<!") & ~raw.startswith("<?")
+    return F.struct(raw.alias("raw"), F.when(tag, F.regexp_extract(raw, r"^</?([^\s/>]+)", 1)).otherwise("").alias("name"))
+
+
+def _token(mark: Column) -> Column:
+    """Kind, name, name without prefix, and text of one mark.  Texts without ``&`` need no further look."""
+    raw, name = mark["raw"], mark["name"]
+    cdata, plain = raw.startswith("<![CDATA["), ~raw.startswith("<") & ~raw.contains("&")
     marked = F.when(name == "", ERROR).when(raw.startswith("</"), END).when(raw.endswith("/>"), EMPTY).otherwise(START)
-    kind = (F.when(cdata, TEXT).when(raw.startswith("<!") | raw.startswith("<?"), OTHER).when(raw.startswith("<"), marked)
+    kind = (F.when(plain | cdata, TEXT).when(raw.startswith("<!") | raw.startswith("<?"), OTHER).when(raw.startswith("<"), marked)
             .when(F.regexp_replace(raw, REFERENCE, "").contains("&"), ERROR).otherwise(TEXT))
-    text = F.when(cdata, F.substring(raw, F.lit(10), F.length(raw) - 12)).when(~raw.startswith("<"), unescape(raw)).otherwise("")
-    return F.struct(kind.alias("kind"), name.alias("name"), text.alias("text"))
+    text = (F.when(plain, raw).when(cdata, F.substring(raw, F.lit(10), F.length(raw) - 12))
+            .when(~raw.startswith("<"), unescape(raw)).otherwise(""))
+    return F.struct(kind.alias("kind"), name.alias("name"), _local(name).alias("local"), text.alias("text"))
 
 
 def _local(name: Column) -> Column:
@@ -59,30 +66,38 @@ def first_values(xml: Column, fields: Mapping[str, tuple[str | None, str]], tag_
     that ends so.  Reading stops at a torn mark, an end that does not fit, or an unknown reference; a document type
     with declarations of its own counts as such an error.  Null gives empty fields.
     """
-    tokens = F.transform(F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(TOKEN), F.lit(0)), _token)
+    marks = F.transform(F.regexp_extract_all(F.coalesce(xml, F.lit("")), F.lit(TOKEN), F.lit(0)), _named)
+    tokens = F.transform(marks, _token)
     names = list(fields) + ([tag_ending[0]] if tag_ending else [])
     nothing = F.lit(None).cast("string")
     state = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("text"), F.lit(False).alias("ended"),
                      *[nothing.alias(n) for n in names])
 
     def step(s: Column, t: Column) -> Column:
+        """One case for each kind of mark, so that a mark costs no more than its own."""
         kind, depth = t["kind"], F.size(s["open"])
         last, above = F.get(s["open"], depth - 1), F.get(s["open"], depth - 2)
-        closes = (kind == END) & F.coalesce(last == t["name"], F.lit(False))
-        wrong = (kind == ERROR) | ((kind == END) & ~closes)
-        value = F.when(closes, F.nullif(strip(s["text"]), F.lit("")))
-        found = []
+
+        def then(open_: Column, text: Column, ended: bool = False, **found: Column) -> Column:
+            return F.struct(open_.alias("open"), text.alias("text"), F.lit(ended).alias("ended"),
+                            *[found.get(n, s[n]).alias(n) for n in names])
+
+        found = {}
         for field, (parent, tag) in fields.items():
-            here = _local(t["name"]) == tag
+            here = t["local"] == tag
             here = here if parent is None else here & (_local(above) == parent)
-            found.append(F.coalesce(s[field], F.when(here, value)).alias(field))
+            found[field] = F.coalesce(s[field], F.when(here, F.nullif(strip(s["text"]), F.lit(""))))
+        first_tag = {}
         if tag_ending:
             field, ending = tag_ending
-            named = F.when(kind.isin(START, EMPTY) & _local(t["name"]).endswith(ending), _local(t["name"]))
-            found.append(F.coalesce(s[field], named).alias(field))
-        opened = (F.when(kind == START, F.concat(s["open"], F.array(t["name"])))
-                  .when(closes, F.slice(s["open"], F.lit(1), depth - 1)).otherwise(s["open"]))
-        text = F.when(kind == TEXT, F.concat(s["text"], t["text"])).when(kind == OTHER, s["text"]).otherwise("")
-        return F.when(s["ended"], s).otherwise(F.struct(opened.alias("open"), text.alias("text"), wrong.alias("ended"), *found))
+            first_tag[field] = F.coalesce(s[field], F.when(t["local"].endswith(ending), t["local"]))
+        nothing_yet = F.lit("")
+        return (F.when(s["ended"] | (kind == OTHER), s)
+                .when(kind == TEXT, then(s["open"], F.concat(s["text"], t["text"])))
+                .when(kind == START, then(F.concat(s["open"], F.array(t["name"])), nothing_yet, **first_tag))
+                .when(kind == EMPTY, then(s["open"], nothing_yet, **first_tag))
+                .when((kind == END) & F.coalesce(last == t["name"], F.lit(False)),
+                      then(F.slice(s["open"], F.lit(1), depth - 1), nothing_yet, **found))
+                .otherwise(then(s["open"], nothing_yet, True)))
 
     return F.aggregate(tokens, state, step, lambda s: F.struct(*[F.coalesce(s[n], F.lit("")).alias(n) for n in names]))

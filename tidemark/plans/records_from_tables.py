@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..session import computed_once
 
 FT_EPOCH = 116_444_736_000_000_000
 
@@ -262,7 +263,7 @@ def task_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         " CASE WHEN o_orderkey % 2 = 0 THEN '<Arguments>-x 1</Arguments>' ELSE '' END, '</Exec>') ELSE '' END,"
         " '</Actions></Task>', CASE WHEN o_orderkey % 31 = 0 THEN '<broken' ELSE '' END) AS xml")
     wide = F.concat(F.lit(b"\xff\xfe"), utf16(F.col("xml")))
-    return rows.select("path", F.when(F.col("o_orderkey") % 2 == 0, wide).otherwise(F.encode("xml", "UTF-8")).alias("content"))
+    return computed_once(rows, "path", F.when(F.col("o_orderkey") % 2 == 0, wide).otherwise(F.encode("xml", "UTF-8")).alias("content"))
 
 
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +288,7 @@ def recycle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(pack_le(version, 8), pack_le(F.col("size"), 8), pack_le(F.col("ft"), 8))
     body = F.when(version == 1, F.concat(head, pad_to(name, 520))).otherwise(
         F.concat(head, pack_le(F.length(name) / 2, 4), name))
-    return rows.select("path", body.alias("content"))
+    return computed_once(rows, "path", body.alias("content"))
 
 
 # ---- registry ---------------------------------------------------------------------------

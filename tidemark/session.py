@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN_SCRATCH: list[str] = []
 _WRITTEN: list[str] = []
@@ -51,6 +51,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``select`` for costly columns that later filters ask for.
+
+    A filter is moved below a plain ``select`` together with one copy of the column's expression for each place
+    that names it; it is not moved below a generator, here of a single row.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as a scratch table, in folders of the columns ``by`` if any, and return the re-opened table."""
     spark = df.sparkSession

@@ -15,6 +15,7 @@ from ..functions.bytescols import text_by_bom
 from ..functions.textcols import cp1252_text, strip
 from ..functions.timecols import filetime_to_ns, parse_iso_ts, parse_text_ts
 from ..functions.xmlcols import first_values
+from ..session import computed_once
 
 # Every character that ends a line in the PCA files.
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
@@ -132,11 +133,11 @@ def parse_tasks(files: DataFrame, root: str = "") -> DataFrame:
     # A declared encoding no longer holds once the bytes are text.
     xml = F.regexp_replace(F.ltrim(text_by_bom("content"), F.lit("\ufeff")), r"^\s*<\?xml[^>]*\?>", "")
     name = F.substring_index("path", root.rstrip("/") + "/", -1) if root else F.ltrim("path", F.lit("/"))
-    tasks = files.filter(~F.col("path").endswith(".job")).select(
-        *_keep(files), F.concat(F.lit("\\"), F.replace(name, F.lit("/"), F.lit("\\"))).alias("task_name"),
+    tasks = computed_once(
+        files.filter(~F.col("path").endswith(".job")), *_keep(files), F.concat(F.lit("\\"), F.replace(name, F.lit("/"), F.lit("\\"))).alias("task_name"),
         first_values(xml, _TASK_FIELDS, ("trigger_type", "Trigger")).alias("_t"))
-    return tasks.select(
-        *_keep(files), "task_name", parse_iso_ts("_t.date").alias("date_ns"), "_t.author", "_t.command",
+    return computed_once(
+        tasks, *_keep(files), "task_name", parse_iso_ts("_t.date").alias("date_ns"), "_t.author", "_t.command",
         "_t.arguments", "_t.trigger_start", "_t.trigger_type").filter("date_ns <> 0 OR trigger_start <> ''")
 
 

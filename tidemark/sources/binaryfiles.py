@@ -18,6 +18,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..functions.bytescols import le_i64, le_u32, utf16le_counted, utf16le_z
 from ..functions.timecols import filetime_to_ns
 from ..schema import RECORD_SCHEMAS
+from ..session import computed_once
 from .textfiles import _keep, binary_files
 
 MIB = 1 << 20
@@ -37,8 +38,8 @@ def parse_recycle_i(files: DataFrame) -> DataFrame:
         F.when((version == 1) & (F.length(body) >= 26), utf16le_z(body, 24))
         .when((version == 2) & (chars > 0) & (F.length(body) >= chars * 2 + 28), utf16le_counted(body, 28, chars))
     )
-    notes = files.filter(F.length(body) >= 24).select(
-        *_keep(files), le_i64(body, 16).alias("filetime"), path.alias("original_path"),
+    notes = computed_once(
+        files.filter(F.length(body) >= 24), *_keep(files), le_i64(body, 16).alias("filetime"), path.alias("original_path"),
         le_i64(body, 8).alias("file_size"))
     return notes.filter((filetime_to_ns("filetime") > 0) & (F.coalesce("original_path", F.lit("")) != ""))
 

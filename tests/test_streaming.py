@@ -141,3 +141,12 @@ def test_text_files_as_streams(spark):
     put("v/ConsoleHost_history.txt", b"ls\n")
     assert run(*jobs[0]) == run(*jobs[0]) == [("h", "Crash: one"), ("h", "Crash: two")]
     assert run(*history) == [("h", "dir"), ("h", "ls")]
+
+
+def test_a_task_of_few_types_sorts_nothing_to_write_them(spark, tmp_path):
+    """Rows of one folder each are written side by side; a sort of the whole task would show in the plan."""
+    from tidemark import configure
+    rows = configure(spark).range(10).selectExpr("id", "concat('K', id % 3) AS artifact_type")
+    assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 3
+    rows.write.partitionBy("artifact_type").parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 10

@@ -22,6 +22,7 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # what the JVM compiles; larger methods would be interpreted
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "32")  # a task of few folders writes them side by side and sorts nothing for it
     _ship_helpers()
     return spark
 

@@ -152,3 +152,34 @@ def test_whole_run(spark):
     assert ("$UsnJrnl:$J", "\\d\\f", "PC9") in seen and ("$UsnJrnl:$J", "f", "PC9") in seen
     gone = [r.message for r in got.filter("source = 'SHADOWCOPY'").collect()]
     assert sorted(gone) == ["[VSS#1] Deleted key: HKLM\\SYSTEM\\Gone", "[VSS#1] Deleted: \\d\\lost", "[VSS#2] Deleted: \\d\\lost"]
+
+
+def test_merging_a_new_type_is_spread_over_tasks(spark, tmp_path):
+    from tidemark.operators.timeline import normalize
+    from tidemark.sources import merging
+    path = f"{tmp_path}/merged"
+
+    def of(kind, n):
+        return normalize(spark.range(n).selectExpr(f"'{kind}' AS artifact_type", "1000 + id % 50 AS timestamp_ns", "concat('m', id) AS message"))
+
+    merging.write_mergeable(of("EVTX", 100), path)
+    merging.merge_timeline(of("MFT", 4000), path)
+    back = merging.read_mergeable(spark, path)
+    assert back.groupBy("artifact_type").count().orderBy("artifact_type").collect() == [("EVTX", 100), ("MFT", 4000)]
+    sizes = [r["count"] for r in back.filter("artifact_type = 'MFT'").groupBy("_metadata.file_path").count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 3000
+
+
+def test_packed_text_files_hold_every_row(spark, tmp_path):
+    import glob
+    from tidemark.operators.timeline import normalize
+    from tidemark.schema import TIMELINE_SCHEMA
+    from tidemark.sources import sinks
+    rows = normalize(spark.range(1000).selectExpr("1000 + id AS timestamp_ns", "concat('say \"', id, '\", x') AS message"))
+    sinks.write_jsonl(rows, f"{tmp_path}/j", compression="gzip")
+    sinks.write_timesketch(rows, f"{tmp_path}/t", compression="gzip")
+    assert glob.glob(f"{tmp_path}/j/*.json.gz") and glob.glob(f"{tmp_path}/t/*.csv.gz")
+    want = {r.message for r in rows.select("message").collect()}
+    assert {r.message for r in spark.read.schema(TIMELINE_SCHEMA).json(f"{tmp_path}/j").collect()} == want
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/t")
+    assert {r.message for r in back.collect()} == want and back.count() == 1000

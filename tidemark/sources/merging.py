@@ -14,6 +14,7 @@ from ..operators.timeranges import TimeRanges, time_ranges
 from ..session import materialize
 
 RANGE = "time_range"
+TASK_ROWS = 1_000_000  # about how many rows a task sorts and writes at most
 KEYS = ["artifact_type", RANGE, "timestamp_ns", *SORT_TIES]
 
 
@@ -26,12 +27,16 @@ def _placed(df: DataFrame, ranges: TimeRanges) -> DataFrame:
     return df.withColumn(RANGE, ranges.column("timestamp_ns", "artifact_type", None).cast("int"))
 
 
-def _write(df: DataFrame, path: str, mode: str) -> None:
-    """A range's rows over several files where they are many: hot times part by the row's hash and input partition."""
-    width = df.groupBy("artifact_type", RANGE).count().agg(F.max("count"), F.sum("count"), F.count(F.lit(1))).first()
-    parts = max(1, -(-(width[0] or 0) * (width[2] or 1) // max(1, width[1] or 1))) if width[1] else 1  # how much larger than the mean the largest is
-    salt = F.pmod(F.xxhash64(*SORT_TIES, F.spark_partition_id()), F.lit(parts))
-    spread = df.withColumn("_salt", salt).repartition("artifact_type", RANGE, "_salt").drop("_salt")
+def _write(df: DataFrame, path: str, mode: str, task_rows: int = TASK_ROWS) -> None:
+    """A range's rows over as many tasks and files as they fill, by the row's hash and input partition; no task has two ranges."""
+    counts = {r[0]: r[1] for r in df.groupBy(RANGE).count().collect()}  # one row a range
+    share = 2 * sum(counts.values()) // int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    task_rows = max(1, min(task_rows, share))  # small timelines are spread too
+    widths = [max(1, -(-counts.get(i, 0) // task_rows)) for i in range(max(counts, default=0) + 1)]
+    firsts = [sum(widths[:i]) for i in range(len(widths))]
+    salt = F.shiftrightunsigned(F.xxhash64(*SORT_TIES), 2) + F.spark_partition_id()
+    place = F.get(F.lit(firsts), F.col(RANGE)) + F.pmod(salt, F.get(F.lit(widths), F.col(RANGE)))
+    spread = df.withColumn("_place", place.cast("int")).repartitionById(sum(widths), "_place").drop("_place")
     (spread.sortWithinPartitions(*KEYS).write.mode(mode).option("partitionOverwriteMode", "dynamic")
      .partitionBy("artifact_type", RANGE).parquet(path))
 
@@ -66,7 +71,7 @@ def merge_timeline(new: DataFrame, path: str) -> int:
     placed = materialize(_placed(new, read_bounds(spark, path)), "merge-new")
     touched = placed.select("artifact_type", RANGE).distinct()
     old = spark.read.parquet(path)
-    kept = old.join(touched, ["artifact_type", RANGE], "left_semi")  # partition columns: other folders are not read
+    kept = old.join(F.broadcast(touched), ["artifact_type", RANGE], "left_semi")  # one row a range; partition columns: other folders are not read
     merged = materialize(kept.unionByName(placed, allowMissingColumns=True).select(*placed.columns), "merge")
     _write(merged, path, "overwrite")
     return touched.count()

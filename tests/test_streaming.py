@@ -144,7 +144,7 @@ def test_text_files_as_streams(spark):
 
 
 def test_a_task_of_few_types_sorts_nothing_to_write_them(spark, tmp_path):
-    """Rows of one folder each are written side by side; a sort of the whole task would show in the plan."""
+    """Folders are written side by side; without the setting a task sorts all of its rows by folder first."""
     from tidemark import configure
     rows = configure(spark).range(10).selectExpr("id", "concat('K', id % 3) AS artifact_type")
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 3

@@ -43,6 +43,15 @@ def test_byte_bpe_is_the_library(spark, docs, no_docs, tik):
     same(back, [(i, bytearray((t or "").encode())) for i, t in TEXTS], ["doc_id", "decoded"])
 
 
+def test_byte_bpe_holds_few_chunks(tik):
+    """The pipeline's last stage has little memory left: many distinct words in one batch do not all stay."""
+    texts = [" ".join(f"{i:x}" for i in range(n, n + 100_000)) for n in range(100_000, 1_000_000, 100_000)]
+    code = byte_bpe.Encoder(TIK, P.PATTERN)
+    got = code.cache.encode(texts)
+    assert [ids.tolist() for ids in got[-2:]] == [tik.encode(t, disallowed_special=()) for t in texts[-2:]]
+    assert len(code.cache.known) < 900_000
+
+
 def test_byte_bpe_random_texts(tik):
     order = random.Random(4)
     code = byte_bpe.Encoder(TIK, P.PATTERN)

@@ -24,6 +24,7 @@ from .common import id_and_text, map_batches, texts
 NONE = np.iinfo(np.int64).max
 LONG_WORD = 128  # bytes; longer words get a tree of their own
 CACHED_CHUNKS = 1_400_000
+HELD_CHUNKS = 250_000  # of an ``Encoder``, which shares an executor with what earlier stages left behind
 #: A space that has white space on both sides (or before it and the end behind it) may lie inside a match.
 #: Letters, then punctuation: two matches, whatever stands around.
 WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]+)").fullmatch
@@ -185,10 +186,10 @@ class ChunkCache:
     the texts that cannot be cut surely.
     """
 
-    def __init__(self, encode_chunks, encode_whole, whole_if: str = "") -> None:
+    def __init__(self, encode_chunks, encode_whole, whole_if: str = "", most: int = CACHED_CHUNKS) -> None:
         self.known: dict[str, bytes] = {}  # of the chunks behind a space
         self.first: dict[str, bytes] = {}  # of the chunks at a text's start
-        self.encode_chunks, self.encode_whole, self.whole_if = encode_chunks, encode_whole, whole_if
+        self.encode_chunks, self.encode_whole, self.whole_if, self.most = encode_chunks, encode_whole, whole_if, most
 
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         gc.disable()  # many small objects and no cycles
@@ -198,11 +199,11 @@ class ChunkCache:
             gc.enable()
 
     def _encode(self, batch: list[str]) -> list[np.ndarray]:
-        for cache in (self.known, self.first):
-            if len(cache) > CACHED_CHUNKS:
-                cache.clear()
         known, out, at = self.known, [], 0
         while at < len(batch):  # a few megabytes at a time
+            for cache in (known, self.first):
+                if len(cache) > self.most:
+                    cache.clear()
             end, size = at, 0
             while end < len(batch) and (end == at or size < 4_000_000):
                 size += len(batch[end])
@@ -235,7 +236,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks, self.matches = Ranks(path), regex.compile(pattern).findall
-        self.cache = ChunkCache(self.encode_chunks, lambda t: self.encode_chunks([t])[0])
+        self.cache = ChunkCache(self.encode_chunks, lambda t: self.encode_chunks([t])[0], most=HELD_CHUNKS)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         split = [[c] if c[1:].isalpha() and c.isascii() and (c[0] == " " or c[0].isalpha()) else self.matches(c)

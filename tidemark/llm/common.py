@@ -57,6 +57,7 @@ def claim(owner: str) -> None:
                 module.drop_caches()
         _OWNER[0] = owner
         gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def map_batches(df: DataFrame, schema: str, per_batch: Callable[..., dict], *extra) -> DataFrame:

@@ -31,6 +31,33 @@ def test_hot_time_is_spread_and_times_ascend(spark):
     assert times == sorted(times)
 
 
+def test_ranges_are_even(spark):
+    kind = F.when(F.col("id") % 13 < 7, "USNJRNL").when(F.col("id") % 13 < 12, "MFT").otherwise("EVTX")
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") * 7919 % 200_003).alias("timestamp_ns"), kind.alias("artifact_type"))
+    ranges = timeranges.time_ranges(df, "artifact_type", count=150)
+    sizes = [r["count"] for r in df.groupBy(ranges.column("timestamp_ns", "artifact_type", None)).count().collect()]
+    assert len(sizes) == ranges.count and max(sizes) < 1.25 * 200_000 / ranges.count
+
+
+def test_ranges_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(timeranges, "RANGE_ROWS", 100)
+    out = timeline.sort_timeline(events(spark, hot=0.3))
+    assert out.rdd.getNumPartitions() >= 40
+    times = [r[0] for r in out.select("timestamp_ns").collect()]
+    assert len(times) == 4000 and times == sorted(times)
+
+
+def test_files_are_in_the_order_of_ties(spark):
+    """One type a partition, so it is no sort key; the order inside the files stays."""
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "t")
+    sinks.write_parquet(events(spark, hot=0.3), path)
+    plan = sinks._by_type_and_time(events(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [timestamp_ns" in plan
+    for file in spark.read.parquet(path).inputFiles():
+        rows = [(r.timestamp_ns, r.message) for r in spark.read.parquet(file).collect()]
+        assert rows == sorted(rows)
+
+
 def test_bisection_is_a_search(spark):
     bounds = [3, 3, 5, 9, 9, 9, 12]
     rows = spark.range(0, 15).select("id", timeranges.bisect(bounds, F.col("id"), True).alias("r"), timeranges.bisect(bounds, F.col("id"), False).alias("l")).collect()

@@ -13,6 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 ALL = "*"  # stands for the type where types are not told apart
+RANGE_ROWS = 500_000  # a range is sorted by one task, whose memory should not grow with the input
+SKETCH_ITEMS = 16     # items a sketch keeps for each range
+SKETCH_LEAST, SKETCH_MOST = 200, 65_535
 
 
 @dataclass
@@ -61,21 +64,27 @@ def bisect(bounds: list[int], time: Column, after_equal: bool) -> Column:
 
 
 def time_ranges(df: DataFrame, kind: str | None, time: str = "timestamp_ns", count: int | None = None) -> TimeRanges:
-    """About ``count`` ranges (the session's shuffle partitions), shared among the types by their rows, one at least for each.
+    """About ``count`` ranges, shared among the types by their rows, one at least for each.
 
-    What reaches the driver is one row of ``count`` bounds for each type, whatever the number of events.
+    Without ``count``: the session's shuffle partitions, more where these would hold over ``RANGE_ROWS`` each.  The sketch
+    keeps enough items for ranges of that number, and each type's bounds are asked at its own ranks, so ranges are even.
+    What reaches the driver is one sketch for each type, of a size that the events do not change.
     """
-    count = count or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranks = F.lit([i / count for i in range(1, count)] or [0.5])
+    spark = df.sparkSession
+    parts = count or int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = F.lit(ALL) if kind is None else F.col(kind)
-    rows = df.groupBy(named.alias("kind")).agg(F.count(time).alias("n"), F.kll_sketch_agg_bigint(F.coalesce(time, F.lit(0))).alias("sketch"))
-    rows = rows.select("kind", "n", F.kll_sketch_get_quantile_bigint("sketch", ranks).alias("bounds")).collect()
+    sketch = F.kll_sketch_agg_bigint(F.coalesce(time, F.lit(0)), min(SKETCH_MOST, max(SKETCH_LEAST, SKETCH_ITEMS * parts)))
+    rows = df.groupBy(named.alias("kind")).agg(F.count(time).alias("n"), sketch.alias("sketch")).collect()
     rows.sort(key=lambda r: (r.kind is not None, r.kind or ""))
     total = sum(r.n for r in rows) or 1
+    count = count or max(parts, -(-total // RANGE_ROWS))
+    shares = [max(1, round(count * r.n / total)) for r in rows]
+    asked = {i: F.kll_sketch_get_quantile_bigint(F.lit(bytes(r.sketch)), F.lit([k / share for k in range(1, share)])).alias(str(i))
+             for i, (r, share) in enumerate(zip(rows, shares)) if share > 1}
+    found = spark.range(1).select(*asked.values()).first() if asked else {}
     bounds, first, at = {}, {}, 0
-    for r in rows:
-        share = max(1, round(count * r.n / total))
-        bounds[r.kind] = [r.bounds[max(0, min(count - 2, round(i * count / share) - 1))] for i in range(1, share)] if count > 1 else []
+    for i, (r, share) in enumerate(zip(rows, shares)):
+        bounds[r.kind] = list(found[str(i)]) if share > 1 else []
         first[r.kind] = at
         at += share
     return TimeRanges(bounds, first, max(1, at))

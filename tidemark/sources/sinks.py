@@ -13,8 +13,13 @@ from .records import read_timeline
 
 
 def _by_type_and_time(df: DataFrame) -> DataFrame:
-    """Each file covers one narrow time range of one type; hot times and copies are spread over files."""
-    return spread_by_time(df, ["artifact_type", "timestamp_ns", *SORT_TIES], "artifact_type")
+    """Each file covers one narrow time range of one type; hot times and copies are spread over files.
+
+    A partition holds one type.  Where tasks write their few types side by side (see ``configure``) the type is no sort key,
+    so that most comparisons end at the time; elsewhere Spark would sort by the type once more.
+    """
+    side_by_side = int(df.sparkSession.conf.get("spark.sql.maxConcurrentOutputFileWriters")) > 0
+    return spread_by_time(df, ([] if side_by_side else ["artifact_type"]) + ["timestamp_ns", *SORT_TIES], "artifact_type")
 
 
 # Row groups carry a filter of their paths, no larger than the paths need, so that one path is found without reading the rest.

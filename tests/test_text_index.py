@@ -61,6 +61,23 @@ def test_sequences_of_long_and_short_texts(spark):
     assert {r.place for r in textindex.trigram_rows(df.filter("n = 10"), "t").collect()} == whole
 
 
+def test_sequences_carry_no_file_names(spark):
+    """One sequence a letter: what each carries and hashes is a number, not its file's path."""
+    path = written(spark)
+    plans = []
+    kept = textindex.trigram_rows
+    try:
+        textindex.trigram_rows = lambda df, text, *keep: plans.append(df.select(*keep).dtypes) or kept(df, text, *keep)
+        textindex.index_messages(spark, path)
+    finally:
+        textindex.trigram_rows = kept
+    assert [t for _, t in plans[0]] == ["bigint"]
+    index = spark.read.parquet(textindex._index_path(path))
+    known = {n for f in spark.read.parquet(path).inputFiles() for n in (f, textindex._plain(f))}
+    assert index.columns == ["file", "bucket", "bits"] and {r.file for r in index.collect()} <= known
+    assert index.groupBy("file", "bucket").count().filter("count > 1").count() == 0
+
+
 def test_files_after_the_index_are_searched(spark):
     path = written(spark)
     textindex.index_messages(spark, path)

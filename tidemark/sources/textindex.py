@@ -26,24 +26,30 @@ def _index_path(path: str) -> str:
 def trigram_rows(df: DataFrame, text: str, *keep: str) -> DataFrame:
     """Rows ``keep, place``: the places (from 1) of the three-letter sequences of a text column; none for null and shorter texts.
 
-    Texts are cut into overlapping windows first, since finding a letter walks from the start of its string.
+    Texts are cut into overlapping windows first, since finding a letter walks from the start of its string; windows of
+    single-byte letters are cut as bytes, without a walk.
     """
     long_enough = df.filter(F.length(text) >= 3)
     windows = long_enough.select(*keep, text, F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1)), F.lit(WINDOW))).alias("_at")).select(
         *keep, F.substring(F.col(text), F.col("_at"), F.lit(WINDOW + 2)).alias("_window"))
-    starts = windows.select(*keep, "_window", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_window") - 2, F.lit(1)))).alias("_at"))
-    letters = F.substring(F.col("_window"), F.col("_at"), F.lit(3))
-    return starts.select(*keep, (F.pmod(F.xxhash64(letters), F.lit(BITS)) + 1).alias("place"))
+    plain = F.when(F.octet_length("_window") == F.length("_window"), F.col("_window").cast("binary")).alias("_bytes")
+    starts = windows.select(*keep, "_window", plain, F.explode(F.sequence(F.lit(1), F.greatest(F.length("_window") - 2, F.lit(1)))).alias("_at"))
+    three = [F.substring(F.col(c), F.col("_at"), F.lit(3)).cast("binary") for c in ("_bytes", "_window")]
+    return starts.select(*keep, (F.pmod(F.xxhash64(F.coalesce(*three)), F.lit(BITS)) + 1).alias("place"))
 
 
 def index_messages(spark: SparkSession, path: str, mode: str = "overwrite") -> None:
     """Write the bitmaps of all files of a timeline; one pass over the message column.
 
-    A task's sequences of one file are made distinct before they move: at most ``BITS`` rows a file and task.
+    A task's sequences of one file are made distinct before they move: at most ``BITS`` rows a file and task.  They carry a number
+    for the file, its hash, which takes its name again at the end; files of one hash would share their bits, which rules out less.
     """
-    seen = trigram_rows(read_timeline(spark, path).select(F.col("_metadata.file_path").alias("file"), "message"), "message", "file").distinct()
-    bitmaps = seen.groupBy("file", F.bitmap_bucket_number("place").alias("bucket")).agg(
+    whole, name = read_timeline(spark, path), F.col("_metadata.file_path")
+    seen = trigram_rows(whole.select(F.xxhash64(name).alias("number"), "message"), "message", "number").distinct()
+    bits = seen.groupBy("number", F.bitmap_bucket_number("place").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    names = whole.filter(F.col("_metadata.row_index") == 0).select(F.xxhash64(name).alias("number"), name.alias("file"))  # one row a file
+    bitmaps = bits.join(names, "number").select("file", "bucket", "bits")
     bitmaps.write.mode(mode).parquet(_index_path(path))
 
 

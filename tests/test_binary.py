@@ -17,6 +17,31 @@ def usn(name, *, ft=FT + 5, reason=0x100, attrs=0x20, major=2, minor=0, parent=7
     return (head + raw).ljust(length, b"\0")
 
 
+def test_pages_are_taken_apart_in_slices(spark, monkeypatch):
+    """A batch of pages may be large; what is held besides it is not.  Records keep their page's image and host."""
+    import pyarrow as pa
+    parts = ["prev_tail", "content", "next_head"]
+    batch = pa.RecordBatch.from_pydict({c: pa.array([b"x" * 300, None] * 20, pa.binary()) for c in parts})
+    slices = list(B._slices(batch, parts, 2000))
+    assert pa.Table.from_batches(slices).equals(pa.Table.from_batches([batch])) and max(s.num_rows for s in slices) <= 6
+    assert not list(B._slices(batch.slice(0, 0), parts, 2000))
+
+    rows = [(f"h{i % 3}" if i % 4 else None, f"i{i}", 0, b"" if i % 5 == 0 else usn(f"n{i}") + usn(f"m{i}"), b"", b"") for i in range(60)]
+    df = spark.createDataFrame(rows, "host_id string, image_id string, chunk_off long, content binary, prev_tail binary, next_head binary")
+    monkeypatch.setattr(B, "HELD_BYTES", 500)
+    for read in (B.scan_usn, B.carve_usn):
+        got = sorted((r.image_id, r.host_id or "", r.file_name) for r in read(df).collect())
+        assert got == sorted((i, h or "", n + i[1:]) for h, i, _, content, _, _ in rows if content for n in "nm")
+
+
+def test_packed_numbers_are_little_endian(spark):
+    from pyspark.sql import functions as F
+    from tidemark.plans.records_from_tables import pack_le
+    numbers = [0, 1, 255, 256, 0x0123456789ABCDEF, -1, -2, -(1 << 63), (1 << 63) - 1]
+    df = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", *[pack_le(F.col("n"), w).alias(f"w{w}") for w in (2, 4, 8)])
+    assert [[bytes(x) for x in r[1:]] for r in df.collect()] == [[n.to_bytes(8, "little", signed=True)[:w] for w in (2, 4, 8)] for n in numbers]
+
+
 def live_walk(data):
     """The journal read byte by byte."""
     out, off = [], 0

@@ -34,9 +34,10 @@ DAY_TICKS = 864_000_000_000
 def pack_le(c, width: int) -> Column:
     """Integer column as ``width`` little-endian bytes."""
     c = F.lit(c) if isinstance(c, int) else c
-    digits = F.lpad(F.hex(c.cast("bigint")), 16, "0")
-    at = [F.substring(digits, 16 - 2 * i - 1, 2) for i in range(width)]
-    return F.unhex(F.concat(*at))
+    c, low = c.cast("bigint"), F.lit(0x0F0F0F0F0F0F0F0F)
+    swapped = F.shiftleft(c.bitwiseAND(low), 4).bitwiseOR(F.shiftrightunsigned(c, 4).bitwiseAND(low))  # the halves of each byte
+    digits = F.reverse(F.lpad(F.hex(swapped), 16, "0"))  # bytes backwards, their halves in order again
+    return F.unhex(F.left(digits, F.lit(2 * width)))
 
 
 def pad_to(c: Column, size) -> Column:

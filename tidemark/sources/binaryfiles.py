@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
@@ -26,6 +27,7 @@ RECORD_MAX = 65_536   # longest journal record; longer lengths are no records
 UNIT = 65_536         # the walk starts anew at each multiple of this in a file
 PARTITION_BYTES = 32 * MIB
 ENTRY_MASK = (1 << 48) - 1
+HELD_BYTES = 4 * MIB   # of pages whose records a task takes apart at once; a batch may hold 64 MiB
 
 
 # ---- recycle bin ------------------------------------------------------------------------
@@ -289,45 +291,58 @@ def _batch_offsets(data: np.ndarray, base: np.ndarray, own: np.ndarray, own_end:
     return tuple(np.array(c, dtype=np.int64) for c in (starts, lengths, pages))
 
 
-def _usn_batch(pages: list[tuple[str, int, bytes, bytes, bytes]], carve: bool) -> pa.RecordBatch:
-    """Decode the journal records of a batch of pages (image, offset, previous tail, content, next head)."""
-    pages = [p for p in pages if p[3].strip(b"\0")]
-    sizes = np.array([[len(part) for part in p[2:]] for p in pages], dtype=np.int64).reshape(-1, 3)
+def _slices(batch: pa.RecordBatch, parts: list[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows that hold about ``most`` bytes in the columns ``parts``, one row at least."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in parts)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(at, end - at) for at, end in zip(cuts, cuts[1:]) if end > at)
+
+
+def _usn_batch(pages: list[tuple[int, bytes, bytes, bytes]], carve: bool) -> tuple[pa.Array, pa.RecordBatch]:
+    """Decode the journal records of a batch of pages (offset, previous tail, content, next head): each one's page, and its fields."""
+    places = np.array([i for i, p in enumerate(pages) if p[2].strip(b"\0")], dtype=np.int64)
+    pages = [pages[i] for i in places.tolist()]
+    sizes = np.array([[len(part) for part in p[1:]] for p in pages], dtype=np.int64).reshape(-1, 3)
     ends = np.cumsum(sizes, axis=1)
     padded = (ends[:, 2] + 7) // 8 * 8
     base = np.concatenate([[0], np.cumsum(padded)]).astype(np.int64)[:-1]
-    blob = b"".join(b"".join(p[2:]).ljust(n, b"\0") for p, n in zip(pages, padded.tolist()))
+    blob = b"".join(b"".join(p[1:]).ljust(n, b"\0") for p, n in zip(pages, padded.tolist()))
     data = np.frombuffer(blob, dtype=np.uint8)
-    file_off = np.array([p[1] for p in pages], dtype=np.int64) - sizes[:, 0]
+    file_off = np.array([p[0] for p in pages], dtype=np.int64) - sizes[:, 0]
     offs, lengths, owner = _batch_offsets(data, base, *(base + ends[:, i] for i in range(3)), file_off, carve)
-    images = [pages[i][0] for i in owner.tolist()]
     name_len, name_off = _gather(data, offs + 56, 2), _gather(data, offs + 58, 2)
     inside = name_off + name_len <= lengths
     kept_len = name_len if carve else name_len // 2 * 2   # a live journal drops half a character
     names = [_text(blob[o + p:o + p + n]) if ok else None
              for o, p, n, ok in zip(offs.tolist(), name_off.tolist(), kept_len.tolist(), inside.tolist())]
     out = pa.RecordBatch.from_pydict({
-        "image_id": pa.array(images, pa.string()),
         "parent_entry": pa.array((_gather(data, offs + 16, 8) & np.uint64(ENTRY_MASK)).astype(np.int64)),
         "filetime": pa.array(_gather(data, offs + 32, 8).view(np.int64)),
         "reason": pa.array(_gather(data, offs + 40, 4)),
         "file_attrs": pa.array(_gather(data, offs + 52, 4)),
         "file_name": pa.array(names, pa.string()),
         "recovered": pa.array(np.full(len(offs), carve))})
-    return out.filter(pa.array(inside & (name_len > 0))) if carve else out
+    kept = inside & (name_len > 0) if carve else np.ones(len(offs), dtype=bool)
+    return pa.array(places[owner[kept]]), out.filter(pa.array(kept)) if carve else out
 
 
 def _usn_records(chunks: DataFrame, carve: bool, page_bytes: int) -> DataFrame:
-    columns = ["image_id", "chunk_off", "prev_tail", "content", "next_head"]
+    parts = ["prev_tail", "content", "next_head"]
+    columns = ["image_id", "chunk_off", *parts]
+    most = HELD_BYTES
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            image, off, *parts = (batch.column(c).to_pylist() for c in columns)
-            yield _usn_batch([(i, o or 0, *(p or b"" for p in row)) for i, o, *row in zip(image, off, *parts)], carve)
+            for rows in _slices(batch, parts, most):
+                off, *bodies = (rows.column(c).to_pylist() for c in columns[1:])
+                owner, found = _usn_batch([(o or 0, *(p or b"" for p in row)) for o, *row in zip(off, *bodies)], carve)
+                yield pa.RecordBatch.from_arrays([rows.column("image_id").take(owner), *found.columns, rows.column("host_id").take(owner)],
+                                                 names=["image_id", *found.schema.names, "host_id"])
 
     if not set(columns) <= set(chunks.columns):
         chunks = with_neighbours(chunks, page_bytes)
-    return _hosted(chunks, lambda rows: rows.select(*columns).mapInArrow(decode, _USN_SCHEMA))
+    host = F.col("host_id") if "host_id" in chunks.columns else F.lit(None)
+    return chunks.select(*columns, host.cast("string").alias("host_id")).mapInArrow(decode, _USN_SCHEMA + ", host_id STRING")
 
 
 def scan_usn(chunks: DataFrame, page_bytes: int = MIB) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import paths
 
 
@@ -67,3 +69,15 @@ def test_shellbag_paths(spark):
     got = {r.node: r.path for r in paths.shellbag_paths(n, i).collect()}
     assert got[1] == "My PC" and got[2] == "My PC\\C:" and 3 not in got and 4 not in got
     assert max(p.count("\\") + 1 for p in got.values()) == 35 and len([k for k in got if k >= 100]) == 35
+
+
+def test_snapshot_delta_is_led_by_a_hash(spark):
+    """Hosts and paths begin alike, so the anti join sorts by a hash first; unknown hosts and repeated rows stay as they were."""
+    from tidemark.operators import delta, timeline
+    rows = [("h1", "\\a", 1), ("h1", "\\a", 2), ("h1", "\\b", 1), ("h2", "\\a", 1), (None, "\\a", 1), ("h1", "", 1), ("h1", None, 1), ("h1", "\\$x", 1)]
+    snapshot = timeline.normalize(spark.createDataFrame(rows, "host_id string, file_path string, timestamp_ns long"))
+    snapshot = snapshot.withColumn("snapshot_id", F.lit(1))
+    current = spark.createDataFrame([("h1", "\\a"), (None, "\\a"), ("h2", "\\b")], "host_id string, file_path string")
+    gone = delta.snapshot_file_delta(snapshot, current)
+    assert sorted((r.host_id or "", r.file_path) for r in gone.collect()) == [("", "\\a"), ("h1", "\\b"), ("h2", "\\a")]
+    assert "_led" not in gone.columns and "xxhash64(host_id" in gone._jdf.queryExecution().optimizedPlan().toString()

@@ -44,6 +44,15 @@ def current_keys(events: DataFrame, from_message: bool = False) -> DataFrame:
     return keys.filter("key_id <> ''").distinct()
 
 
+def _without(rows: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose ``keys`` are not among ``current``.
+
+    A hash of the keys leads them, since hosts and paths that begin alike make a sort compare whole texts.
+    """
+    led = [df.withColumn("_led", F.xxhash64(*keys)) for df in (rows, current)]
+    return led[0].join(led[1], ["_led", *keys], "left_anti").drop("_led")
+
+
 def _tagged(rows: DataFrame, artifact: str, verb: str, shown: Column, short: Column) -> DataFrame:
     mark = F.concat(F.lit("[VSS#"), F.col("snapshot_id").cast("string"), F.lit(f"] {verb}: "))
     return (rows.withColumn("message_short", F.concat(F.lit(f"{verb}: "), short))
@@ -62,14 +71,14 @@ def snapshot_file_delta(snapshot: DataFrame, current: DataFrame) -> DataFrame:
     low = F.lower("file_path")
     kept = snapshot.filter((F.coalesce("file_path", F.lit("")) != "")
                            & ~any_of([low.startswith(p) for p in SKIPPED_PREFIXES]))
-    gone = kept.join(current, ["host_id", "file_path"], "left_anti").select(*snapshot.columns)
+    gone = _without(kept, current, ["host_id", "file_path"]).select(*snapshot.columns)
     return _tagged(gone, "Deleted File (VSS)", "Deleted", F.col("file_path"), base_name("file_path"))
 
 
 def snapshot_key_delta(snapshot: DataFrame, current: DataFrame, from_message: bool = False) -> DataFrame:
     """Snapshot registry events whose key is gone; ``current`` as given by ``current_keys``."""
     keyed = snapshot.withColumn("key_id", _key_of(snapshot, from_message)).filter("key_id <> ''")
-    gone = keyed.join(current, ["host_id", "key_id"], "left_anti").select(*snapshot.columns, "key_id")
+    gone = _without(keyed, current, ["host_id", "key_id"]).select(*snapshot.columns, "key_id")
     return _tagged(gone, "Deleted Registry Key (VSS)", "Deleted key", F.col("message"),
                    base_name("key_id")).drop("key_id")
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import STORY, TEXTS, same
-from tidemark.llm import near_duplicates, quality, repeated_passages, suffix_sort, vector_search
+from tidemark.llm import common, near_duplicates, quality, repeated_passages, suffix_sort, vector_search
 from tidemark.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -183,6 +184,29 @@ def test_slices_of_long_texts_make_the_same_strings(monkeypatch):
         assert got == [(0, k) for k in range(951)] + [(2, k) for k in range(lengths[2] - 49)]
 
 
+def test_freed_memory_goes_back():
+    """A waiting worker holds no more than its caches."""
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+    blocks = [b"x" * 100_000 for _ in range(2000)]
+    last, most = b"y" * 100_000, held()
+    del blocks
+    common.give_back()
+    assert len(last) and most - held() > 150_000_000
+
+
+def test_stretches_of_a_part_take_little_memory():
+    """Six megabytes of text are anchored in less than eleven bytes for each."""
+    order = random.Random(8)
+    blob = np.frombuffer(order.randbytes(repeated_passages.PART), np.uint8)
+    tracemalloc.start()
+    repeated_passages.anchored(blob, np.array([0]), np.array([len(blob)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 11 * len(blob)
+
+
 def test_deep_shallow_sort():
     order = random.Random(6)
     for alphabet, length, shallow in (("ab", 50, 16), ("a", 50, 16), ("abc\0\xff", 20, 8), ("ab", 5, 16)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import sys
@@ -41,7 +42,10 @@ def map_arrow(df: DataFrame, run: Callable, schema, owner: str = "") -> DataFram
 
     def owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(owner)
-        yield from run(batches)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
 
     return df.mapInArrow(owned, schema)
 
@@ -57,7 +61,17 @@ def claim(owner: str) -> None:
                 module.drop_caches()
         _OWNER[0] = owner
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+
+
+def give_back() -> None:
+    """What is free in this process goes back to the system: a waiting worker's memory counts for its executor too."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def map_batches(df: DataFrame, schema: str, per_batch: Callable[..., dict], *extra) -> DataFrame:

@@ -35,7 +35,7 @@ from .suffix_sort import sort_suffixes
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams of one string
 HALF = (LENGTH - GRAM) // 2
-SLICE = 1 << 20
+SLICE = 1 << 16  # bytes whose grams are hashed together, eight numbers of eight bytes for each
 PLACE = np.uint64((2 << 20) - 1)  # low bits that hold a place in a slice
 PART = 6 << 20  # bytes of text that are looked at together
 _rng = np.random.default_rng(50)

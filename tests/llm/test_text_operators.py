@@ -81,6 +81,30 @@ def test_token_counts_splice_random_texts():
         assert token_counts.PieceCounter(PIECES, chunk, overlap).count(texts) == whole
 
 
+def test_library_gets_many_chunks_as_one_text():
+    """Chunks with marks and line ends inside too, and ids as the library gives them for whole texts."""
+    order = random.Random(9)
+    code = wavelet_output.LibraryEncoder(JSON)
+    library, asked = code.library, []
+
+    class Counted:
+        def encode(self, text, **options):
+            asked.append(text)
+            return library.encode(text, **options)
+
+        def encode_batch_fast(self, batch, **options):
+            asked.extend(batch)
+            return library.encode_batch_fast(batch, **options)
+
+    code.library = Counted()
+    lines = " ".join(f"w{i:x}.\nX{i}!?" for i in range(2000))
+    odd = ["".join(order.choice(" \n\t\x1cab'sé1!\u3000\xa0\u200b的Ġ") for _ in range(order.randint(0, 200))) for _ in range(500)]
+    got = code.encode_texts([lines])
+    assert len(asked) < 100
+    for t, ids in zip([lines, *odd, *odd], [*got, *code.encode_texts(odd), *code.encode_texts(odd)]):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_token_files(spark, docs, no_docs):
     from tokenizers import Tokenizer
     library = Tokenizer.from_file(JSON)

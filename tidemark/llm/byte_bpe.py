@@ -210,12 +210,15 @@ class ChunkCache:
                 end += 1
             cut = [None if UNSURE_SPACE.search(t) or (self.whole_if and self.whole_if in t) else t.split(" ")
                    for t in batch[at:end]]
-            new, starts = set(), set()
-            for pieces in cut:
-                if pieces:
+            found, new, starts = [], set(), set()
+            for pieces in cut:  # each piece is looked up once; those not known are filled in below
+                ids = [] if pieces is None else list(map(known.get, pieces))
+                if ids:
+                    ids[0] = b""
                     starts.add(pieces[0])
-                    new.update(pieces[1:])
-            new = [p for p in new if p not in known]
+                if None in ids:
+                    new.update([p for p, i in zip(pieces, ids) if i is None])
+                found.append(ids)
             parted = {p: m.groups() for p in new if (m := WORD_AND_MARKS(p))}
             new = list(({p for p in new if p not in parted} | {w for w, _ in parted.values()}).difference(known))
             starts = [p for p in starts.union(m for _, m in parted.values()) if p not in self.first]
@@ -223,9 +226,12 @@ class ChunkCache:
             self.first.update(zip(starts, self.encode_chunks(starts)))
             for p, (word, marks) in parted.items():
                 known[p] = known[word] + self.first[marks]
-            get = known.__getitem__
-            for text, pieces in zip(batch[at:end], cut):
-                ids = self.encode_whole(text) if pieces is None else self.first[pieces[0]] + b"".join(map(get, pieces[1:]))
+            for text, pieces, parts in zip(batch[at:end], cut, found):
+                if pieces:
+                    if None in parts:
+                        parts = [known[p] if i is None else i for p, i in zip(pieces, parts)]
+                    parts[0] = self.first[pieces[0]]
+                ids = self.encode_whole(text) if pieces is None else b"".join(parts)
                 out.append(np.frombuffer(ids, dtype="<u4"))
             at = end
         return out

@@ -14,7 +14,6 @@ packed, the first in the lowest bit.  Each plane is stably partitioned by its bi
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from functools import lru_cache
@@ -31,7 +30,6 @@ from .common import id_and_text, map_arrow, map_batches, texts
 MAGIC = b"WMX1"
 BLOCK = 512
 NO_ID = -(1 << 63)
-PLAIN_WORD = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 SHARD_SCHEMA = "part int, seq long, start_in_part long, n_docs long, n_tokens long, file binary"
 
 
@@ -155,6 +153,9 @@ class LibraryEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens that begin with a space, written as G with a dot
+        self.begins[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if len(special) == 1 and " " not in special[0]:
             self.cache = ChunkCache(self.encode, lambda t: self.encode([t])[0], special[0])
@@ -163,19 +164,20 @@ class LibraryEncoder:
             self.encode_texts = lambda batch: [np.frombuffer(i, "<u4") for i in self.encode(batch)]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        """Words of letters behind a space go to the library many at a time, as one text in which each stays one word."""
+        """Chunks behind a space go to the library many at a time, as one text, whose ids part where a token begins with the space."""
         out: list = [b""] * len(batch)
-        plain = [k for k, t in enumerate(batch) if PLAIN_WORD(t)]
-        rest = set(range(len(batch))).difference(plain)
-        for at in range(0, len(plain), 500):
-            part = plain[at:at + 500]
-            found = self.library.encode("".join([batch[k] for k in part]), add_special_tokens=False)
-            ids, word = np.array(found.ids, dtype="<u4").tobytes(), np.array(found.word_ids)
-            cuts = np.flatnonzero(np.diff(word, prepend=-1)).tolist()
-            if len(cuts) != len(part):
+        behind = [k for k, t in enumerate(batch) if t[:1] == " " and not (t[1:2].isspace() or t[-1].isspace()) and t.count(" ") == 1]
+        rest = set(range(len(batch))).difference(behind)
+        for at in range(0, len(behind), 200):
+            part = behind[at:at + 200]
+            found = self.library.encode_batch_fast(["".join([batch[k] for k in part])], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.begins[ids]).tolist()
+            if len(cuts) != len(part) or cuts[0]:
                 rest.update(part)
                 continue
-            for k, a, b in zip(part, cuts, [*cuts[1:], len(word)]):
+            ids = ids.tobytes()
+            for k, a, b in zip(part, cuts, [*cuts[1:], len(found.ids)]):
                 out[k] = ids[4 * a:4 * b]
         rest = sorted(rest)
         for k, e in zip(rest, self.library.encode_batch_fast([batch[k] for k in rest], add_special_tokens=False)):

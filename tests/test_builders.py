@@ -27,6 +27,19 @@ def test_mft_grouping_and_timestomp(spark):
     assert brief(filesystem.timestomp_events(events), "entry", "si_created_ns", "fn_created_ns") == [(9, 1000, 3000)]
 
 
+def test_first_event_of_each_entry_has_every_path(spark):
+    times = [None, [0, 0, 0, 0], [None, FT + 1, None, None], [FT + 10, FT + 10, FT + 20, 0], [FT + 5] * 4, [5, None, 0, FT + 7]]
+    mft = rows(spark, "mft", *[{"entry": i * 6 + j, "name": "n", "si": si, "fn": fn} for i, si in enumerate(times) for j, fn in enumerate(times)])
+    mft = mft.withColumn("file_path", F.format_string("p%d", F.col("entry").bitwiseAND(F.lit(~1))))
+    every, first = filesystem.mft_events(mft), filesystem.mft_events(mft, first=True)
+    assert first.columns == every.columns and first.drop("extra").exceptAll(every.drop("extra")).isEmpty()
+    entries = [r.entry for r in first.select(F.col("extra")["mft_entry"].alias("entry")).collect()]
+    assert sorted(entries) == sorted({r.entry for r in every.select(F.col("extra")["mft_entry"].alias("entry")).collect()})
+    assert len(entries) < mft.count() and len(entries) < every.count()
+    first, every = (brief(delta.current_paths(e), "host_id", "file_path") for e in (first, every))
+    assert first == every
+
+
 def test_macb_conserves_flags(spark):
     mft = spark.range(625).select(F.lit("h").alias("host_id"), F.lit("i").alias("image_id"), F.col("id").alias("entry"), F.lit("n").alias("name"),
                                   F.array(*[(F.lit(FT - 1) + F.floor(F.col("id") / 5**k) % 5).cast("bigint") for k in range(4)]).alias("si"),

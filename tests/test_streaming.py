@@ -47,6 +47,32 @@ def test_each_path_is_written_once(spark):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
 
 
+def test_a_batch_commits_one_state_part_a_core(spark):
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    inbox, out, mark, counts = (os.path.join(root, n) for n in ("in", "out", "mark", "counts"))
+    changed = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+    kept = {key: spark.conf.get(key) for key in changed}
+    schema = "host_id string, file_path string, source string, artifact_type string"
+    stream = lambda: ingest.read_record_stream(spark, inbox, schema=schema)
+    parts = lambda q: q.awaitTermination() or q.lastProgress["stateOperators"][0]["numShufflePartitions"]
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        for batch, given in (("abca", None), ("acd", 3)):  # the checkpoint keeps the number it began with
+            spark.createDataFrame([("h", p, "$MFT", "MFT") for p in batch], schema).write.mode("append").parquet(inbox)
+            assert parts(ingest.stream_delta_sets(stream(), out, mark, given)) == cores < 40
+            assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+        assert brief(ingest.read_current_paths(spark, out), "host_id", "file_path") == [("h", p) for p in "abcd"]
+        assert parts(ingest.stream_delta_sets(stream(), out + "3", mark + "3", 3)) == 3
+        assert parts(ingest.stream_counts(stream(), counts, mark + "_counts")) == cores
+        assert brief(ingest.read_counts(spark, counts), "artifact_type", "events") == [("MFT", 7)]
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        assert parts(ingest.stream_delta_sets(stream(), out + "2", mark + "2")) == 2
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+
+
 def test_listener_totals_and_changed_counts(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     inbox, out, mark = (os.path.join(root, n) for n in ("in", "out", "mark"))

@@ -36,11 +36,12 @@ def macb_group(times: Column) -> Column:
     return F.array_compact(F.array(*_macb_cells(ns)))
 
 
-def mft_events(mft: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+def mft_events(mft: DataFrame, paths: DataFrame | None = None, first: bool = False) -> DataFrame:
     """One event per distinct time of the standard-information and file-name attributes.
 
     ``paths`` (from ``resolve_paths``) is joined before times are exploded, so that each
-    entry crosses the shuffle once.
+    entry crosses the shuffle once.  ``first`` keeps only the first event of each entry that has
+    any: enough where events are asked for their paths alone.
     """
     if paths is not None:
         mft = mft.join(paths.select("image_id", "entry", "file_path"), ["image_id", "entry"], "left")
@@ -52,6 +53,8 @@ def mft_events(mft: DataFrame, paths: DataFrame | None = None) -> DataFrame:
           for attr in ("si", "fn") for flag, i in _MACB])
     cells = [cell for attr in ("si", "fn")
              for cell in _macb_cells({f: F.col(f"{attr}_{f}") for f, _ in _MACB}, is_fn=F.lit(attr == "fn"))]
+    if first:
+        cells = [F.coalesce(*cells)]
     rows = timed.select("host_id", "image_id", "entry", "name", "file_path",
                         F.inline(F.array(*cells))).filter("ns IS NOT NULL")
     return to_events(

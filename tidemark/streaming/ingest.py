@@ -10,7 +10,7 @@ import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 from ..operators.delta import current_paths
 from ..schema import RECORD_SCHEMAS
@@ -65,8 +65,25 @@ def stream_counts(events: DataFrame, target: str, checkpoint: str) -> StreamingQ
         batch.coalesce(1).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     counts = events.groupBy("artifact_type").agg(F.count("*").alias("events"))
-    return (counts.writeStream.outputMode("update").foreachBatch(upsert)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    writer = (counts.writeStream.outputMode("update").foreachBatch(upsert)
+              .option("checkpointLocation", checkpoint).trigger(availableNow=True))
+    return start_keyed(writer, events.sparkSession)
+
+
+def start_keyed(writer: DataStreamWriter, spark: SparkSession, partitions: int | None = None) -> StreamingQuery:
+    """Start a stream that keeps state, in ``partitions`` parts: one a core, and no more than a shuffle has, unless given.
+
+    Every batch opens and commits each part, however few rows it has, so the parts follow the cores that share this
+    work and not the session's shuffles.  The checkpoint fixes their number at the first start: give it for a state
+    that is to outgrow these cores.  The session's own setting holds again once the stream has started.
+    """
+    key = "spark.sql.shuffle.partitions"
+    kept = spark.conf.get(key)
+    spark.conf.set(key, str(partitions or min(int(kept), spark.sparkContext.defaultParallelism)))
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, kept)
 
 
 class LiveCounts(StreamingQueryListener):
@@ -102,9 +119,11 @@ def use_keyed_state(spark: SparkSession) -> None:
     """Keep the keys of streams in RocksDB on the executors' disks, with their changes in the checkpoint, not on the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Counting keys looks each new one up once more; a set's keys are the rows it has written.
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
 
 
-def stream_delta_sets(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def stream_delta_sets(events: DataFrame, target: str, checkpoint: str, partitions: int | None = None) -> StreamingQuery:
     """Collect the paths seen so far: a state of all (host, path) lets each path through once, whatever the batches.
 
     Each batch writes a folder of its own, so that a repeated batch replaces itself; ``read_current_paths`` gives
@@ -114,8 +133,9 @@ def stream_delta_sets(events: DataFrame, target: str, checkpoint: str) -> Stream
         batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     use_keyed_state(events.sparkSession)
-    return (current_paths(events).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    writer = (current_paths(events).writeStream.outputMode("append").foreachBatch(append).option("checkpointLocation", checkpoint)
+              .trigger(availableNow=True))
+    return start_keyed(writer, events.sparkSession, partitions)
 
 
 def read_counts(spark: SparkSession, target: str) -> DataFrame:

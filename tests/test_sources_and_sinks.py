@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates, execution, filesystem, textual, timeline
 from tidemark.plans import timeline_run
-from tidemark.schema import TIMELINE_FIELDS
+from tidemark.schema import TIMELINE_FIELDS, TIMELINE_SCHEMA
 from tidemark.sources import artifacts, records, sinks, textfiles
 from test_builders import FT, brief, rows
 
@@ -183,3 +183,28 @@ def test_packed_text_files_hold_every_row(spark, tmp_path):
     assert {r.message for r in spark.read.schema(TIMELINE_SCHEMA).json(f"{tmp_path}/j").collect()} == want
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/t")
     assert {r.message for r in back.collect()} == want and back.count() == 1000
+
+
+def test_csv_gives_back_every_text(spark, tmp_path):
+    """Empty text is not null; a zero character beside quotes stays; a value may hold any line break."""
+    texts = [None, "", " ", '"', "\0", '"\0', '\0"', 'a"b\0c,', "a\r\nb\rc\n", "\\", '\\"', '""', "#", "x" * 3000 + '"\0"' + "y" * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "timestamp_ns long, message string")
+    kept = timeline.normalize(rows).withColumn("message_short", F.col("message"))
+    sinks.write_csv(kept.repartition(3), f"{tmp_path}/c", quote_empty=True)
+    back = sinks.read_csv(spark, f"{tmp_path}/c", TIMELINE_SCHEMA)
+    assert sorted((r.timestamp_ns, r.message, r.message_short, r.hostname) for r in back.collect()) == [(i, t, t, "") for i, t in enumerate(texts)]
+
+
+def test_csv_query_tells_empty_text_from_null(spark, tmp_path):
+    import duckdb
+    from tidemark.plans.oracle import ORACLE
+    from tidemark.plans.queries import QUERIES
+    texts = [None, "", 'said "\0"', "a,\r\nb", "plain"]
+    rows = [(i, t, x) for i, (t, x) in enumerate((t, x) for t in texts for x in ("en", "", None))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["csv_round_trip"](spark, str(tmp_path))
+    columns = ", ".join(sorted(got.columns))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(f"SELECT {columns} FROM ({ORACLE['csv_round_trip']})").fetchall()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*sorted(got.columns)).collect())

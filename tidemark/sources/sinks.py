@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.textcols import macb_desc
 from ..operators.timeline import SORT_TIES, filter_time, filter_type, sort_timeline, time_bound
@@ -48,13 +49,28 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists", compressi
     df.select(*TIMELINE_FIELDS).write.mode(mode).options(**_packing(compression)).option("ignoreNullFields", "false").json(path)
 
 
-def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, mode: str = "errorifexists", compression: str | None = None) -> None:
-    """Header and eleven columns; quotes doubled, null as an empty field; ``compression`` as in ``write_jsonl``."""
+def write_csv(df: DataFrame, path: str, fields: list[str] | None = None, mode: str = "errorifexists", compression: str | None = None,
+              quote_empty: bool = False) -> None:
+    """Header and eleven columns; quotes doubled, null as an empty field; ``compression`` as in ``write_jsonl``.
+
+    An empty text is an empty field too, unless ``quote_empty`` writes it as two quotes, which ``read_csv`` tells from null.
+    """
     (df.select(*(fields or TIMELINE_FIELDS)).write.mode(mode).options(**_packing(compression))
-     .option("header", True).option("escape", '"').option("emptyValue", "")
+     .option("header", True).option("escape", '"').option("emptyValue", '""' if quote_empty else "")
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """What ``write_csv`` wrote; without ``schema`` every column is text.
+
+    Only an empty field is null.  The second escape is the quote itself: left out, it is the zero character, and the
+    reader would drop that one from texts that hold quotes.
+    """
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    reader = reader.option("nullValue", None).option("charToEscapeQuoteEscaping", '"')
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
 def timesketch_view(df: DataFrame, strict_ref: bool = False) -> DataFrame:
     """The eight columns of the review tool; null reads as empty."""
     def text(c):

@@ -176,3 +176,41 @@ def test_a_task_of_few_types_sorts_nothing_to_write_them(spark, tmp_path):
     assert int(spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")) >= 3
     rows.write.partitionBy("artifact_type").parquet(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 10
+
+
+def test_launch_lists_are_read_line_by_line(spark, tmp_path):
+    """A task holds a line of a launch list, never a whole list, and a large list is split; bytes that are no UTF-8 stay."""
+    from tidemark.plans import queries
+    lines = b"".join(b" C:\\caf\xe9%d.exe |2024-01-02 03:04:%02d.5\r\nno bar\nx|never\x0bC:\\b%d|2024-01-02 03:04:05\r" % (i, i % 60, i) for i in range(2000)) + b"\xe9|2024-01-02 03:04:05"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "PcaAppLaunchDic.txt").write_bytes(lines)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = textfiles.binary_lines(spark, str(tmp_path / "in"), "*.txt")
+        assert rows.rdd.getNumPartitions() > 4 and max(len(r.content) for r in rows.collect()) < 100
+        whole = textfiles.parse_pca_launch(textfiles.binary_files(spark, str(tmp_path / "in"), "*.txt"))
+        want = brief(whole, "exe_path", "timestamp_ns")
+        assert len(want) == 4001 and want[-1][0] == "é" and ("C:\\café7.exe", 1_704_164_647_500_000_000) in want
+        assert brief(textfiles.read_pca_launch(spark, str(tmp_path / "in")), "exe_path", "timestamp_ns") == want
+        stream = ingest.read_byte_line_stream(spark, str(tmp_path / "in"), image_id="i", host_id="h")
+        build = lambda x: execution.pca_launch_events(textfiles.parse_pca_launch(x))
+        ingest.stream_ingest(stream, build, f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
+        got = spark.read.parquet(f"{tmp_path}/out")
+        assert brief(got, "file_path", "timestamp_ns") == want and got.filter("host_id = 'h' AND image_id = 'i'").count() == 4001
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_launch_list_query_holds_no_whole_files(spark, monkeypatch):
+    from tidemark.plans.queries import QUERIES
+    seen = []
+
+    def watched(files):
+        seen.append(files._jdf.queryExecution().analyzed().toString())
+        return parse(files)
+
+    parse = textfiles.parse_pca_launch
+    monkeypatch.setattr(textfiles, "parse_pca_launch", watched)
+    assert QUERIES["stream_text_ingest"](spark, "/root/testdata/sf0.001").count() > 0
+    assert seen and all("text" in plan.lower() and "binaryfile" not in plan.lower() for plan in seen)

@@ -104,8 +104,8 @@ def evidence_tables(spark: SparkSession, root: str, image_id: str, host_id: str
     found = {r.artifact_type: sorted(r.places) for r in jobs.groupBy("artifact_type").agg(places.alias("places")).collect()}
     base, owner = root.rstrip("/"), (image_id, host_id or image_id)
 
-    def named(kind: str, glob: str) -> DataFrame:
-        return textfiles.binary_files(spark, base, glob, *owner).filter(artifacts.belongs(artifacts.below(F.col("path"), base), kind))
+    def named(kind: str, glob: str, read=textfiles.binary_files) -> DataFrame:
+        return read(spark, base, glob, *owner).filter(artifacts.belongs(artifacts.below(F.col("path"), base), kind))
 
     def pages(kind: str) -> DataFrame:
         parts = [binaryfiles.read_pages(spark, f"{base}/{p}", image_id, host_id=owner[1]) for p in found[kind]]
@@ -117,7 +117,7 @@ def evidence_tables(spark: SparkSession, root: str, image_id: str, host_id: str
     if "USNJRNL" in found:
         tables["usn"] = binaryfiles.scan_usn(pages("USNJRNL"))
     if "PCASVC" in found:
-        tables["pca_launch"] = textfiles.parse_pca_launch(named("PCASVC", "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt"))
+        tables["pca_launch"] = textfiles.parse_pca_launch(named("PCASVC", "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt", textfiles.binary_lines))
         tables["pca_general"] = textfiles.parse_pca_general(named("PCASVC", "[Pp]ca[Gg]eneral[Dd]b[01].txt"))
     if "WER" in found:
         tables["wer"] = textfiles.parse_wer(named("WER", "*.[Ww][Ee][Rr]"))

@@ -8,6 +8,7 @@ so that lost executors never force a whole iterative plan to run again.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -52,13 +53,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
-def computed_once(df: DataFrame, *columns: Column | str) -> DataFrame:
+def computed_once(df: DataFrame, *columns: Column | str, keep: Sequence[str] = ()) -> DataFrame:
     """``select`` for costly columns that later filters ask for.
 
     A filter is moved below a plain ``select`` together with one copy of the column's expression for each place
-    that names it; it is not moved below a generator, here of a single row.
+    that names it; it is not moved below a generator, here of a single row.  Columns of ``keep`` are passed by it, so
+    that they are still left out where nothing asks for them.
     """
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    return df.select(*keep, F.inline(F.array(F.struct(*columns))))
 
 
 def materialize(df: DataFrame, label: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -33,6 +33,22 @@ def binary_files(spark: SparkSession, path: str, glob: str | None = None, image_
     return owned_by((reader.option("pathGlobFilter", glob) if glob else reader).load(path), image_id, host_id)
 
 
+def _scanned_path() -> Column:
+    """The path of a text scan's file, which the metadata escape."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
+def byte_lines(lines: DataFrame) -> DataFrame:
+    """Lines of a text scan as rows of ``path`` and ``content``, their bytes as they stand in the file."""
+    return lines.select(_scanned_path().alias("path"), F.col("value").cast("binary").alias("content"))
+
+
+def binary_lines(spark: SparkSession, path: str, glob: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    """As ``binary_files``, one row a line: a task holds one line of a file and not the file, and large files are split."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path)
+    return owned_by(byte_lines(lines), image_id, host_id)
+
+
 def _keep(df: DataFrame) -> list[str]:
     return [c for c in ("host_id", "image_id", "path", "logical_path") if c in df.columns]
 
@@ -44,13 +60,16 @@ def _lines(df: DataFrame, text: Column, breaks: str) -> DataFrame:
 # ---- compatibility assistant ------------------------------------------------------------
 
 def parse_pca_launch(files: DataFrame) -> DataFrame:
-    """CP-1252 ``path|timestamp`` lines, split at the first bar; unusable lines are left out."""
-    lines = _lines(files, cp1252_text("content"), LINE_BREAK).withColumn("line", strip("line"))
-    bar = F.instr("line", "|")
-    rows = lines.filter(bar > 0).select(
-        *_keep(files), strip(F.left("line", bar - 1)).alias("exe_path"),
-        parse_text_ts(strip(F.substring("line", bar + 1, F.length("line")))).alias("timestamp_ns"))
-    return rows.filter("timestamp_ns <> 0")
+    """CP-1252 ``path|timestamp`` lines, split at the first bar; unusable lines are left out.
+
+    A row is a whole file or a single line of one (``byte_lines``): no byte of a character ends a line, so both give the same.
+    """
+    keep, bar = _keep(files), F.instr("line", "|")
+    with_bar = files.filter(F.contains("content", F.lit(bytearray(b"|"))))
+    halves = computed_once(
+        _lines(with_bar, cp1252_text("content"), LINE_BREAK).filter(bar > 0), strip(F.left("line", bar - 1)).alias("exe_path"),
+        strip(F.substring("line", bar + 1, F.length("line"))).alias("_time"), keep=keep)
+    return computed_once(halves, parse_text_ts("_time").alias("timestamp_ns"), keep=[*keep, "exe_path"]).filter("timestamp_ns <> 0")
 
 
 def parse_pca_general(files: DataFrame) -> DataFrame:
@@ -71,7 +90,8 @@ def parse_pca_general(files: DataFrame) -> DataFrame:
 
 
 def read_pca_launch(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
-    return parse_pca_launch(binary_files(spark, path, "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt", image_id, host_id))
+    """Launch lists of any size as splittable lines."""
+    return parse_pca_launch(binary_lines(spark, path, "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt", image_id, host_id))
 
 
 def read_pca_general(spark: SparkSession, path: str, image_id: str | None = None, host_id: str | None = None) -> DataFrame:
@@ -159,9 +179,9 @@ def parse_pshistory(lines: DataFrame) -> DataFrame:
 
 
 def file_lines(lines: DataFrame) -> DataFrame:
-    """Lines of a text scan with the path (which the metadata escape) and time of their file."""
+    """Lines of a text scan with the path and time of their file."""
     return lines.select(
-        F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B"))).alias("path"),
+        _scanned_path().alias("path"),
         F.col("_metadata.file_modification_time").alias("mtime"), F.make_valid_utf8("value").alias("value"))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 
 from ..operators.delta import current_paths
 from ..schema import RECORD_SCHEMAS
-from ..sources.textfiles import file_lines, owned_by
+from ..sources.textfiles import byte_lines, file_lines, owned_by
 
 
 def read_record_stream(spark: SparkSession, directory: str, kind: str | None = None, schema: str | None = None,
@@ -32,7 +32,8 @@ def read_file_stream(spark: SparkSession, directory: str, glob: str | None = Non
                      image_id: str | None = None, host_id: str | None = None) -> DataFrame:
     """New files of an evidence folder as whole-file rows, for the ``parse_*`` functions of text and recycle-bin files.
 
-    These read each file inside its row, so they hold no state and their events can be appended.
+    These read each file inside its row, so they hold no state and their events can be appended.  A task holds whole
+    files, several times over as text: launch lists, which have no bound, come as lines (``read_byte_line_stream``).
     """
     reader = (spark.readStream.format("binaryFile").schema(WHOLE_FILE).option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", files_per_batch))
@@ -42,9 +43,18 @@ def read_file_stream(spark: SparkSession, directory: str, glob: str | None = Non
 def read_line_stream(spark: SparkSession, directory: str, glob: str = "ConsoleHost_history.txt", files_per_batch: int = 1000,
                      image_id: str | None = None, host_id: str | None = None) -> DataFrame:
     """Lines of new history files with their path and file time, for ``parse_pshistory``."""
-    lines = (spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-             .option("maxFilesPerTrigger", files_per_batch).text(directory))
-    return owned_by(file_lines(lines), image_id, host_id)
+    return owned_by(file_lines(_line_stream(spark, directory, glob, files_per_batch)), image_id, host_id)
+
+
+def read_byte_line_stream(spark: SparkSession, directory: str, glob: str = "[Pp]ca[Aa]pp[Ll]aunch[Dd]ic.txt", files_per_batch: int = 1000,
+                          image_id: str | None = None, host_id: str | None = None) -> DataFrame:
+    """New files as one row a line, as bytes, for ``parse_pca_launch``: large files are split and a task holds one line."""
+    return owned_by(byte_lines(_line_stream(spark, directory, glob, files_per_batch)), image_id, host_id)
+
+
+def _line_stream(spark: SparkSession, directory: str, glob: str, files_per_batch: int) -> DataFrame:
+    return (spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .option("maxFilesPerTrigger", files_per_batch).text(directory))
 
 
 def stream_ingest(records: DataFrame, build: Callable[[DataFrame], DataFrame], target: str,
